@@ -33,19 +33,15 @@ def list_orders(orders: DataFrame, status: str, country: str = "", limit: int =
             F.count_if(listed).alias("match_total"),
         )
     ).scalar()
-    newest = (
-        orders.where(listed)
-        .select("order_id", "order_date", "country", "product", "total")
-        .orderBy(F.desc("order_date"), "order_id")
-        .limit(min(int(limit), MAX_LISTED))
-    )
+    # Nothing follows the limit: a projection there would turn the top-k into a full sort.
     return (
-        newest.withColumn("_totals", totals)
+        orders.where(listed)
         .select(
-            *newest.columns,
-            F.date_diff(F.col("_totals.today"), "order_date").alias("days_since_order"),
-            "_totals.status_total",
-            "_totals.match_total",
+            "order_id", "order_date", "country", "product", "total",
+            F.date_diff(totals["today"], "order_date").alias("days_since_order"),
+            totals["status_total"].alias("status_total"),
+            totals["match_total"].alias("match_total"),
         )
         .orderBy(F.desc("order_date"), "order_id")
+        .limit(min(int(limit), MAX_LISTED))
     )

@@ -25,8 +25,8 @@ def logged_interactions(log: DataFrame) -> DataFrame:
     return log.select("ts", "question", F.coalesce(counted, F.array()).cast(TOOL_CALLS).alias("tools"))
 
 
-def trace_tools(runs: DataFrame) -> DataFrame:
-    """Root runs with the tools their trace called, none if it called none.
+def _with_tools(roots: DataFrame, runs: DataFrame) -> DataFrame:
+    """Add to each root the counted tools of its trace, none if it called none.
 
     Calls are summed per trace and tool before anything is gathered, partly where
     the runs lie: a trace holding a large part of all runs arrives as one row per
@@ -40,14 +40,17 @@ def trace_tools(runs: DataFrame) -> DataFrame:
     tools = calls.groupBy("trace_id").agg(
         F.array_sort(F.collect_list(F.struct("tool", "calls"))).alias("tools")
     )
-    roots = runs.where("is_root").select(
-        "trace_id", "id", "name", F.col("start_time").alias("ts"), "inputs"
-    )
     return roots.join(tools, "trace_id", "left").withColumn(
         "tools", F.coalesce("tools", F.array()).cast(TOOL_CALLS)
     )
 
 
+def trace_tools(runs: DataFrame) -> DataFrame:
+    """Root runs with the tools their trace called."""
+    roots = runs.where("is_root").select("trace_id", "id", "name", F.col("start_time").alias("ts"))
+    return _with_tools(roots, runs)
+
+
 def trace_question(inputs: Column | str) -> Column:
     """The question inside a root run's printed inputs, NULL if there is none."""
     found = F.regexp_extract(inputs, TRACE_QUESTION, 1)
@@ -55,14 +58,17 @@ def trace_question(inputs: Column | str) -> Column:
 
 
 def traced_interactions(runs: DataFrame, days: int | None = 30, as_of: Column | None = None) -> DataFrame:
-    """Traced questions of the last days; a run without a readable question is dropped."""
+    """Traced questions of the last days; a run without a readable question is dropped.
+
+    The question is cut out before the join, so the long inputs are never shuffled.
+    """
     if days is not None:
         as_of = runs.agg(F.max("start_time")).scalar() if as_of is None else as_of
         runs = runs.where(in_trailing_days("start_time", days, as_of))
-    traced = trace_tools(runs)
-    return traced.select("ts", trace_question("inputs").alias("question"), "tools").where(
-        F.col("question").isNotNull()
+    asked = runs.where("is_root").select(
+        "trace_id", F.col("start_time").alias("ts"), trace_question("inputs").alias("question")
     )
+    return _with_tools(asked.where(F.col("question").isNotNull()), runs).select("ts", "question", "tools")
 
 
 def all_interactions(

@@ -43,6 +43,7 @@ def encode_column(
     once per task; a model should be loaded lazily on first use.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
+    kept = rows.columns
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +53,9 @@ def encode_column(
             matrix = _unit_rows(np.asarray(encoder(texts), dtype="float64")).astype("float32")
             flat = pa.array(matrix.ravel())
             offsets = pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype="int32"))
-            columns = [batch.column(name) for name in rows.columns]
+            columns = [batch.column(name) for name in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.ListArray.from_arrays(offsets, flat)], names=[*rows.columns, output]
+                [*columns, pa.ListArray.from_arrays(offsets, flat)], names=[*kept, output]
             )
 
     return rows.withColumn("_text", F.col(text)).mapInArrow(encode, schema)

@@ -14,7 +14,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     A form feed separates pages, as text extractors write it. The document is named
     by its file stem.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return files.select(
         stem.alias("doc_stem"), F.posexplode(F.split("value", PAGE_BREAK)).alias("pos", "text")

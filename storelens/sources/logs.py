@@ -10,7 +10,7 @@ from storelens.functions.columns import col
 from storelens.schema import GOLD_QUESTIONS, INTERACTIONS
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
         return True
@@ -22,7 +22,7 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     """The JSON-lines interaction log, empty if it does not exist yet."""
-    if not _path_exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], INTERACTIONS)
     return spark.read.schema(INTERACTIONS).json(path)
 

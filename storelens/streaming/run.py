@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storelens.sources.logs import path_exists
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under the shared one that `spark.checkpoint.dir` names.
@@ -39,6 +41,6 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
         .start()
     )
     query.awaitTermination()
-    if query.lastProgress is None:
+    if not path_exists(spark, target):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(target).select(*stream.columns)

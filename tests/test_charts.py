@@ -1,0 +1,85 @@
+from decimal import Decimal as D
+
+import pytest
+
+from storelens.operators.charts import chart_series, chart_summary
+from storelens.schema import ORDERS
+from tests.conftest import order, rows
+
+
+@pytest.fixture(scope="module")
+def orders(make_orders):
+    return make_orders(
+        order("A", order_date="2026-01-05", product="p1", category="Home", country="Peru", total=50,
+              payment_method="credit_card", delivery_days=2, return_reason="changed_mind"),
+        order("B", order_date="2026-02-05", product="p2", category="Garden", country="Chile", total=50,
+              payment_method="credit_card", delivery_days=5, return_reason="changed_mind"),
+        order("C", order_date="2026-03-05", product="p3", category="Home", country="Chile", total=20,
+              payment_method="cheque", delivery_days=2, return_reason=""),
+        order("D", order_date="2026-04-05", product="p4", category=None, country=None, total=20,
+              payment_method=None, delivery_days=None, return_reason="odd"),
+        order("E", order_date="2026-04-06", product="p5", category="Home", country="Peru", total=900,
+              payment_method="cheque", delivery_days=9, return_reason="odd", order_status="cancelled"),
+    )
+
+
+def test_monthly(orders):
+    assert rows(chart_series(orders, "monthly_sales")) == [
+        ("2026-01", D("50.00")), ("2026-02", D("50.00")), ("2026-03", D("20.00")), ("2026-04", D("20.00")),
+    ]
+    # The earlier month wins on equal revenue, at both ends.
+    assert rows(chart_summary(orders, "monthly_sales")) == [("2026-01", D("50.00"), "2026-03", D("20.00"))]
+
+
+def test_top_products_clamps_n_and_ascends(orders, make_orders):
+    assert rows(chart_series(orders, "top_products", n=1), "product") == [("p3",), ("p2",), ("p1",)]
+    assert rows(chart_summary(orders, "top_products"), "product") == [("p1",)]
+    many = make_orders(*[order(str(i), product=f"p{i:02d}", total=i) for i in range(1, 30)])
+    got = rows(chart_series(many, "top_products", n=99), "product")
+    assert got == [(f"p{i:02d}",) for i in range(15, 30)]
+
+
+def test_returns_by_reason(orders):
+    assert rows(chart_series(orders, "returns_by_reason", lang="es")) == [
+        ("changed_mind", "Arrepentimiento", 2), ("odd", "odd", 1),
+    ]
+    assert rows(chart_summary(orders, "returns_by_reason"), "label", "requests") == [("changed_mind", 2)]
+
+
+def test_payment_share_is_of_orders_with_a_method(orders):
+    got = rows(chart_series(orders, "payment_share", lang="es"))
+    assert got == [
+        ("credit_card", "Tarjeta de crédito", 2, pytest.approx(2 / 3)), ("cheque", "cheque", 1, pytest.approx(1 / 3)),
+    ]
+
+
+def test_delivery_histogram_has_empty_bins(orders):
+    assert rows(chart_series(orders, "delivery_days_hist")) == [(2, 2), (3, 0), (4, 0), (5, 1)]
+    assert rows(chart_summary(orders, "delivery_days_hist")) == [(3.0, 2.0)]
+
+
+def test_histogram_over_a_wide_range(make_orders):
+    wide = make_orders(order("A", delivery_days=-3), order("B", delivery_days=70000))
+    table = chart_series(wide, "delivery_days_hist")
+    assert table.count() == 70004 and table.where("orders > 0").count() == 2
+    assert table.select("days").distinct().count() == 70004
+
+
+def test_median_is_exact(make_orders):
+    df = make_orders(*[order(str(d), delivery_days=d) for d in (1, 2, 4, 9)])
+    assert rows(chart_summary(df, "delivery_days_hist"), "median_days") == [(3.0,)]
+
+
+def test_revenue_bars(orders):
+    assert rows(chart_series(orders, "sales_by_country", "es")) == [("Chile", "Chile", D("70.00")), ("Peru", "Peru", D("50.00"))]
+    assert rows(chart_series(orders, "sales_by_category", "es")) == [("Home", "Hogar", D("70.00")), ("Garden", "Garden", D("50.00"))]
+    assert rows(chart_summary(orders, "sales_by_category", "es"), "label") == [("Hogar",)]
+
+
+def test_period_and_validation(spark, orders):
+    assert rows(chart_series(orders, "monthly_sales", start_date="2026-04-01")) == [("2026-04", D("20.00"))]
+    empty = spark.createDataFrame([], ORDERS)
+    for kind in ("monthly_sales", "top_products", "payment_share", "delivery_days_hist", "returns_by_reason"):
+        assert rows(chart_series(empty, kind)) == []
+    with pytest.raises(ValueError, match="kind"):
+        chart_series(orders, "pie")
