@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_instant(wall_clock: str) -> Column:
+    """A time without zone as the UTC instant that reads the same."""
+    return F.from_utc_timestamp(F.col(wall_clock).cast("timestamp"), F.current_timezone())
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -115,7 +120,7 @@ def retail_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_order_stream(orders: DataFrame) -> DataFrame:
     """A stream of warehouse orders in the shape of placed orders."""
     return orders.select(
-        F.col("o_orderdate").cast("timestamp").alias("order_ts"),
+        as_instant("o_orderdate").alias("order_ts"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
         F.lit(1).alias("quantity"),
         F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("delivered").alias("order_status"),

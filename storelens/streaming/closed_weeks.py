@@ -15,7 +15,8 @@ def closed_weeks(orders: DataFrame, time: str = "order_ts", lateness: str = "1 d
     """Order-side figures per Mon-Sun week over a stream of orders.
 
     In append mode a week comes out once the watermark has passed its end, so a late
-    order within `lateness` still counts and a week is never revised.
+    order within `lateness` still counts and a week is never revised. Weeks are cut at
+    midnight UTC.
     """
     sold = not_cancelled()
     return (
@@ -29,7 +30,7 @@ def closed_weeks(orders: DataFrame, time: str = "order_ts", lateness: str = "1 d
             F.coalesce(F.sum(F.when(sold, F.col("quantity"))), F.lit(0)).alias("units"),
         )
         .select(
-            F.date_sub(F.to_date("window.end"), 1).alias("week_end"),
+            F.date_from_unix_date(F.expr("cast(unix_seconds(window.end) div 86400 as int)") - 1).alias("week_end"),
             "revenue",
             "orders",
             "placed",

@@ -4,7 +4,6 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from storelens.functions.text import split_recursively
 from storelens.lookups import CHUNK_SEPARATORS

@@ -156,19 +156,45 @@ def _week(day: str) -> str:
     return f"(date_trunc('week', {day})::DATE + 6)"
 
 
-def _breakdown(name: str, key: str | None = None) -> str:
+def _breakdown(name: str, key: str | None = None, where: str = "true") -> str:
     return _over_orders(f"""
         SELECT {key or name} AS {name}, {_money('total', 'revenue')}, count(order_id) AS orders
-        FROM nc WHERE {key or name} IS NOT NULL GROUP BY 1""")
+        FROM nc WHERE {key or name} IS NOT NULL AND {where} GROUP BY 1""")
 
 
-def _top(measure: str, name: str, kind: str, n: int) -> str:
+_PERIOD = "order_date BETWEEN DATE '1997-02-01' AND DATE '1999-10-31'"
+
+
+def _top(measure: str, name: str, kind: str, n: int, where: str = "true") -> str:
     return _over_orders(f"""
         SELECT row_number() OVER (ORDER BY v DESC, product, category)::INTEGER AS rank, product, category, v::{kind} AS {name}
-        FROM (SELECT product, category, sum({measure}) AS v FROM nc GROUP BY 1, 2)
+        FROM (SELECT product, category, sum({measure}) AS v FROM nc WHERE {where} GROUP BY 1, 2)
         ORDER BY v DESC, product, category LIMIT {n}""")
 
 
+def _overview(where: str) -> str:
+    return _over_orders(f"""
+        SELECT min(order_date) AS first_order_date, max(order_date) AS last_order_date,
+            coalesce(sum(total) FILTER (order_status IS DISTINCT FROM 'cancelled'), 0)::DOUBLE AS revenue,
+            count(*) FILTER (order_status IS DISTINCT FROM 'cancelled') AS orders,
+            round((sum(total) FILTER (order_status IS DISTINCT FROM 'cancelled'))::DOUBLE
+                / count(total) FILTER (order_status IS DISTINCT FROM 'cancelled'), 6) AS average_order_value
+        FROM o WHERE {where}""")
+
+
+def _returned(where: str) -> str:
+    return _over_orders(f"""
+        SELECT count(return_request_date) AS return_requests,
+            count(*) FILTER (order_status = 'delivered') AS delivered_orders,
+            round(count(return_request_date)::DOUBLE / count(*) FILTER (order_status = 'delivered'), 6)
+                AS return_rate_delivered
+        FROM o WHERE {where}""")
+
+
+def _leader(key: str, measure: str, name: str, label: str) -> str:
+    return f"SELECT {key}, {label} AS label, {measure} AS {name} FROM nc WHERE {key} IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 1"
+
+
 def _moved(base: str, name: str) -> str:
     change = _pct("now", base)
     return _over_weeks(f"""
@@ -360,29 +386,22 @@ ORACLES: dict[str, str] = {
         WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"""),
     "non_cancelled": _over_orders("SELECT order_id, order_status, total::DOUBLE AS total FROM nc"),
     # ---- sales
-    "sales_overview": _over_orders("""
-        SELECT min(order_date) AS first_order_date, max(order_date) AS last_order_date,
-            coalesce(sum(total) FILTER (order_status IS DISTINCT FROM 'cancelled'), 0)::DOUBLE AS revenue,
-            count(*) FILTER (order_status IS DISTINCT FROM 'cancelled') AS orders,
-            round((sum(total) FILTER (order_status IS DISTINCT FROM 'cancelled'))::DOUBLE
-                / count(total) FILTER (order_status IS DISTINCT FROM 'cancelled'), 6) AS average_order_value
-        FROM o"""),
+    "sales_overview": _overview("true"),
+    "sales_overview_of_period": _overview(_PERIOD),
     "orders_by_status_counts": _over_orders("""
         SELECT order_status, count(*) AS orders FROM o WHERE order_status IS NOT NULL GROUP BY 1"""),
     "top_products_revenue": _top("total", "revenue", "DOUBLE", 10),
     "top_products_units": _top("quantity", "units", "BIGINT", 10),
+    "top_products_of_period": _top("total", "revenue", "DOUBLE", 5, _PERIOD),
+    "sales_by_country_since": _breakdown("country", where="order_date >= DATE '2000-01-01'"),
     "sales_by_month": _breakdown("month", "strftime(order_date, '%Y-%m')"),
     "sales_by_country": _breakdown("country"),
     "sales_by_category": _breakdown("category"),
     "sales_by_payment_method": _breakdown("payment_method"),
     "sales_by_shipping_zone": _breakdown("shipping_zone"),
     # ---- returns
-    "returns_report": _over_orders("""
-        SELECT count(return_request_date) AS return_requests,
-            count(*) FILTER (order_status = 'delivered') AS delivered_orders,
-            round(count(return_request_date)::DOUBLE / count(*) FILTER (order_status = 'delivered'), 6)
-                AS return_rate_delivered
-        FROM o"""),
+    "returns_report": _returned("true"),
+    "returns_report_of_period": _returned(_PERIOD),
     "return_reasons_top5": _over_orders("""
         SELECT return_reason, count(*) AS requests FROM o
         WHERE return_request_date IS NOT NULL AND return_reason IS NOT NULL
@@ -536,6 +555,15 @@ ORACLES: dict[str, str] = {
         SELECT country, country AS label, {_money('total', 'revenue')} FROM nc GROUP BY 1, 2"""),
     "chart_sales_by_category": _over_orders(f"""
         SELECT category, {_es('category')} AS label, {_money('total', 'revenue')} FROM nc GROUP BY 1, 2"""),
+    "chart_top_product": _over_orders(
+        "SELECT product, sum(total)::DOUBLE AS revenue FROM nc GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1"),
+    "chart_top_return_reason": _over_orders(_leader("return_reason", "count(*)", "requests", "return_reason")),
+    "chart_top_payment_method": _over_orders("""
+        SELECT payment_method, payment_method AS label, count(*) AS orders,
+            round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share
+        FROM nc WHERE payment_method IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 1"""),
+    "chart_top_country": _over_orders(_leader("country", "sum(total)::DOUBLE", "revenue", "country")),
+    "chart_top_category": _over_orders(_leader("category", "sum(total)::DOUBLE", "revenue", _es("category"))),
     # ---- logs and traces
     "trace_archive": f"""WITH {_runs(_RECENT)}
         SELECT id, name, start_time, round(value, 6) AS latency_s, total_tokens,

@@ -198,14 +198,15 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def _wall_clock(c: str) -> Column:
+    """The UTC wall clock time of an instant, whatever the session's time zone."""
+    return F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz").alias(c)
+
+
 def stream_topic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = wh.as_interactions(_stream(spark, sf_dir, "events"))
-    return run_to_table(topic_windows(log.withColumn("ts", F.col("ts").cast("timestamp"))), mode="complete").select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-        "topic",
-        "calls",
-    )
+    log = wh.as_interactions(_stream(spark, sf_dir, "events")).withColumn("ts", wh.as_instant("ts"))
+    windows = run_to_table(topic_windows(log), mode="complete")
+    return windows.select(_wall_clock("window_start"), _wall_clock("window_end"), "topic", "calls")
 
 
 def stream_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +234,11 @@ QUERIES: dict[str, Query] = {
     "sales_by_category": _orders(sales.sales_breakdown, dimension="category"),
     "sales_by_payment_method": _orders(sales.sales_breakdown, dimension="payment_method"),
     "sales_by_shipping_zone": _orders(sales.sales_breakdown, dimension="shipping_zone"),
+    "sales_overview_of_period": _orders(sales.sales_overview, start_date="1997-02-01", end_date="1999-10-31"),
+    "top_products_of_period": _orders(sales.top_products, start_date="1997-02-01", end_date="1999-10-31"),
+    "sales_by_country_since": _orders(sales.sales_breakdown, dimension="country", start_date="2000-01-01"),
     # returns
+    "returns_report_of_period": _orders(returns.returns_report, start_date="1997-02-01", end_date="1999-10-31"),
     "returns_report": _orders(returns.returns_report),
     "return_reasons_top5": _orders(returns.return_reasons),
     "return_status_counts": _orders(returns.return_status_counts),
@@ -279,6 +284,11 @@ QUERIES: dict[str, Query] = {
     "chart_delivery_stats": _orders(charts.chart_summary, kind="delivery_days_hist"),
     "chart_sales_by_country": _orders(charts.chart_series, kind="sales_by_country"),
     "chart_sales_by_category": _orders(charts.chart_series, kind="sales_by_category", lang="es"),
+    "chart_top_product": _orders(charts.chart_summary, kind="top_products"),
+    "chart_top_return_reason": _orders(charts.chart_summary, kind="returns_by_reason"),
+    "chart_top_payment_method": _orders(charts.chart_summary, kind="payment_share"),
+    "chart_top_country": _orders(charts.chart_summary, kind="sales_by_country"),
+    "chart_top_category": _orders(charts.chart_summary, kind="sales_by_category", lang="es"),
     # logs and traces
     "trace_archive": trace_archive,
     "trace_tools": trace_tools,
