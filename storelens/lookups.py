@@ -15,7 +15,6 @@ CHART_KINDS = (
     "payment_share",
     "delivery_days_hist",
 )
-ORDER_STATUSES = ("delivered", "in_transit", "shipped", "processing", "cancelled")
 VERDICTS = ("PASS", "PARTIAL", "FAIL", "ERROR", "NEEDS_REVIEW")
 JUDGE_VERDICTS = ("PASS", "PARTIAL", "FAIL")
 

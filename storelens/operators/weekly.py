@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,22 +17,20 @@ from storelens.functions.columns import (
     ratio_or_zero,
     run_length,
     status_is,
-    total_of,
 )
 from storelens.functions.dates import fill_calendar, last_closed_sunday, week_end
 from storelens.lookups import (
     CANCEL_RATE_LIMIT,
     CONCENTRATION_SHARE,
     FLAT_BELOW,
-    OTHER,
     PROCESSING_DAYS_LIMIT,
-    RETURN_BUCKETS,
     RETURN_RATE_LIMIT,
     TRANSIT_DAYS_LIMIT,
     TREND_WEEKS,
 )
 from storelens.operators.ledger import weekly_ledger
-from storelens.operators.sales import as_date, non_cancelled
+from storelens.operators.sales import as_date, in_period
+from storelens.operators.week_facts import breakdown, week_facts
 
 TREND_METRICS = ("revenue", "orders", "aov", "cancel_rate", "return_rate_filed", "avg_delivery_days")
 LOWER_IS_BETTER = ("cancel_rate", "return_rate_filed", "avg_delivery_days")
@@ -54,6 +52,11 @@ def snap_to_week(day: Column | str, last_closed: Column) -> Column:
 # ---- headline metrics -----------------------------------------------------------
 
 
+def _ledger(orders: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """The stored ledger where given, else one made of the orders."""
+    return weekly_ledger(orders) if ledger is None else ledger
+
+
 def _metrics(ledger: DataFrame) -> DataFrame:
     return ledger.select(
         "*",
@@ -71,23 +74,23 @@ def _reported(weeks: DataFrame) -> DataFrame:
     return weeks.where(F.col("week_end") >= F.col("first_week"))
 
 
-def weekly_metrics(orders: DataFrame) -> DataFrame:
+def weekly_metrics(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The 16 figures of a week. Returns count by request date, whatever the order."""
-    return _reported(_metrics(weekly_ledger(orders))).select(
+    return _reported(_metrics(_ledger(orders, ledger))).select(
         "week_start", "week_end", "revenue", "orders", "aov", "placed", "cancelled", "cancelled_value",
         "cancel_rate", "filed", "return_rate_filed", "avg_delivery_days", "units", "units_per_order",
         "instalment_share",
     )
 
 
-def _with_history(orders: DataFrame) -> DataFrame:
+def _with_history(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Each trend metric with its previous week, 4-week mean and 5-week series.
 
     The mean is of weekly ratios, and missing unless all four weeks have a value.
     """
     by_week = W.orderBy("week_end")
     before = by_week.rowsBetween(-TREND_WEEKS, -1)
-    metrics = _metrics(weekly_ledger(orders))
+    metrics = _metrics(_ledger(orders, ledger))
     history = metrics.select("*", *[F.col(m).cast("double").alias(f"{m}_now") for m in TREND_METRICS])
     extra = []
     for m in TREND_METRICS:
@@ -121,9 +124,9 @@ def _is_good(metric: Column, direction: Column) -> Column:
     return F.when(direction != "flat", direction == better)
 
 
-def weekly_deltas(orders: DataFrame) -> DataFrame:
+def weekly_deltas(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Change of each metric against the previous week."""
-    rows = _per_metric(_with_history(orders), "now", "prev")
+    rows = _per_metric(_with_history(orders, ledger), "now", "prev")
     moved = rows.withColumn("delta_pct", change_pct("now", "prev"))
     moved = moved.withColumn("direction", _movement(F.col("delta_pct")))
     return moved.select(
@@ -132,9 +135,9 @@ def weekly_deltas(orders: DataFrame) -> DataFrame:
     )
 
 
-def weekly_vs_avg4(orders: DataFrame) -> DataFrame:
+def weekly_vs_avg4(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Change of each metric against the mean of the four weeks before."""
-    rows = _per_metric(_with_history(orders), "now", "avg4")
+    rows = _per_metric(_with_history(orders, ledger), "now", "avg4")
     moved = rows.withColumn("delta_pct", change_pct("now", "avg4"))
     moved = moved.withColumn("direction", _movement(F.col("delta_pct")))
     return moved.select(
@@ -143,17 +146,17 @@ def weekly_vs_avg4(orders: DataFrame) -> DataFrame:
     )
 
 
-def weekly_series(orders: DataFrame) -> DataFrame:
+def weekly_series(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Five values per metric, the four weeks before and the week itself."""
-    return _per_metric(_with_history(orders), "series").select("week_end", "metric", "series")
+    return _per_metric(_with_history(orders, ledger), "series").select("week_end", "metric", "series")
 
 
-def decline_streak(orders: DataFrame) -> DataFrame:
+def decline_streak(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Weekly revenue declines in a row: up to this week, and up to the week before.
 
     `rebound` marks the first increase after a decline.
     """
-    points = _per_metric(_with_history(orders), "series").where(F.col("metric") == "revenue")
+    points = _per_metric(_with_history(orders, ledger), "series").where(F.col("metric") == "revenue")
     at = [F.col("series")[i] for i in range(TREND_WEEKS, -1, -1)]
     fell = [now < before for now, before in zip(at, at[1:])]
     return points.select(
@@ -179,9 +182,9 @@ def report_summary(orders: DataFrame, week_ending: date | str | None = None) ->
     )
 
 
-def weekly_summary(orders: DataFrame) -> DataFrame:
+def weekly_summary(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Headline metrics of every closed week with the inputs of their formulas."""
-    history = _with_history(orders)
+    history = _with_history(orders, ledger)
     rows = _per_metric(
         history, "now", "prev", "avg4",
         extra=("revenue", "orders", "placed", "cancelled", "filed", "delivery_days_sum", "delivery_days_known"),
@@ -222,62 +225,58 @@ def weekly_summary(orders: DataFrame) -> DataFrame:
 
 
 # ---- cancellations, returns, products -------------------------------------------
+#
+# Each of these reads the orders, or facts of them that a report has stored.
 
 
-def _cancelled_by_week(orders: DataFrame) -> DataFrame:
-    return (
-        orders.where(status_is("cancelled") & F.col("order_date").isNotNull())
-        .groupBy(week_end("order_date").alias("week_end"), "country")
-        .agg(
-            F.count("order_id").alias("cancelled"),
-            total_of("total").alias("cancelled_value"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-    )
-
-
-def cancellations_by_country(orders: DataFrame) -> DataFrame:
+def cancellations_by_country(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Cancelled orders and their value per week and country."""
     return (
-        _cancelled_by_week(orders)
-        .where(F.col("country").isNotNull())
-        .select("week_end", "country", "cancelled", "cancelled_value")
+        breakdown(orders, facts, "cancelled_country")
+        .where(F.col("key").isNotNull())
+        .select(
+            "week_end",
+            F.col("key").alias("country"),
+            F.col("order_ids").alias("cancelled"),
+            F.col("amount").alias("cancelled_value"),
+        )
     )
 
 
-def cancellation_concentration(orders: DataFrame) -> DataFrame:
+def cancellation_concentration(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Per week the country with most cancellations, flagged at half of them or more."""
     week = W.partitionBy("week_end")
     ranked = (
-        _cancelled_by_week(orders)
+        breakdown(orders, facts, "cancelled_country")
         .withColumn("week_cancelled", F.sum("rows").over(week))
-        .where(F.col("country").isNotNull())
-        .withColumn("place", F.row_number().over(week.orderBy(F.desc("cancelled"), "country")))
+        .where(F.col("key").isNotNull())
+        .withColumn("place", F.row_number().over(week.orderBy(F.desc("order_ids"), "key")))
         .where(F.col("place") == 1)
     )
-    share = ratio("cancelled", F.greatest("week_cancelled", F.lit(1)))
+    share = ratio("order_ids", F.greatest("week_cancelled", F.lit(1)))
     return ranked.select(
         "week_end",
-        "country",
-        "cancelled",
+        F.col("key").alias("country"),
+        F.col("order_ids").alias("cancelled"),
         "week_cancelled",
         share.alias("share"),
         (share >= CONCENTRATION_SHARE).alias("concentrated"),
     )
 
 
-def cancellations_rollup(orders: DataFrame) -> DataFrame:
+def cancellations_rollup(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Cancellations per week and country plus one total row per week (`country` NULL).
 
     The rollup expands the few pre-aggregated rows, not the orders.
     """
     rolled = (
-        _cancelled_by_week(orders)
+        breakdown(orders, facts, "cancelled_country")
+        .withColumnRenamed("key", "country")
         .groupingSets([["week_end", "country"], ["week_end"]], "week_end", "country")
         .agg(
             F.grouping("country").alias("is_total"),
             F.sum("rows").alias("cancelled"),
-            F.sum("cancelled_value").alias("cancelled_value"),
+            F.sum("amount").alias("cancelled_value"),
         )
     )
     return rolled.where((F.col("is_total") == 1) | F.col("country").isNotNull()).select(
@@ -285,128 +284,147 @@ def cancellations_rollup(orders: DataFrame) -> DataFrame:
     )
 
 
-def _filed(orders: DataFrame) -> DataFrame:
-    """Return requests under the week they were filed in."""
-    return orders.where(F.col("return_request_date").isNotNull()).withColumn(
-        "week_end", week_end("return_request_date")
+def _requests(orders: DataFrame, facts: DataFrame | None, name: str, column: str) -> DataFrame:
+    return (
+        breakdown(orders, facts, name)
+        .where(F.col("key").isNotNull())
+        .select("week_end", F.col("key").alias(column), F.col("rows").alias("requests"))
     )
 
 
-def return_buckets(orders: DataFrame, buckets: dict[str, str] = RETURN_BUCKETS) -> DataFrame:
+def return_buckets(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Return requests per week and bucket; unmapped and missing reasons are `Other`."""
-    return (
-        _filed(orders)
-        .groupBy("week_end", lookup("return_reason", buckets, OTHER).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
+    return _requests(orders, facts, "return_bucket", "bucket")
 
 
-def returns_controllable(orders: DataFrame) -> DataFrame:
+def returns_controllable(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Per week: requests filed, those not the customer's own choice, value at risk."""
-    return _reported(weekly_ledger(orders)).select(
+    return _reported(_ledger(orders, ledger)).select(
         "week_end", "filed", F.col("filed_controllable").alias("controllable"), F.col("filed_value").alias("value_at_risk")
     )
 
 
-def _filed_counts(orders: DataFrame, key: str) -> DataFrame:
-    return (
-        _filed(orders)
-        .where(F.col(key).isNotNull())
-        .groupBy("week_end", key)
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
+def weekly_return_reasons(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return _requests(orders, facts, "return_reason", "return_reason")
 
 
-def weekly_return_reasons(orders: DataFrame) -> DataFrame:
-    return _filed_counts(orders, "return_reason")
+def weekly_return_status(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return _requests(orders, facts, "return_status", "return_status")
 
 
-def weekly_return_status(orders: DataFrame) -> DataFrame:
-    return _filed_counts(orders, "return_status")
+def _place_by_revenue() -> Column:
+    return F.row_number().over(W.partitionBy("week_end").orderBy(F.desc("amount"), "key"))
 
 
-def weekly_top_products(orders: DataFrame, n: int = 5) -> DataFrame:
+def weekly_top_products(orders: DataFrame, facts: DataFrame | None = None, n: int = 5) -> DataFrame:
     """The n products with most revenue of each week.
 
     Sums are reduced before the shuffle, and the rank limit drops all but n
     candidates per week and task before the rank itself is computed.
     """
-    place = F.row_number().over(W.partitionBy("week_end").orderBy(F.desc("revenue"), "product"))
     return (
-        non_cancelled(orders)
-        .where(F.col("product").isNotNull() & F.col("order_date").isNotNull())
-        .groupBy(week_end("order_date").alias("week_end"), "product")
-        .agg(total_of("total").alias("revenue"))
-        .withColumn("rank", place)
+        breakdown(orders, facts, "product")
+        .where(F.col("key").isNotNull())
+        .withColumn("rank", _place_by_revenue())
         .where(F.col("rank") <= n)
-        .select("week_end", "rank", "product", "revenue")
+        .select("week_end", "rank", F.col("key").alias("product"), F.col("amount").alias("revenue"))
     )
 
 
-def repeat_return_products(orders: DataFrame, at_least: int = 2) -> DataFrame:
-    """Best sellers of a week that were returned more than once in it."""
-    repeated = _filed_counts(orders, "product").where(F.col("requests") >= at_least)
-    return repeated.join(weekly_top_products(orders), ["week_end", "product"], "left_semi")
+def repeat_return_products(
+    orders: DataFrame, facts: DataFrame | None = None, at_least: int = 2, n: int = 5
+) -> DataFrame:
+    """Best sellers of a week that were returned more than once in it.
+
+    Sales and returns of a product meet in one grouping, so the orders are read once
+    and nothing is joined.
+    """
+    if facts is None:
+        facts = week_facts(orders, ["product", "returned_product"])
+    sold = F.col("breakdown") == "product"
+    returned = F.col("breakdown") == "returned_product"
+    return (
+        facts.where((sold | returned) & F.col("key").isNotNull())
+        .groupBy("week_end", "key")
+        .agg(
+            F.sum(F.when(sold, F.col("amount"))).alias("amount"),
+            F.sum(F.when(returned, F.col("rows"))).alias("requests"),
+        )
+        .where(F.col("amount").isNotNull())
+        .withColumn("rank", _place_by_revenue())
+        .where((F.col("rank") <= n) & (F.col("requests") >= at_least))
+        .select("week_end", F.col("key").alias("product"), "requests")
+    )
 
 
 # ---- sales detail ---------------------------------------------------------------
 
 
-def daily_sales_vs_previous(orders: DataFrame) -> DataFrame:
+def daily_sales_vs_previous(orders: DataFrame, sunday: date | None = None) -> DataFrame:
     """Revenue of every day of the closed weeks beside the same day a week earlier.
 
-    A day without sales is 0. The calendar is filled in over the daily sums, of
-    which there is one per day, so the orders are read once.
+    A day without sales is 0. For the week ending on `sunday` only two weeks of orders
+    are read and joined to a calendar of literal dates. For all weeks the calendar is
+    filled in over the daily sums, of which there is one per day, so the orders are
+    read once.
     """
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    if sunday is not None:
+        orders = in_period(orders, sunday - timedelta(days=13), sunday)
     daily = (
         orders.where(F.col("order_date").isNotNull())
         .groupBy(F.col("order_date").alias("day"))
         .agg(F.sum(F.when(not_cancelled(), F.col("total"))).alias("revenue"))
     )
-    closed = daily.select(
-        "*",
-        F.date_sub(week_end(F.min("day").over(whole)), 6).alias("first_day"),
-        last_closed_sunday(F.max("day").over(whole)).alias("last_day"),
-    ).where(F.col("day") <= F.col("last_day"))
-    dense = fill_calendar(closed, "day", 1, first=F.col("first_day"), last=F.col("last_day"))
+    if sunday is not None:
+        days = F.sequence(F.lit(sunday - timedelta(days=13)), F.lit(sunday))
+        dense = orders.sparkSession.range(1).select(F.explode(days).alias("day")).join(daily, "day", "left")
+    else:
+        whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        closed = daily.select(
+            "*",
+            F.date_sub(week_end(F.min("day").over(whole)), 6).alias("first_day"),
+            last_closed_sunday(F.max("day").over(whole)).alias("last_day"),
+        ).where(F.col("day") <= F.col("last_day"))
+        dense = fill_calendar(closed, "day", 1, first=F.col("first_day"), last=F.col("last_day"))
     by_day = dense.select("day", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)")).alias("revenue"))
-    return by_day.select(
+    compared = by_day.select(
         week_end("day").alias("week_end"),
         "day",
         F.date_format("day", "EEE dd").alias("label"),
         "revenue",
         F.lag("revenue", 7, 0).over(W.orderBy("day")).alias("previous_revenue"),
     )
+    return compared if sunday is None else compared.where(F.col("week_end") == F.lit(sunday))
 
 
-def _weekly_share(orders: DataFrame, key: str, measure: Column, name: str) -> DataFrame:
+def _weekly_share(orders: DataFrame, facts: DataFrame | None, key: str, measure: str, name: str) -> DataFrame:
     """A weekly measure per value of `key` with its share of the whole week.
 
     Orders without a value count in the week but get no row.
     """
-    week = W.partitionBy("week_end")
     return (
-        non_cancelled(orders)
-        .where(F.col("order_date").isNotNull())
-        .groupBy(week_end("order_date").alias("week_end"), key)
-        .agg(measure.alias(name))
-        .withColumn("_week", F.sum(name).over(week))
-        .where(F.col(key).isNotNull())
-        .select("week_end", key, name, (100 * ratio(name, "_week")).alias("share_pct"))
+        breakdown(orders, facts, key)
+        .withColumn("_week", F.sum(measure).over(W.partitionBy("week_end")))
+        .where(F.col("key").isNotNull())
+        .select(
+            "week_end",
+            F.col("key").alias(key),
+            F.col(measure).alias(name),
+            (100 * ratio(measure, "_week")).alias("share_pct"),
+        )
     )
 
 
-def weekly_category_share(orders: DataFrame) -> DataFrame:
-    return _weekly_share(orders, "category", total_of("total"), "revenue")
+def weekly_category_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return _weekly_share(orders, facts, "category", "amount", "revenue")
 
 
-def weekly_country_share(orders: DataFrame) -> DataFrame:
-    return _weekly_share(orders, "country", total_of("total"), "revenue")
+def weekly_country_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return _weekly_share(orders, facts, "country", "amount", "revenue")
 
 
-def weekly_payment_share(orders: DataFrame) -> DataFrame:
-    return _weekly_share(orders, "payment_method", F.count(F.lit(1)), "orders")
+def weekly_payment_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return _weekly_share(orders, facts, "payment_method", "rows", "orders")
 
 
 # ---- backlog and alerts ---------------------------------------------------------
@@ -444,9 +462,9 @@ def backlog(
     )
 
 
-def weekly_backlog(orders: DataFrame) -> DataFrame:
+def weekly_backlog(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The backlog at the end of every closed week, out of running sums."""
-    return _reported(weekly_ledger(orders)).select(
+    return _reported(_ledger(orders, ledger)).select(
         F.col("week_end").alias("cutoff"),
         "open_orders", "open_aged", "oldest_open_days", "processing_orders", "processing_aged",
     )
@@ -454,18 +472,16 @@ def weekly_backlog(orders: DataFrame) -> DataFrame:
 
 def weekly_alerts(
     orders: DataFrame,
+    ledger: DataFrame | None = None,
     cancel_rate_limit: float = CANCEL_RATE_LIMIT,
     return_rate_limit: float = RETURN_RATE_LIMIT,
-    transit_days: int = TRANSIT_DAYS_LIMIT,
-    processing_days: int = PROCESSING_DAYS_LIMIT,
 ) -> DataFrame:
     """Alerts per week: the two rates always, fired or not; overdue orders only if any.
 
-    `cases` of `out_of` tell the count behind the value.
+    `cases` of `out_of` tell the count behind the value. What counts as overdue is
+    settled when the ledger is made.
     """
-    weeks = _reported(
-        _metrics(weekly_ledger(orders, transit_days=transit_days, processing_days=processing_days))
-    )
+    weeks = _reported(_metrics(_ledger(orders, ledger)))
 
     def alert(name: str, value: str, limit: float, cases: str, out_of: str) -> Column:
         v = F.col(value).cast("double")

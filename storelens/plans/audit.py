@@ -45,7 +45,10 @@ _ONE_WEEK = """
                    CAST(COUNT(*) FILTER (WHERE placed AND order_status = 'cancelled') AS DECIMAL(28, 2)) AS cancelled,
                    CAST(COUNT(*) FILTER (WHERE return_request_date BETWEEN :monday AND :sunday)
                         AS DECIMAL(28, 2)) AS filed
-            FROM (SELECT *, order_date BETWEEN :monday AND :sunday AS placed FROM {orders})
+            FROM (SELECT *, order_date BETWEEN :monday AND :sunday AS placed
+                  FROM {orders}
+                  WHERE order_date BETWEEN :monday AND :sunday
+                     OR return_request_date BETWEEN :monday AND :sunday)
         )
     )
 """

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from storelens.functions.dates import last_closed_sunday, week_end
 from storelens.operators import team, weekly
+from storelens.operators.ledger import weekly_ledger
 from storelens.operators.sales import as_date
+from storelens.operators.week_facts import touching_week, week_facts
 from storelens.plans.audit import audit_report, require_match
 
-_SECTIONS = {
+_FROM_LEDGER = {
     "metrics": weekly.weekly_metrics,
     "summary": weekly.weekly_summary,
     "deltas": weekly.weekly_deltas,
@@ -20,7 +22,10 @@ _SECTIONS = {
     "series": weekly.weekly_series,
     "decline_streak": weekly.decline_streak,
     "alerts": weekly.weekly_alerts,
-    "daily_sales": weekly.daily_sales_vs_previous,
+    "returns_controllable": weekly.returns_controllable,
+    "backlog": weekly.weekly_backlog,
+}
+_FROM_FACTS = {
     "category_share": weekly.weekly_category_share,
     "country_share": weekly.weekly_country_share,
     "payment_share": weekly.weekly_payment_share,
@@ -30,29 +35,36 @@ _SECTIONS = {
     "return_buckets": weekly.return_buckets,
     "return_reasons": weekly.weekly_return_reasons,
     "return_status": weekly.weekly_return_status,
-    "returns_controllable": weekly.returns_controllable,
     "repeat_returns": weekly.repeat_return_products,
-    "backlog": weekly.weekly_backlog,
 }
 
 
 def closing_sunday(orders: DataFrame, week_ending: date | str | None = None) -> date | None:
     """The week to report: the last closed one, or the one a given day belongs to."""
-    latest = F.max("order_date")
-    closed = last_closed_sunday(latest)
+    closed = last_closed_sunday(F.max("order_date"))
     day = as_date(week_ending)
     wanted = F.least(week_end(F.lit(day)), closed) if day else closed
     return orders.agg(wanted).first()[0]
 
 
 def weekly_report(
-    orders: DataFrame, week_ending: date | str | None = None, interactions: DataFrame | None = None
+    orders: DataFrame,
+    sunday: date,
+    interactions: DataFrame | None = None,
+    ledger: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All report tables of one closed week, the last one unless given."""
-    sunday = closing_sunday(orders, week_ending)
-    report = {}
-    for name, section in _SECTIONS.items():
-        table = section(orders)
+    """All report tables of the closed week ending on `sunday`.
+
+    Sections read the `ledger` and the week's `facts` where these have been stored,
+    as `publish_report` does, and the orders otherwise.
+    """
+    if facts is None:
+        facts = week_facts(touching_week(orders, sunday))
+    report = {name: section(orders, ledger) for name, section in _FROM_LEDGER.items()}
+    report |= {name: section(orders, facts) for name, section in _FROM_FACTS.items()}
+    report["daily_sales"] = weekly.daily_sales_vs_previous(orders, sunday)
+    for name, table in report.items():
         key = "cutoff" if "cutoff" in table.columns else "week_end"
         report[name] = table.where(F.col(key) == F.lit(sunday))
     if interactions is not None:
@@ -75,10 +87,18 @@ def publish_report(
 ) -> None:
     """Write the report, then recompute its figures from the orders; fail if they differ.
 
-    `orders` should be a stored table (`write_orders`): each section then reads only
-    the columns it needs, and nothing has to be held in executor memory.
+    `orders` should be a stored table (`write_orders`). It is read whole once, for the
+    ledger, and twice in part, for the facts of the week and the days of two weeks.
+    The ledger and the facts are written first; all other sections are made of them,
+    so a lost executor never sends a section back to the orders.
     """
-    report = weekly_report(orders, week_ending, interactions)
-    write_report(report, path)
-    written = orders.sparkSession.read.parquet(f"{path}/metrics")
-    require_match(audit_report(orders, written, closing_sunday(orders, week_ending)))
+    spark = orders.sparkSession
+    sunday = closing_sunday(orders, week_ending)
+    if sunday is None:
+        raise ValueError("no dated order, so there is no week to report")
+    base = {"ledger": weekly_ledger(orders), "facts": week_facts(touching_week(orders, sunday))}
+    write_report(base, path)
+    stored = {name: spark.read.parquet(f"{path}/{name}") for name in base}
+    write_report(weekly_report(orders, sunday, interactions, **stored), path)
+    metrics = spark.read.parquet(f"{path}/metrics")
+    require_match(audit_report(orders, metrics, sunday))

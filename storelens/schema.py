@@ -54,12 +54,6 @@ RUNS = T.StructType([
     T.StructField("outputs", T.StringType()),
 ])
 
-PAGES = T.StructType([
-    T.StructField("doc_stem", T.StringType()),
-    T.StructField("page_no", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
-
 GOLD_QUESTIONS = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("questions", T.ArrayType(T.StructType([

@@ -32,7 +32,8 @@ def test_ranks_are_limited_before_the_shuffle(spark, name):
 
 
 def test_weekly_metrics_read_the_orders_once(spark):
-    for name in ("weekly_metrics", "weekly_alerts", "weekly_series", "daily_sales_vs_prev", "chart_delivery_hist"):
+    for name in ("weekly_metrics", "weekly_alerts", "weekly_series", "daily_sales_vs_prev", "chart_delivery_hist",
+                 "repeat_return_products", "cancellations_rollup", "weekly_category_share"):
         physical = plans(spark, name)[1]
         assert physical.count("lineitem.parquet") == 1, name
 

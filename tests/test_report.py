@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from storelens.operators import charts, sales, weekly
 from storelens.plans.audit import AuditError, audit_report, require_match
 from storelens.plans.weekly_report import closing_sunday, publish_report, weekly_report
+from storelens.operators.week_facts import touching_week, week_facts
+from storelens.sources.orders import write_orders
 from storelens.sources.warehouse import retail_orders
 from tests.conftest import rows
 from tests.test_weekly import Plain, last_sunday, random_orders
@@ -57,20 +59,49 @@ def test_closing_sunday(df, made):
 def test_report_is_one_week_and_gets_published(spark, df, made, tmp_path):
     day = last_sunday(max(o["order_date"] for o in made if o["order_date"])) - timedelta(days=8)
     publish_report(df, str(tmp_path), day)
-    report = weekly_report(df, day)
     sunday = day + timedelta(days=(6 - day.weekday()) % 7)
+    report = weekly_report(df, sunday)
+    assert len(report) == 20
     for name, table in report.items():
         stored = spark.read.parquet(f"{tmp_path}/{name}")
         key = "cutoff" if "cutoff" in stored.columns else "week_end"
         assert {r[0] for r in stored.select(key).distinct().collect()} <= {sunday}, name
-        assert stored.columns == table.columns
+        # Sections made of stored facts equal those made of the orders.
+        assert sorted(rows(stored), key=str) == sorted(rows(table), key=str), name
     stored = spark.read.parquet(f"{tmp_path}/metrics").collect()
     assert [r["orders"] for r in stored] == [len(Plain(made, sunday).sold)]
 
 
+def test_one_week_of_facts_equals_that_week_of_all(df, made):
+    sunday = last_sunday(max(o["order_date"] for o in made if o["order_date"])) - timedelta(days=14)
+    one = weekly.week_facts(touching_week(df, sunday)).where(F.col("week_end") == F.lit(sunday))
+    every = weekly.week_facts(df).where(F.col("week_end") == F.lit(sunday))
+    assert one.count() > 10 and sorted(rows(one), key=str) == sorted(rows(every), key=str)
+    days = weekly.daily_sales_vs_previous(df).where(F.col("week_end") == F.lit(sunday))
+    assert sorted(rows(weekly.daily_sales_vs_previous(df, sunday))) == sorted(rows(days))
+
+
+def test_days_of_a_week_without_orders(df):
+    quiet = weekly.daily_sales_vs_previous(df, date(2031, 1, 5))
+    assert [float(r[0]) for r in rows(quiet, "revenue")] == [0.0] * 7
+
+
+def test_no_orders_no_report(df, tmp_path):
+    with pytest.raises(ValueError, match="no week"):
+        publish_report(df.where("order_id = 'none'"), str(tmp_path))
+
+
+def test_report_reads_parts_of_the_stored_orders(spark, df, tmp_path):
+    write_orders(df, str(tmp_path / "orders"))
+    stored = spark.read.parquet(str(tmp_path / "orders"))
+    facts = week_facts(touching_week(stored, date(2026, 2, 1)))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Or(And(GreaterThanOrEqual(order_date,2026-01-26),LessThanOrEqual(order_date,2026-02-01))" in plan
+
+
 def test_report_with_team_sections(spark, df):
     asked = spark.createDataFrame([("q", [("top_products", 2)])], "question string, tools array<struct<tool:string,calls:bigint>>")
-    report = weekly_report(df, interactions=asked)
+    report = weekly_report(df, closing_sunday(df), interactions=asked)
     assert rows(report["team_questions"]) == [("q", 1)]
     assert rows(report["team_topics"]) == [("Sales & products", 2, 1.0)]
 
