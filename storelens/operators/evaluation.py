@@ -31,6 +31,24 @@ def parse_verdicts(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.select(*others, parsed_reply(col(reply)).alias("_v")).select(*others, "_v.*")
 
 
+def verdict_table(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """Gold questions with the answer they got, its seconds, verdict and reason.
+
+    `answers` holds `id, answer, elapsed_s, error, reply`, the reply being the judge's.
+    An answer that failed is an `ERROR` with the start of its error text.
+    """
+    failed = F.coalesce("error", F.lit("")) != ""
+    judged = parsed_reply("reply")
+    scored = answers.select(
+        "id",
+        F.when(failed, F.lit("")).otherwise(F.col("answer")).alias("answer"),
+        F.round("elapsed_s", 1).alias("elapsed_s"),
+        F.when(failed, F.lit("ERROR")).otherwise(judged["verdict"]).alias("verdict"),
+        F.when(failed, F.left("error", F.lit(120))).otherwise(judged["reason"]).alias("reason"),
+    )
+    return gold.join(scored, "id")
+
+
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
     """Rows per verdict and their share of all rows; a verdict nobody got shows 0."""
     counted = verdicts.agg(

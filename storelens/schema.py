@@ -8,6 +8,7 @@ ORDER_COLUMNS = (
     "order_status", "delivery_date", "delivery_days", "return_request_date",
     "return_reason", "return_status",
 )
+DATE_COLUMNS = ("order_date", "delivery_date", "return_request_date")
 REQUIRED_ORDER_COLUMNS = ("order_id", "order_date", "total")
 
 ORDERS = T.StructType([

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import partial
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import blank_to_null, mixed_date, money, number, whole_number
 from storelens.lookups import MISSING_TEXTS
-from storelens.schema import ORDER_COLUMNS, REQUIRED_ORDER_COLUMNS
+from storelens.schema import DATE_COLUMNS, ORDER_COLUMNS, REQUIRED_ORDER_COLUMNS
 
 
 def read_orders(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -24,9 +27,8 @@ def read_orders(spark: SparkSession, path: str, multiline: bool = False) -> Data
         .option("multiLine", multiline)
         .csv(path)
     )
-    return raw.select(
-        *[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    )
+    cells = {c: F.col("`" + c.replace("`", "``") + "`") for c in raw.columns}
+    return raw.select(*[F.when(~cell.isin(*MISSING_TEXTS), cell).alias(c) for c, cell in cells.items()])
 
 
 def read_orders_with_fallback(
@@ -47,8 +49,9 @@ def read_orders_with_fallback(
     return read_orders(spark, snapshot, multiline)
 
 
-def clean_orders(raw: DataFrame, strict_dates: bool = True) -> DataFrame:
-    """Typed orders. An unreadable order date fails the query when `strict_dates`.
+def clean_orders(raw: DataFrame, strict_dates: Collection[str] = ("order_date",)) -> DataFrame:
+    """Typed orders. Unreadable text in a date column fails the query if the column is
+    among `strict_dates`, and is missing otherwise.
 
     A column the source lacks is NULL throughout, apart from the required ones.
     """
@@ -56,9 +59,7 @@ def clean_orders(raw: DataFrame, strict_dates: bool = True) -> DataFrame:
     if absent:
         raise ValueError(f"orders lack the columns {sorted(absent)}")
     cleaners = {
-        "order_date": lambda c: mixed_date(c, strict=strict_dates),
-        "delivery_date": mixed_date,
-        "return_request_date": mixed_date,
+        **{c: partial(mixed_date, strict=c in strict_dates) for c in DATE_COLUMNS},
         "unit_price": money,
         "total": money,
         "quantity": whole_number,

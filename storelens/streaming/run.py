@@ -22,25 +22,24 @@ def scratch_folder(spark: SparkSession) -> str:
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process all available input and return the result, read back from Parquet.
 
-    In complete mode each batch replaces the table, in append mode it adds to it. A
-    batch that is repeated after a failure overwrites its own files only.
+    Append mode writes through the file sink, which counts every row once across
+    restarts. Complete mode replaces the table by each batch's full result.
     """
     spark = stream.sparkSession
     folder = folder or scratch_folder(spark)
     target = f"{folder}/result"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        part = target if mode == "complete" else f"{target}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(part)
-
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    if mode == "append":
+        query = writer.format("parquet").start(target)
+    else:
+        query = writer.foreachBatch(
+            lambda batch, _: batch.write.mode("overwrite").parquet(target)
+        ).start()
     query.awaitTermination()
     if not path_exists(spark, target):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns)
+    return spark.read.schema(stream.schema).parquet(target)

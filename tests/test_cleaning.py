@@ -138,3 +138,13 @@ def test_timestamps_clean_to_dates(spark):
         [("A", datetime(2026, 7, 20, 23, 59), 5.0)], "order_id string, order_date timestamp_ntz, total double"
     )
     assert rows(clean_orders(raw), "order_date", "total") == [(date(2026, 7, 20), D("5.00"))]
+
+
+def test_any_date_column_can_be_strict(spark):
+    raw = spark.createDataFrame(
+        [("A", "2026-07-20", 5.0, "soon")], "order_id string, order_date string, total double, delivery_date string"
+    )
+    assert rows(clean_orders(raw), "delivery_date") == [(None,)]
+    strict = clean_orders(raw, strict_dates=("order_date", "delivery_date"))
+    with pytest.raises(PySparkException, match="unreadable date: soon"):
+        strict.select("delivery_date").collect()

@@ -151,6 +151,20 @@ def test_parse_verdicts(spark):
     assert got == [c[1] for c in cases]
 
 
+def test_verdict_table(spark):
+    gold = spark.createDataFrame([(1, "docs", "q1"), (2, "api", "q2"), (3, "api", "q3")], "id int, category string, question string")
+    answers = spark.createDataFrame(
+        [(1, "a1", 1.26, None, '{"verdict": "PASS", "reason": "ok"}'), (2, "lost", 9.0, "e" * 200, None), (3, "a3", 2.0, "", "hm")],
+        "id int, answer string, elapsed_s double, error string, reply string",
+    )
+    got = rows(evaluation.verdict_table(gold, answers).orderBy("id"))
+    assert got == [
+        (1, "docs", "q1", "a1", 1.3, "PASS", "ok"),
+        (2, "api", "q2", "", 9.0, "ERROR", "e" * 120),
+        (3, "api", "q3", "a3", 2.0, "NEEDS_REVIEW", "unparseable judge reply: hm"),
+    ]
+
+
 def test_verdict_tables(spark, tmp_path):
     verdicts = spark.createDataFrame(
         [(1, "docs", "PASS"), (2, "docs", "FAIL"), (3, "api", "PASS"), (4, "api", "ERROR")],

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from storelens import call
 from storelens.lookups import NO_PASSAGES
 from storelens.operators import vectors
+from storelens.operators.sections import policy_chunks
+from storelens.plans.policy_index import build_index
 from tests.conftest import rows
+from tests.test_sections import PAGES
 
 SCHEMA = "passage_id long, embedding array<float>"
 
@@ -90,3 +93,20 @@ def test_corpus_text_is_not_shuffled_for_a_citation(spark, passages):
     nearest = vectors.top_passages(corpus, [("q", [1.0] * 16)])
     plan = vectors.cited(nearest, corpus)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_build_and_search_an_index(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "doc_stem string, page_no int, text string")
+    path = str(tmp_path / "index")
+    n = build_index(pages, toy_encoder, path)
+    index = spark.read.parquet(path)
+    assert n == index.count() == policy_chunks(pages).count()
+    stored = index.orderBy("passage_id").collect()
+    question = vectors.encode_question("plazo de retracto", toy_encoder)
+    scores = np.round(np.array([r["embedding"] for r in stored], dtype="float64") @ np.array(question), 9)
+    first = stored[int(np.argmax(scores))]
+    answer = rows(call("search_policies", index, "plazo de retracto", toy_encoder, k=2), "answer")[0][0]
+    assert answer.startswith(f"[{first['title']} — p. {first['page_label']}]\n{first['text'].strip()}\n\n---\n\n")
+    with pytest.raises(FileNotFoundError):
+        build_index(pages.where("page_no > 99"), toy_encoder, path)
+    assert spark.read.parquet(path).count() == n
