@@ -28,8 +28,9 @@ def _label(key: str, lang: str) -> Column:
 def monthly_sales(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFrame:
     return (
         sold.where(F.col("order_date").isNotNull())
-        .groupBy(month_label("order_date").alias("month"))
+        .groupBy(F.trunc("order_date", "month").alias("month"))
         .agg(total_of("total").alias("revenue"))
+        .select(month_label("month").alias("month"), "revenue")
         .orderBy("month")
     )
 

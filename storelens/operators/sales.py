@@ -106,10 +106,13 @@ def sales_breakdown(
     if dimension not in DIMENSIONS:
         raise ValueError(f"invalid dimension, use one of: {', '.join(DIMENSIONS)}")
     sold = non_cancelled(in_period(orders, start_date, end_date))
-    key = month_label("order_date") if dimension == "month" else F.col(dimension)
+    by_month = dimension == "month"
+    key = F.trunc("order_date", "month") if by_month else F.col(dimension)
     grouped = (
         sold.groupBy(key.alias(dimension))
         .agg(total_of("total").alias("revenue"), F.count("order_id").alias("orders"))
         .where(F.col(dimension).isNotNull())
     )
-    return grouped.orderBy("month") if dimension == "month" else grouped.orderBy(F.desc("revenue"), dimension)
+    if by_month:
+        return grouped.withColumn("month", month_label("month")).orderBy("month")
+    return grouped.orderBy(F.desc("revenue"), dimension)

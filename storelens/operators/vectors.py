@@ -27,6 +27,8 @@ Question = tuple[str, Sequence[float]]
 
 # Scores are compared at this precision, so equal vectors tie in any summation order.
 SCORE_DIGITS = 9
+# Bounds the score matrix a task holds at a time, whatever the number of questions.
+SCORES_AT_ONCE = 4_000_000
 
 
 def _unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -91,22 +93,26 @@ def top_passages(
         T.StructField("score", T.DoubleType()),
     ])
 
+    rows_at_once = max(1, SCORES_AT_ONCE // len(names))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table | None] = [None] * len(names)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = values.reshape(batch.num_rows, -1).astype("float64")
-            scores = np.round(vectors @ matrix, SCORE_DIGITS)
-            for q in range(len(names)):
-                seen = pa.table({key: batch.column(0), "score": pa.array(scores[:, q])})
-                if kept[q] is not None:
+        worst = np.full(len(names), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                vectors = values.reshape(batch.num_rows, -1).astype("float64")
+                scores = np.round(vectors @ matrix, SCORE_DIGITS)
+                # Soon hardly any passage still makes it among a question's best.
+                for q in np.flatnonzero(scores.max(axis=0) >= worst):
+                    good = scores[:, q] >= worst[q]
+                    found = pa.table({key: batch.column(0), "score": scores[:, q]}).filter(pa.array(good))
+                    if kept[q] is not None:
+                        found = pa.concat_tables([kept[q], found])
+                    kept[q] = found.sort_by([("score", "descending"), (key, "ascending")]).slice(0, k)
                     if kept[q].num_rows == k:
-                        worst = kept[q]["score"][k - 1].as_py()
-                        seen = seen.filter(pa.array(scores[:, q] >= worst))
-                    seen = pa.concat_tables([kept[q], seen])
-                kept[q] = seen.sort_by([("score", "descending"), (key, "ascending")]).slice(0, k)
+                        worst[q] = kept[q]["score"][k - 1].as_py()
         for name, rows in zip(names, kept):
             if rows is not None:
                 labelled = pa.table({

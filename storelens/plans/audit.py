@@ -16,16 +16,15 @@ TOLERANCE = 0.01
 _WEEKLY = """
     SELECT week_end, metric, SUM(amount) AS audit_value
     FROM (
-        SELECT CAST(date_trunc('WEEK', order_date) AS DATE) + INTERVAL 6 DAYS AS week_end,
-               stack(3, 'revenue', sale, 'orders', kept, 'cancelled', dropped) AS (metric, amount)
-        FROM (SELECT order_date,
+        SELECT stack(4, placed, 'revenue', sale, placed, 'orders', kept, placed, 'cancelled', dropped,
+                     filed, 'filed', one) AS (week_end, metric, amount)
+        FROM (SELECT CAST(date_trunc('WEEK', order_date) AS DATE) + INTERVAL 6 DAYS AS placed,
+                     CAST(date_trunc('WEEK', return_request_date) AS DATE) + INTERVAL 6 DAYS AS filed,
                      CAST(IF(COALESCE(order_status, '') = 'cancelled', 0, COALESCE(total, 0)) AS DECIMAL(18, 2)) AS sale,
                      CAST(IF(COALESCE(order_status, '') = 'cancelled', 0, 1) AS DECIMAL(18, 2)) AS kept,
-                     CAST(IF(COALESCE(order_status, '') = 'cancelled', 1, 0) AS DECIMAL(18, 2)) AS dropped
+                     CAST(IF(COALESCE(order_status, '') = 'cancelled', 1, 0) AS DECIMAL(18, 2)) AS dropped,
+                     CAST(1 AS DECIMAL(18, 2)) AS one
               FROM {orders})
-        UNION ALL
-        SELECT CAST(date_trunc('WEEK', return_request_date) AS DATE) + INTERVAL 6 DAYS, 'filed', 1
-        FROM {orders}
     )
     WHERE week_end BETWEEN (SELECT CAST(date_trunc('WEEK', MIN(order_date)) AS DATE) FROM {orders})
                        AND (SELECT MAX(order_date) - (weekday(MAX(order_date)) + 1) % 7 FROM {orders})
