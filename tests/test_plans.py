@@ -8,9 +8,14 @@ SF = "/root/testdata/sf0.001"
 STREAMS = {"stream_topic_windows", "stream_closed_weeks"}
 
 
+_PLANS = {}
+
+
 def plans(spark, name):
-    execution = QUERIES[name](spark, SF)._jdf.queryExecution()
-    return execution.optimizedPlan().toString(), execution.executedPlan().toString()
+    if name not in _PLANS:
+        execution = QUERIES[name](spark, SF)._jdf.queryExecution()
+        _PLANS[name] = execution.optimizedPlan().toString(), execution.executedPlan().toString()
+    return _PLANS[name]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
