@@ -14,22 +14,20 @@ WHITESPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Tried in this order, so an ambiguous 03/04/2026 is the month first.
-_DATE_FORMATS = (
-    "M/d/yyyy[ H:mm[:ss]]",
-    "d/M/yyyy[ H:mm[:ss]]",
-    "yyyy/M/d[ H:mm[:ss]]",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "d-MMM-yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "M/d/yy",
-    "d/M/yy",
-    "yyyyMMdd",
-)
+# Shapes of a written date and the formats each may be in. A text is only parsed as
+# what it looks like, month first: 03/04/2026 is the fourth of March, 25/12/2025 can
+# only be Christmas.
+_DATE_SHAPES = {
+    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"),
+    r"^\d{1,2}/\d{1,2}/\d{2}$": ("M/d/yy", "d/M/yy"),
+    r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy", "d-M-yyyy"),
+    r"^\d{4}/": ("yyyy/M/d[ H:mm[:ss]]",),
+    r"^\d{8}$": ("yyyyMMdd",),
+    r"^[A-Za-z]{3} ": ("MMM d, yyyy", "MMM d yyyy"),
+    r"^[A-Za-z]{4,9} ": ("MMMM d, yyyy", "MMMM d yyyy"),
+    r"^\d{1,2}[ -][A-Za-z]{3}[ -]": ("d MMM yyyy", "d-MMM-yyyy"),
+    r"^\d{1,2} [A-Za-z]{4,9} ": ("d MMMM yyyy",),
+}
 
 
 def col(c: Column | str) -> Column:
@@ -66,10 +64,10 @@ def mixed_date(c: Column | str, strict: bool = False) -> Column:
     `strict`. A time of day is dropped, so the last day of a period is whole.
     """
     text = strip(c)
-    iso = F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp_ntz").cast("date"))
-    parsed = F.coalesce(
-        iso, *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in _DATE_FORMATS]
-    )
+    parsed = F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp_ntz").cast("date"))
+    for shape, formats in _DATE_SHAPES.items():
+        tries = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+        parsed = parsed.when(text.rlike(shape), F.coalesce(*tries))
     if not strict:
         return parsed
     return F.when(

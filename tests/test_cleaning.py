@@ -38,6 +38,16 @@ def test_mixed_dates(spark):
         "4 July 2026": date(2026, 7, 4),
         "7/4/26": date(2026, 7, 4),
         "20260720": date(2026, 7, 20),
+        "May 4, 2026": date(2026, 5, 4),
+        "4 May 2026": date(2026, 5, 4),
+        "4-Jul-2026": date(2026, 7, 4),
+        "July 4 2026": date(2026, 7, 4),
+        "13-07-2026": date(2026, 7, 13),
+        "04-07-2026": date(2026, 4, 7),
+        "2026-7-4": date(2026, 7, 4),
+        " 7/4/2026 ": date(2026, 7, 4),
+        "31/31/2026": None,
+        "2026-13-01": None,
         "": None,
         "n/a": None,
         "12:30": None,
@@ -79,7 +89,7 @@ def sheet(tmp_path):
     path = tmp_path / "orders.csv"
     path.write_text(
         HEADER
-        + '"$1,234.50",A,7/4/2026,"Lamp ""XL"", red",Chile,delivered,3,July 9 2026,\n'
+        + '"$1,234.50",A,7/4/2026,"Lamp ""XL"", red",Chile,delivered,3,whenever,\n'
         + "$39.99,B,2026-07-20,Chair,,,,2026-07-25,changed_mind\n"
         + "abc,C,25/12/2025,Desk,N/A,cancelled,n/a,,\n",
         encoding="utf-8",
