@@ -75,7 +75,7 @@ def _reported(weeks: DataFrame) -> DataFrame:
 
 
 def weekly_metrics(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The 16 figures of a week. Returns count by request date, whatever the order."""
+    """The figures of every closed week. Returns count by request date, whatever the order."""
     return _reported(_metrics(_ledger(orders, ledger))).select(
         "week_start", "week_end", "revenue", "orders", "aov", "placed", "cancelled", "cancelled_value",
         "cancel_rate", "filed", "return_rate_filed", "avg_delivery_days", "units", "units_per_order",
@@ -86,7 +86,8 @@ def weekly_metrics(orders: DataFrame, ledger: DataFrame | None = None) -> DataFr
 def _with_history(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Each trend metric with its previous week, 4-week mean and 5-week series.
 
-    The mean is of weekly ratios, and missing unless all four weeks have a value.
+    The mean is of weekly ratios, and missing unless all four weeks have a value. The
+    windows have one row per week to order, so one task is enough for them.
     """
     by_week = W.orderBy("week_end")
     before = by_week.rowsBetween(-TREND_WEEKS, -1)
