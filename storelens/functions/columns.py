@@ -101,6 +101,16 @@ def pretty(c: Column | str) -> Column:
     return F.concat(F.upper(F.left(words, F.lit(1))), F.lower(F.substr(words, F.lit(2))))
 
 
+def money_text(c: Column | str, digits: int = 0) -> Column:
+    """1234.5 -> `$1,234` (halves to the even neighbour)."""
+    return F.concat(F.lit("$"), F.format_number(col(c).cast("double"), digits))
+
+
+def percent_text(c: Column | str) -> Column:
+    """8.84 -> `8.8%`."""
+    return F.concat(F.format_number(col(c).cast("double"), 1), F.lit("%"))
+
+
 def not_cancelled(status: Column | str = "order_status") -> Column:
     """True for every status but cancelled, a missing one included."""
     return ~col(status).eqNullSafe("cancelled")

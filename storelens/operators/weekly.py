@@ -12,7 +12,9 @@ from storelens.functions.columns import (
     change_pct,
     col,
     lookup,
+    money_text,
     not_cancelled,
+    percent_text,
     ratio,
     ratio_or_zero,
     run_length,
@@ -225,6 +227,19 @@ def weekly_summary(orders: DataFrame, ledger: DataFrame | None = None) -> DataFr
     )
 
 
+def summary_text(summary: DataFrame) -> DataFrame:
+    """The value of each headline metric as the report prints it, a missing one as NULL."""
+    metric, value = F.col("metric"), F.col("value")
+    text = (
+        F.when(metric == "revenue", money_text(value))
+        .when(metric == "orders", F.format_number(value, 0))
+        .when(metric == "aov", money_text(value, 2))
+        .when(metric == "avg_delivery_days", F.concat(F.format_number(value, 1), F.lit(" days")))
+        .otherwise(percent_text(value))
+    )
+    return summary.select("week_end", "metric", text.alias("text"))
+
+
 # ---- cancellations, returns, products -------------------------------------------
 #
 # Each of these reads the orders, or facts of them that a report has stored.

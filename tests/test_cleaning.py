@@ -5,7 +5,17 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from storelens.functions.columns import localized, mixed_date, money, number, pretty, strip, whole_number
+from storelens.functions.columns import (
+    localized,
+    mixed_date,
+    money,
+    money_text,
+    number,
+    percent_text,
+    pretty,
+    strip,
+    whole_number,
+)
 from storelens.lookups import LABELS_ES
 from storelens.schema import ORDERS
 from storelens.sources.orders import clean_orders, read_orders, read_orders_with_fallback, write_orders
@@ -77,6 +87,14 @@ def test_labels(spark):
     ]
 
 
+def test_report_text(spark):
+    df = spark.createDataFrame([(1234.5,), (0.5,), (1e6,), (None,)], "c double")
+    assert rows(df.select(money_text("c"), money_text("c", 2), percent_text("c"))) == [
+        ("$1,234", "$1,234.50", "1,234.5%"), ("$0", "$0.50", "0.5%"), ("$1,000,000", "$1,000,000.00", "1,000,000.0%"),
+        (None, None, None),
+    ]
+
+
 def test_strip_takes_all_whitespace(spark):
     assert column(spark, ["\n\t a b \r\n", " x "], strip) == ["a b", "x"]
 

@@ -460,6 +460,11 @@ ORACLES: dict[str, str] = {
         FROM reported WHERE metric = 'revenue'"""),
     "weekly_summary": _summary(),
     "report_summary": _summary("WHERE week_end = DATE '1999-07-04'"),
+    "weekly_summary_text": _over_weeks("""
+        SELECT week_end, metric, CASE metric WHEN 'revenue' THEN format('${:,.0f}', now)
+            WHEN 'orders' THEN format('{:,.0f}', now) WHEN 'aov' THEN format('${:,.2f}', now)
+            WHEN 'avg_delivery_days' THEN format('{:.1f} days', now) ELSE format('{:.1f}%', now) END AS text
+        FROM reported"""),
     "cancellations_by_country": _over_orders(f"""
         SELECT {_week('order_date')} AS week_end, country, count(order_id) AS cancelled, {_money('total', 'cancelled_value')}
         FROM o WHERE order_status = 'cancelled' AND country IS NOT NULL GROUP BY 1, 2"""),

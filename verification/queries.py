@@ -257,6 +257,7 @@ QUERIES: dict[str, Query] = {
     "decline_streak": _orders(weekly.decline_streak),
     "weekly_summary": _orders(weekly.weekly_summary),
     "report_summary": _orders(weekly.report_summary, week_ending="1999-06-30"),
+    "weekly_summary_text": _orders(lambda orders: weekly.summary_text(weekly.weekly_summary(orders))),
     "cancellations_by_country": _orders(weekly.cancellations_by_country),
     "cancellation_concentration": _orders(weekly.cancellation_concentration),
     "cancellations_rollup": _orders(weekly.cancellations_rollup),
