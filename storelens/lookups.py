@@ -38,6 +38,18 @@ CONCENTRATION_SHARE = 0.5
 TREND_WEEKS = 4
 FLAT_BELOW = 0.05
 
+# Lengths, caps, windows and the audit's tolerance.
+MAX_LISTED = 50
+CHART_PRODUCTS_MIN, CHART_PRODUCTS_MAX = 3, 15
+ARCHIVE_DAYS = 14
+ARCHIVE_CHARS = 500
+INSIGHT_DAYS = 30
+QUESTION_CHARS = 160
+ERROR_CHARS = 120
+REPLY_CHARS = 60
+UNREAD_REPLY = "unparseable judge reply: "
+AUDIT_TOLERANCE = 0.01
+
 # Tool name -> topic of the team questions; anything else is "Other".
 TOOL_TOPICS = {
     "search_policies": "Internal policies",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.columns import blank_to_null, localized, ratio, total_of, whole_number
 from storelens.functions.dates import month_label, whole_range
-from storelens.lookups import CHART_KINDS, LABELS_ES
+from storelens.lookups import CHART_KINDS, CHART_PRODUCTS_MAX, CHART_PRODUCTS_MIN, LABELS_ES
 from storelens.operators.sales import count_by, in_period, non_cancelled
 
 
@@ -42,7 +42,7 @@ def top_products(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFrame:
         .groupBy("product")
         .agg(total_of("total").alias("revenue"))
         .orderBy(F.desc("revenue"), "product")
-        .limit(max(3, min(n, 15)))
+        .limit(max(CHART_PRODUCTS_MIN, min(n, CHART_PRODUCTS_MAX)))
     )
     return best.orderBy("revenue", F.desc("product"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import col, ratio, strip
-from storelens.lookups import JUDGE_VERDICTS, VERDICTS
+from storelens.lookups import ERROR_CHARS, JUDGE_VERDICTS, REPLY_CHARS, UNREAD_REPLY, VERDICTS
 
 
 def parsed_reply(reply: Column | str) -> Column:
@@ -18,7 +18,7 @@ def parsed_reply(reply: Column | str) -> Column:
         F.from_json(text, "verdict string, reason string", {"mode": "PERMISSIVE"}),
     )
     usable = data["verdict"].isin(*JUDGE_VERDICTS)
-    unread = F.concat(F.lit("unparseable judge reply: "), F.left(F.coalesce(text, F.lit("")), F.lit(60)))
+    unread = F.concat(F.lit(UNREAD_REPLY), F.left(F.coalesce(text, F.lit("")), F.lit(REPLY_CHARS)))
     return F.struct(
         F.when(usable, data["verdict"]).otherwise("NEEDS_REVIEW").alias("verdict"),
         F.when(usable, data["reason"]).otherwise(unread).alias("reason"),
@@ -44,7 +44,7 @@ def verdict_table(gold: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(failed, F.lit("")).otherwise(F.col("answer")).alias("answer"),
         F.round("elapsed_s", 1).alias("elapsed_s"),
         F.when(failed, F.lit("ERROR")).otherwise(judged["verdict"]).alias("verdict"),
-        F.when(failed, F.left("error", F.lit(120))).otherwise(judged["reason"]).alias("reason"),
+        F.when(failed, F.left("error", F.lit(ERROR_CHARS))).otherwise(judged["reason"]).alias("reason"),
     )
     return gold.join(scored, "id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LISTED = 50
+from storelens.lookups import MAX_LISTED
 
 
 def order_lookup(orders: DataFrame, order_id: str) -> DataFrame:

@@ -12,11 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import lookup, ratio, strip
-from storelens.lookups import OTHER, TOOL_TOPICS, TRACE_QUESTION
+from storelens.lookups import INSIGHT_DAYS, OTHER, QUESTION_CHARS, TOOL_TOPICS, TRACE_QUESTION
 from storelens.sources.logs import in_trailing_days
 
 TOOL_CALLS = "array<struct<tool:string,calls:bigint>>"
-QUESTION_CHARS = 160
 
 
 def logged_interactions(log: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def trace_question(inputs: Column | str) -> Column:
     return F.substring(F.nullif(found, F.lit("")), 1, QUESTION_CHARS)
 
 
-def traced_interactions(runs: DataFrame, days: int | None = 30, as_of: Column | None = None) -> DataFrame:
+def traced_interactions(runs: DataFrame, days: int | None = INSIGHT_DAYS, as_of: Column | None = None) -> DataFrame:
     """Traced questions of the last days; a run without a readable question is dropped.
 
     The question is cut out before the join, so the long inputs are never shuffled.
@@ -72,7 +71,7 @@ def traced_interactions(runs: DataFrame, days: int | None = 30, as_of: Column |
 
 
 def all_interactions(
-    log: DataFrame, runs: DataFrame, days: int | None = 30, as_of: Column | None = None
+    log: DataFrame, runs: DataFrame, days: int | None = INSIGHT_DAYS, as_of: Column | None = None
 ) -> DataFrame:
     """Logged and traced interactions, duplicates kept. Only traces have a time bound."""
     return logged_interactions(log).unionByName(traced_interactions(runs, days, as_of))

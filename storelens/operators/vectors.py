@@ -51,7 +51,7 @@ def encode_column(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [prefix + (t or "") for t in batch.column("_text").to_pylist()]
+            texts = [prefix + (t or "") for t in batch.column(text).to_pylist()]
             matrix = _unit_rows(np.asarray(encoder(texts), dtype="float64")).astype("float32")
             flat = pa.array(matrix.ravel())
             offsets = pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype="int32"))
@@ -60,7 +60,7 @@ def encode_column(
                 [*columns, pa.ListArray.from_arrays(offsets, flat)], names=[*kept, output]
             )
 
-    return rows.withColumn("_text", F.col(text)).mapInArrow(encode, schema)
+    return rows.mapInArrow(encode, schema)
 
 
 def encode_question(question: str, encoder: Encoder) -> list[float]:

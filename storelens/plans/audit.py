@@ -11,7 +11,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOLERANCE = 0.01
+from storelens.lookups import AUDIT_TOLERANCE
 
 _WEEKLY = """
     SELECT week_end, metric, SUM(amount) AS audit_value
@@ -61,7 +61,7 @@ def report_figures(metrics: DataFrame) -> DataFrame:
 
 
 def audit_report(
-    orders: DataFrame, metrics: DataFrame, week_end: date | None = None, tolerance: float = TOLERANCE
+    orders: DataFrame, metrics: DataFrame, week_end: date | None = None, tolerance: float = AUDIT_TOLERANCE
 ) -> DataFrame:
     """Report figures beside figures recomputed from the orders, flagged if they match.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import col
+from storelens.lookups import ARCHIVE_CHARS, ARCHIVE_DAYS
 from storelens.schema import GOLD_QUESTIONS, INTERACTIONS
 
 
@@ -51,8 +52,8 @@ def in_trailing_days(ts: Column | str, days: int | None, as_of: Column) -> Colum
     return col(ts) >= as_of - F.make_dt_interval(F.lit(int(days)))
 
 
-def trace_archive(runs: DataFrame, days: int = 14, as_of: Column | None = None) -> DataFrame:
-    """Root runs of the last days with latency and 500 characters of input and output.
+def trace_archive(runs: DataFrame, days: int = ARCHIVE_DAYS, as_of: Column | None = None) -> DataFrame:
+    """Root runs of the last days with latency and the start of input and output.
 
     `as_of` is a timestamp expression; the latest start in the table by default.
     """
@@ -65,8 +66,8 @@ def trace_archive(runs: DataFrame, days: int = 14, as_of: Column | None = None)
         seconds_between("start_time", "end_time").alias("latency_s"),
         "total_tokens",
         "error",
-        F.substring("inputs", 1, 500).alias("input"),
-        F.substring("outputs", 1, 500).alias("output"),
+        F.substring("inputs", 1, ARCHIVE_CHARS).alias("input"),
+        F.substring("outputs", 1, ARCHIVE_CHARS).alias("output"),
     )
 
 
