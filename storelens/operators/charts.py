@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storelens.functions.columns import blank_to_null, localized, ratio, total_of, whole_number
 from storelens.functions.dates import month_label, whole_range
 from storelens.lookups import CHART_KINDS, CHART_PRODUCTS_MAX, CHART_PRODUCTS_MIN, LABELS_ES
-from storelens.operators.sales import count_by, in_period, non_cancelled
+from storelens.operators.sales import count_by, counts_of, in_period, non_cancelled
 
 
 def _labels(lang: str) -> dict[str, str]:
@@ -56,7 +56,7 @@ def returns_by_reason(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFra
 
 def payment_share(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFrame:
     """Orders per payment method with their share of all orders that have one."""
-    counts = count_by(sold, "payment_method", "orders")
+    counts = counts_of(sold, "payment_method", "orders")
     # One row per payment method is all the unpartitioned window sees.
     whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shares = counts.withColumn("share", ratio("orders", F.sum("orders").over(whole)))

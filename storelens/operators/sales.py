@@ -58,12 +58,11 @@ def orders_by_status_counts(
 
 def count_by(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Rows per value of a column, missing values left out, most frequent first."""
-    return (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias(name))
-        .orderBy(F.desc(name), key)
-    )
+    return counts_of(rows, key, name).orderBy(F.desc(name), key)
+
+
+def counts_of(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def top_products(

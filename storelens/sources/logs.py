@@ -28,6 +28,14 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INTERACTIONS).json(path)
 
 
+def stream_interactions(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The interaction log as a stream of the JSON-lines files that arrive at `path`."""
+    reader = spark.readStream.schema(INTERACTIONS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
+
 def append_interactions(interactions: DataFrame, path: str) -> None:
     """Append a batch to the log: whole-second UTC times, latency to two decimals."""
     utc = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

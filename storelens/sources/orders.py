@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.columns import blank_to_null, mixed_date, money, number, whole_number
 from storelens.lookups import MISSING_TEXTS
-from storelens.schema import DATE_COLUMNS, ORDER_COLUMNS, REQUIRED_ORDER_COLUMNS
+from storelens.schema import DATE_COLUMNS, ORDER_COLUMNS, ORDERS, REQUIRED_ORDER_COLUMNS
 
 
 def read_orders(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -75,6 +75,14 @@ def clean_orders(raw: DataFrame, strict_dates: Collection[str] = ("order_date",)
     return text.select(*[cleaners.get(c, blank_to_null)(c).alias(c) for c in ORDER_COLUMNS])
 
 
+def stream_orders(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Cleaned orders as a stream of the Parquet files that arrive at `path`."""
+    reader = spark.readStream.schema(ORDERS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
 def write_orders(orders: DataFrame, path: str) -> None:
     """Store cleaned orders so that later queries prune columns and push dates down.
 

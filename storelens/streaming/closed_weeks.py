@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.functions.columns import not_cancelled, status_is
 
@@ -16,9 +17,11 @@ def closed_weeks(orders: DataFrame, time: str = "order_ts", lateness: str = "1 d
 
     In append mode a week comes out once the watermark has passed its end, so a late
     order within `lateness` still counts and a week is never revised. Weeks are cut at
-    midnight UTC.
+    midnight UTC. `time` may be the date of cleaned orders.
     """
     sold = not_cancelled()
+    if isinstance(orders.schema[time].dataType, T.DateType):
+        orders = orders.withColumn(time, F.timestamp_seconds(F.unix_date(time) * 86400))
     return (
         orders.withWatermark(time, lateness)
         .groupBy(F.window(time, "7 days", startTime=MONDAY_OFFSET))
