@@ -448,25 +448,24 @@ def weekly_payment_share(orders: DataFrame, facts: DataFrame | None = None) -> D
 
 def backlog(
     orders: DataFrame,
-    cutoff: date | str | Column | None = None,
+    cutoff: date | str | None = None,
     transit_days: int = TRANSIT_DAYS_LIMIT,
     processing_days: int = PROCESSING_DAYS_LIMIT,
 ) -> DataFrame:
     """One row: orders under way and in processing at a cutoff, and those overdue.
 
-    The cutoff is the last closed Sunday unless given.
+    The cutoff is the last closed Sunday unless given; its row comes out of the
+    ledger, so the orders need not be read for their latest date first.
     """
-    if isinstance(cutoff, Column):
-        day = cutoff
-    elif as_date(cutoff):
-        day = F.lit(as_date(cutoff))
-    else:
-        day = last_closed_week(orders).scalar()
+    day = as_date(cutoff)
+    if day is None:
+        ledger = weekly_ledger(orders, transit_days=transit_days, processing_days=processing_days)
+        return weekly_backlog(orders, ledger).orderBy(F.desc("cutoff")).limit(1)
     in_transit = F.col("order_status").isin("shipped", "in_transit")
     processing = status_is("processing")
-    age = F.date_diff(day, "order_date")
+    age = F.date_diff(F.lit(day), "order_date")
     return (
-        orders.where((in_transit | processing) & (F.col("order_date") <= day))
+        orders.where((in_transit | processing) & (F.col("order_date") <= F.lit(day)))
         .agg(
             F.count_if(in_transit).alias("open_orders"),
             F.count_if(in_transit & (age > transit_days)).alias("open_aged"),
@@ -474,7 +473,7 @@ def backlog(
             F.count_if(processing).alias("processing_orders"),
             F.count_if(processing & (age > processing_days)).alias("processing_aged"),
         )
-        .select(day.alias("cutoff"), "*")
+        .select(F.lit(day).alias("cutoff"), "*")
     )
 
 

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from storelens.sources.logs import path_exists
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one that `spark.checkpoint.dir` names.
-
-    Where none is set, as in tests, a temporary one serves.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storelens-")
-    return f"{shared.rstrip('/')}/storelens-{uuid.uuid4().hex}"
+from storelens.sources.scratch import scratch_folder
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from storelens.operators import weekly
 from storelens.schema import INTERACTIONS
 from storelens.sources.logs import append_interactions, stream_interactions
 from storelens.sources.orders import stream_orders, write_orders
+from storelens.sources.scratch import scratch_folder
 from storelens.streaming.closed_weeks import closed_weeks
-from storelens.streaming.run import run_to_table, scratch_folder
+from storelens.streaming.run import run_to_table
 from storelens.streaming.topics import topic_windows
 from storelens.sources.warehouse import as_interactions, table
 from tests.conftest import rows

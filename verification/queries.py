@@ -24,6 +24,7 @@ from storelens.operators import (
 from storelens.plans.audit import audit_report
 from storelens.sources import logs
 from storelens.sources import warehouse as wh
+from storelens.sources.scratch import stored
 from storelens.streaming.closed_weeks import closed_weeks
 from storelens.streaming.run import run_to_table
 from storelens.streaming.topics import topic_windows
@@ -52,6 +53,12 @@ def _orders(build: Callable[..., DataFrame], **params) -> Query:
     return _over(wh.retail_orders, lambda orders: build(orders, **params))
 
 
+def _stored_orders(build: Callable[..., DataFrame], *columns: str, **params) -> Query:
+    """For what reads the orders more than once: the view's joins run a single time."""
+    return _over(lambda spark, sf_dir: stored(wh.retail_orders(spark, sf_dir), *columns),
+                 lambda orders: build(orders, **params))
+
+
 # ---- cleaning -------------------------------------------------------------------
 
 
@@ -214,6 +221,12 @@ def stream_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(run_to_table(closed_weeks(orders)))
 
 
+_LISTED = ("order_id", "order_date", "country", "product", "total", "order_status")
+_COUNTED = (
+    "order_date", "total", "quantity", "installments", "order_status", "delivery_days",
+    "return_request_date", "return_reason",
+)
+
 QUERIES: dict[str, Query] = {
     # cleaning and labels
     "clean_money": clean_money,
@@ -245,11 +258,13 @@ QUERIES: dict[str, Query] = {
     "late_returns": _orders(returns.late_return_requests, allowed_days=10),
     # order desk
     "order_lookup": _orders(order_desk.order_lookup, order_id=" ord-000000007 "),
-    "list_orders": _orders(order_desk.list_orders, status=" Processing ", limit=100),
-    "list_orders_in_country": _orders(order_desk.list_orders, status="cancelled", country="nation_3"),
+    "list_orders": _stored_orders(order_desk.list_orders, *_LISTED, status=" Processing ", limit=100),
+    "list_orders_in_country": _stored_orders(
+        order_desk.list_orders, *_LISTED, status="cancelled", country="nation_3"
+    ),
     # weekly report
     "last_closed_week": _orders(weekly.last_closed_week),
-    "week_snap": _orders(week_snap),
+    "week_snap": _stored_orders(week_snap, "order_id", "order_date"),
     "weekly_metrics": _orders(weekly.weekly_metrics),
     "weekly_deltas": _orders(weekly.weekly_deltas),
     "weekly_vs_avg4": _orders(weekly.weekly_vs_avg4),
@@ -274,7 +289,7 @@ QUERIES: dict[str, Query] = {
     "backlog": _orders(weekly.backlog),
     "weekly_backlog": _orders(weekly.weekly_backlog),
     "weekly_alerts": _orders(weekly.weekly_alerts),
-    "report_audit": _orders(report_audit),
+    "report_audit": _stored_orders(report_audit, *_COUNTED),
     # charts
     "chart_monthly_sales": _orders(charts.chart_series, kind="monthly_sales"),
     "chart_monthly_peak_low": _orders(charts.chart_summary, kind="monthly_sales"),
