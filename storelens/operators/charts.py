@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -135,23 +136,6 @@ def delivery_stats(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFrame:
     )
 
 
-def _first(series, measure: str):
-    def summary(sold: DataFrame, lang: str = "en", n: int = 10) -> DataFrame:
-        return series(sold, lang, n).orderBy(F.desc(measure), F.asc(F.col(_key(series)))).limit(1)
-
-    return summary
-
-
-def _key(series) -> str:
-    return {
-        top_products: "product",
-        returns_by_reason: "return_reason",
-        payment_share: "payment_method",
-        sales_by_country: "country",
-        sales_by_category: "category",
-    }[series]
-
-
 _SERIES = {
     "monthly_sales": monthly_sales,
     "sales_by_country": sales_by_country,
@@ -161,14 +145,25 @@ _SERIES = {
     "payment_share": payment_share,
     "delivery_days_hist": delivery_days_hist,
 }
+# The measure a chart's leader has most of, and the key that breaks ties.
+_LED_BY = {
+    "sales_by_country": ("revenue", "country"),
+    "sales_by_category": ("revenue", "category"),
+    "top_products": ("revenue", "product"),
+    "returns_by_reason": ("requests", "return_reason"),
+    "payment_share": ("orders", "payment_method"),
+}
+
+
+def _leader(kind: str) -> Callable[..., DataFrame]:
+    measure, key = _LED_BY[kind]
+    return lambda sold, lang, n: _SERIES[kind](sold, lang, n).orderBy(F.desc(measure), key).limit(1)
+
+
 _SUMMARIES = {
     "monthly_sales": monthly_peak_low,
-    "sales_by_country": _first(sales_by_country, "revenue"),
-    "sales_by_category": _first(sales_by_category, "revenue"),
-    "top_products": _first(top_products, "revenue"),
-    "returns_by_reason": _first(returns_by_reason, "requests"),
-    "payment_share": _first(payment_share, "orders"),
     "delivery_days_hist": delivery_stats,
+    **{kind: _leader(kind) for kind in _LED_BY},
 }
 
 

@@ -321,10 +321,12 @@ def returns_controllable(orders: DataFrame, ledger: DataFrame | None = None) ->
 
 
 def weekly_return_reasons(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Return requests per week and reason."""
     return _requests(orders, facts, "return_reason", "return_reason")
 
 
 def weekly_return_status(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Return requests per week and resolution status."""
     return _requests(orders, facts, "return_status", "return_status")
 
 
@@ -432,14 +434,17 @@ def _weekly_share(orders: DataFrame, facts: DataFrame | None, key: str, measure:
 
 
 def weekly_category_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Revenue per week and category with its share of the week."""
     return _weekly_share(orders, facts, "category", "amount", "revenue")
 
 
 def weekly_country_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Revenue per week and country with its share of the week."""
     return _weekly_share(orders, facts, "country", "amount", "revenue")
 
 
 def weekly_payment_share(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Orders per week and payment method with their share of the week."""
     return _weekly_share(orders, facts, "payment_method", "rows", "orders")
 
 
