@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import tokens
-from storelens.llm.common import new_folder, table
+from storelens.llm import language, tokens
+from storelens.llm.common import new_folder, remainder_of_id, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, folder, shards)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(3) == 1)
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.predict_languages(docs, model, "doc_id", "held_out")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES: dict[str, str] = {}
