@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import language, tokens
+from storelens.llm import language, tokens, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -15,6 +15,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, folder, shards)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(5) == 0)
+    model = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, 0.5, "doc_id", "held_out")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(3) == 1)
     model = language.train(docs.where(~F.col("held_out")))
@@ -23,6 +29,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_toxicity": op3_toxicity,
     "op8_language_id": op8_language_id,
 }
 
