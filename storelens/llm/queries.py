@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import language, tokens, toxicity
+from storelens.llm import language, quality, tokens, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -27,10 +27,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, model, "doc_id", "held_out")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(5) == 0)
+    model = quality.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, 0.3, "doc_id", "held_out")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_toxicity": op3_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
