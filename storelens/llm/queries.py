@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import language, quality, tokens, toxicity
+from storelens.llm import language, packing, quality, tokens, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -15,6 +15,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, folder, shards)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(5) == 0)
     model = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -35,6 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
