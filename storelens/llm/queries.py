@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import language, packing, quality, tokens, topk, toxicity
+from storelens.llm import language, licenses, packing, quality, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -30,6 +30,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_of_id(3) == 1)
     model = language.train(docs.where(~F.col("held_out")))
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op5_topk": op5_topk,
+    "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
 }
