@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import language, licenses, packing, quality, tokens, topk, toxicity
+from storelens.llm import chat, language, licenses, packing, quality, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -46,6 +46,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, 0.3, "doc_id", "held_out")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    more = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(conversations.unionByName(more))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -54,6 +62,7 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
