@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import chat, language, licenses, packing, quality, tokens, topk, toxicity
+from storelens.llm import chat, language, licenses, packing, quality, similarity, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, 0.5, "doc_id", "held_out")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_topk": op5_topk,
     "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
