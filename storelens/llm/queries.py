@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import chat, language, licenses, packing, quality, similarity, tokens, topk, toxicity
+from storelens.llm import chat, decontamination, language, licenses, packing, quality, similarity, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table
 
 
@@ -34,6 +34,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_topk": op5_topk,
+    "op6_decontamination": op6_decontamination,
     "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
