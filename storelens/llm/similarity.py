@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.llm.common import Words, runs, slices, texts_of, written
@@ -29,7 +30,7 @@ SEED = 20_240_601
 BLOCK_TEXTS = 2_048
 BLOCK_SHINGLES = 2_000_000
 COLUMNS = 4_096  # shingles of two blocks multiplied at once
-NO_ID = -(2**63)  # stands for a NULL doc_id inside
+FIRST_MADE_ID = 2**62  # rows of NULL doc_id get ids of their text from here on
 
 
 def recall_at(depth: int, trees: int, similarity: float) -> float:
@@ -233,15 +234,39 @@ def near_duplicates(
     probability `recall` at least, a higher one more surely.
 
     Texts without words (NULL, empty, blank) are linked to nothing and make classes of
-    their own. Rows that share a doc_id fall into one class, and so do those of NULL
-    doc_id, whose class is NULL if nothing joins them. Other columns are ignored.
+    their own. Rows that share a doc_id fall into one class. A NULL doc_id counts as an id
+    made of the text, above all given ones (which are below 2^62); a class of such rows
+    alone has the class_id NULL. Other columns are ignored.
 
     Copies are one node whatever their number. Prefix buckets are linked to their
     smallest node, never pair by pair; large groups are compared in pairs of blocks,
     which hand on one row per text.
     """
+    rows = docs.select(_row_id().alias("doc_id"), "text")
+    given = lambda c: F.when(F.col(c) < FIRST_MADE_ID, F.col(c)).alias(c)
+    return _classes(rows, threshold, shingle, trees, levels, recall).select(given("doc_id"), given("class_id"), "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """All columns of one row per class of near duplicates: the row whose doc_id names it.
+
+    Of rows that share that doc_id the one with the least text stays (see `near_duplicates`).
+    """
+    options = {"threshold": THRESHOLD, "shingle": SHINGLE, "trees": TREES, "levels": LEVELS, "recall": RECALL} | options
+    classes = _classes(docs.select(_row_id().alias("doc_id"), "text"), **options)
+    names = classes.where("doc_id = class_id").select(F.col("class_id").alias("__class")).distinct()
+    own = docs.withColumn("__class", _row_id()).join(names, "__class", "left_semi")
+    first = F.row_number().over(W.partitionBy("__class").orderBy("text"))
+    return own.withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
+
+
+def _row_id() -> Column:
+    made = F.lit(FIRST_MADE_ID) + F.pmod(F.xxhash64("text"), F.lit(FIRST_MADE_ID - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), made)
+
+
+def _classes(rows: DataFrame, threshold: float, shingle: int, trees: int, levels: int, recall: float) -> DataFrame:
     depth = prefix_length(trees, levels, threshold, recall)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows_signed = written(signed(rows, trees, depth, shingle))
     copies = rows_signed.where("n_shingles > 0").groupBy("hi", "lo").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("n_copies"))
@@ -272,17 +297,15 @@ def near_duplicates(
         .unionByName(with_node.where("doc_id <> node").join(with_node.where("doc_id = node").select("doc_id").distinct(), "doc_id")
                      .select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
     )
-    known = F.when(F.col("class_id") != NO_ID, F.col("class_id"))
     return (
         with_node.join(links, "node", "left")
         .join(classes.select("node", F.col("component").alias("class_id")), "node", "left")
         .select(
-            F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+            "doc_id",
             F.coalesce("class_id", "node", "doc_id").alias("class_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         )
-        .withColumn("class_id", known)
     )
 
 
