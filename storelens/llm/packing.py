@@ -33,55 +33,61 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The dearest multiset of items that fits: knapsack by dynamic programming."""
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
+    """The dearest multiset of items that fills the capacity: knapsack by dynamic programming.
+
+    The price is -inf, and the multiset empty, if none fills it.
+    """
+    best = np.full(capacity + 1, -np.inf)
+    best[0] = 0.0
+    taken = np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
         fits = np.flatnonzero(sizes <= room)
         if len(fits):
             values = prices[fits] + best[room - sizes[fits]]
-            if values.max() > best[room] + 1e-12:
-                best[room], taken[room] = values.max(), fits[values.argmax()]
+            best[room], taken[room] = values.max(), fits[values.argmax()]
     counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            counts[taken[room]] += 1
-            room -= sizes[taken[room]]
+    while room > 0 and best[capacity] > -np.inf:
+        counts[taken[room]] += 1
+        room -= sizes[taken[room]]
     return float(best[capacity]), counts
 
 
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (items per size) and how often each is used, rounded down from the linear program.
+    """Patterns (items per size) that fill a sequence and how often each is used.
 
-    No size is used more often than demanded. `max_rounds` bounds the time of the solver
-    alone: stopping early leaves more to the stream, never an item out.
+    The linear program leaves as little as it can to the stream: a column is a full
+    pattern, which costs nothing, or a single item left over, which costs its size. Its
+    amounts are rounded down, so no size is used more often than demanded. `max_rounds`
+    bounds the solver's time alone: stopping early leaves more to the stream.
     """
     if not len(sizes):
         return []
-    basis = np.diag(capacity // sizes).astype(float)
+    basis, cost = np.eye(len(sizes)), sizes.astype(float)
     for _ in range(max_rounds):
-        amounts = np.linalg.solve(basis, demand)
-        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        prices = np.linalg.solve(basis.T, cost)
         value, column = best_pattern(sizes, prices, capacity)
-        if value <= 1 + 1e-9:
+        price = 0.0
+        over = int((prices - sizes).argmax())
+        if prices[over] - sizes[over] > max(value, 1e-7):  # an item does better left over again
+            value, price = prices[over] - sizes[over], float(sizes[over])
+            column = np.eye(1, len(sizes), over, dtype=np.int64)[0]
+        if value <= 1e-7:
             break
+        amounts = np.linalg.solve(basis, demand)
         change = np.linalg.solve(basis, column)
         enters = np.flatnonzero(change > 1e-9)
-        ratios = np.maximum(amounts[enters], 0) / change[enters]
-        basis[:, enters[ratios.argmin()]] = column
+        leaves = enters[(np.maximum(amounts[enters], 0) / change[enters]).argmin()]
+        basis[:, leaves], cost[leaves] = column, price
     amounts = np.floor(np.linalg.solve(basis, demand) + 1e-7).astype(np.int64)
     columns = basis.round().astype(np.int64).T
     left, chosen = demand.astype(np.int64).copy(), []
-    for k in np.argsort(-(columns @ sizes), kind="stable"):
-        column = columns[k]
-        used = column > 0
-        times = min(int(amounts[k]), int((left[used] // column[used]).min())) if used.any() else 0
-        if times > 0:
-            left -= times * column
-            chosen.append((column, times))
+    for column, amount, price in zip(columns, amounts, cost, strict=True):
+        if price == 0:
+            used = column > 0
+            times = min(int(amount), int((left[used] // column[used]).min()))
+            if times > 0:
+                left -= times * column
+                chosen.append((column, times))
     return chosen
 
 
@@ -141,8 +147,6 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN, shortest
     uses, n_patterned = [], 0
     taken = dict.fromkeys(sizes.tolist(), 0)
     for column, times in patterns(sizes, demand, capacity):
-        if int(column @ sizes) != capacity:
-            continue  # would need padding: its items go to the stream
         for size, each in zip(sizes.tolist(), column.tolist(), strict=True):
             if each:
                 uses.append((size, taken[size], taken[size] + each * times, each, n_patterned))
