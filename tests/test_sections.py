@@ -6,33 +6,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from storelens.functions.text import split_recursively
-from storelens.lookups import CHUNK_SEPARATORS
+from storelens.lookups import CHUNK_SEPARATORS, HEADING, MIN_FRAGMENT_CHARS
 from storelens.operators import sections
 from storelens.sources import documents
 from storelens.sources.warehouse import policy_pages
 from tests.conftest import rows
 
-BREAK = re.compile("\\n(?=\\d{1,2}(?:\\.\\d{1,2})?\\.?\\s+[A-ZÁÉÍÓÚÑ¿«\"])")
-HEAD = re.compile(r"^(\d{1,2}(?:\.\d{1,2})?\.?\s+[^\n]{3,80})")
-
-
-def expected_fragments(pages):
-    """Page after page, the section of every fragment long enough to count."""
-    out, current, document = [], None, None
-    for stem, page, text in sorted(pages):
-        if stem != document:
-            document, current = stem, "Introducción"
-        for part in BREAK.split(text):
-            part = part.strip()
-            if len(part) < 80:
-                continue
-            head = HEAD.match(part)
-            if head:
-                current = head.group(1).strip()
-            out.append((stem, page, current, part if head else f"{current}\n{part}"))
-    return out
-
-
 LONG = "El cliente puede solicitar el cambio dentro del plazo indicado por la tienda en línea. "
 PAGES = [
     ("programa_afiliados", 1, "Bienvenida. " + LONG + "\n5. Plazos de solicitud\n" + LONG + "\n5.1 Retracto\n" + LONG),
@@ -45,6 +24,22 @@ PAGES = [
 ]
 
 
+L = LONG.strip()
+LISTED = "12.3. «Envíos» " + L[:71]  # a heading is a number and 80 characters at most
+BODIES = [
+    ("programa_afiliados", 1, "Introducción", "Introducción\nBienvenida. " + L),
+    ("programa_afiliados", 1, "5. Plazos de solicitud", "5. Plazos de solicitud\n" + L),
+    ("programa_afiliados", 1, "5.1 Retracto", "5.1 Retracto\n" + L),
+    ("programa_afiliados", 2, "5.1 Retracto", "5.1 Retracto\n" + L),
+    ("programa_afiliados", 2, "7. Garantía", "7. Garantía\n" + LONG * 14 + L),
+    ("programa_afiliados", 3, "7. Garantía", "7. Garantía\n" + LONG + "\n8 minúscula " + L),
+    ("programa_afiliados", 3, "9. ¿Preguntas?", "9. ¿Preguntas?\n" + L),
+    ("guia_nueva", 1, "Introducción", "Introducción\n" + L),
+    ("guia_nueva", 2, LISTED, "12.3. «Envíos» " + L),
+    ("guia_nueva", 4, LISTED, LISTED + "\n" + LONG + L),
+]
+
+
 def bodies_of(spark, pages, **options):
     df = spark.createDataFrame(pages, "doc_stem string, page_no int, text string")
     return sections.section_bodies(sections.section_fragments(df, **options))
@@ -52,27 +47,28 @@ def bodies_of(spark, pages, **options):
 
 @pytest.mark.parametrize("pages_per_block", [512, 2, 1])
 def test_sections_of_hand_made_pages(spark, pages_per_block):
+    # The short "6. Corto" and "corto" are dropped; the former never becomes the section.
     got = rows(bodies_of(spark, PAGES, pages_per_block=pages_per_block), "doc_stem", "page_no", "section", "body")
-    want = expected_fragments(PAGES)
-    assert sorted(got) == sorted(want)
-    assert ("programa_afiliados", 2, "5.1 Retracto") in {w[:3] for w in want}
-    # The short "6. Corto" is dropped before it could become the current section.
-    assert not any(w[2].startswith("6.") for w in want)
-    assert {w[2] for w in want if w[0] == "guia_nueva" and w[1] == 1} == {"Introducción"}
+    assert sorted(got) == sorted(BODIES)
 
 
 def test_carry_over_many_blocks_of_random_documents(spark):
+    """Documents are made of sections with a page per paragraph, so what section a
+    paragraph is in is known from the start. Some pages are missing."""
     rng = random.Random(3)
-    pages = []
+    pages, want = [], []
     for stem in ("a", "b", "c"):
-        for page in range(1, 41):
-            parts = [LONG if rng.random() < 0.9 else "x" for _ in range(rng.randint(1, 3))]
-            heads = [f"{rng.randint(1, 99)}. Tema {page} {i}\n" if rng.random() < 0.12 else "" for i in range(len(parts))]
-            pages.append((stem, page, "\n".join(h + p for h, p in zip(heads, parts))))
-    want = sorted(expected_fragments(pages))
+        numbers = iter(sorted(rng.sample(range(1, 200), 120)))
+        for n in range(20):
+            section = f"{rng.randint(1, 99)}. Tema {n}" if n else "Introducción"
+            for k in range(rng.randint(1, 6)):
+                page, paragraph = next(numbers), f"Párrafo {n} {k}: {L}"
+                headed = f"{section}\n{paragraph}"
+                pages.append((stem, page, headed if n and not k else paragraph + "\n3. Corto"))
+                want.append((stem, page, section, headed))
     for pages_per_block in (3, 7):
         got = rows(bodies_of(spark, pages, pages_per_block=pages_per_block), "doc_stem", "page_no", "section", "body")
-        assert sorted(got) == want
+        assert sorted(got) == sorted(want)
 
 
 def test_short_documents_read_the_text_once(spark):
@@ -143,18 +139,31 @@ def test_chunks_keep_their_heading(spark):
     ]
 
 
-def test_whole_corpus_equals_the_helper_row_by_row(spark):
+def test_chunks_of_the_whole_corpus(spark):
+    """Every long line of a page is found in its page's chunks, in order, under the nearest heading before it."""
     pages = policy_pages(spark, "/root/testdata/sf0.001")
-    raw = [(r["doc_stem"], r["page_no"], r["text"]) for r in pages.collect()]
-    want = []
-    for stem, page, section, body in expected_fragments(raw):
-        if len(body) <= 1000:
-            want.append((stem, page, section, body))
-            continue
-        for piece in split_recursively(body, 1000, 150, CHUNK_SEPARATORS):
-            want.append((stem, page, section, piece if piece.startswith(section) else f"{section}\n{piece}"))
-    got = rows(sections.policy_chunks(pages), "title", "page_label", "section", "text")
-    assert sorted(got) == sorted(want)
+    chunks = {}
+    for c in sections.policy_chunks(pages).collect():
+        chunks.setdefault((c["title"], c["page_label"]), []).append((int(c["passage_id"].split("#")[2]), int(c["passage_id"].split("#")[3]), c["section"], c["text"]))
+    heading = re.compile(HEADING)
+    checked = 0
+    for r in pages.collect():
+        own = sorted(chunks.get((r["doc_stem"], r["page_no"]), []))
+        assert all(len(text) <= 1000 + len(section) + 1 for _, _, section, text in own)
+        assert all(len(text) >= MIN_FRAGMENT_CHARS for _, piece, _, text in own if piece == 0)
+        place, nearest = -1, None
+        for line in map(str.strip, r["text"].split("\n")):
+            if heading.match(line):
+                nearest = heading.match(line)[1].strip()
+            if MIN_FRAGMENT_CHARS <= len(line) <= 150:
+                # A line over a piece's end is whole in one of the two, for they overlap by as much.
+                found = [k for k, c in enumerate(own) if line in c[3]]
+                assert found and found[-1] >= place
+                place = found[0]
+                if nearest and len(nearest) >= MIN_FRAGMENT_CHARS:
+                    assert own[found[0]][2] == nearest
+                checked += 1
+    assert checked > 100
 
 
 def test_titles_and_ids(spark):
