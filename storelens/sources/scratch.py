@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under the shared one that `spark.checkpoint.dir` names.
 
-    Where none is set, as in tests, a temporary one serves.
+    Only a local master, whose tasks share the driver's disk, may leave it unset, as in tests.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storelens-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"{tempfile.gettempdir()}/storelens"
     return f"{shared.rstrip('/')}/storelens-{uuid.uuid4().hex}"
 
 

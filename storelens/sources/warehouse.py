@@ -6,9 +6,10 @@ and verdict schemas, so that every operator runs over whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storelens.functions.columns import lookup
 
@@ -33,15 +34,8 @@ _EVENT_TOOLS = {
 SYSTEM_NOTE = "\\n\\n[System note: reply in the language of the question.]"
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A warehouse table; its schema is looked up in the files once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_instant(wall_clock: str) -> Column:
@@ -53,60 +47,71 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def retail_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has a line; its product is the dearest line.
+_OF_PART = frozenset({"product", "category", "unit_price"})
+_OF_LINES = _OF_PART | {"quantity", "return_request_date", "return_reason", "return_status"}
+_OF_PLACE = frozenset({"country", "shipping_zone"})
+
 
-    The dearest line is a minimum over a struct: partial aggregation leaves one
-    candidate per order and task before the shuffle, so an order with very many
-    lines costs no more than others. Join sides are left to the optimizer, which
+def retail_orders(spark: SparkSession, sf_dir: str, columns: Collection[str] | None = None) -> DataFrame:
+    """One row per order; `columns` names those wanted, in any order, and only the tables they need are joined.
+
+    The product of an order is its lowest part, the quantity that of all its lines; it may
+    come back if a line was returned. Orders without lines, parts or buyers stay, with
+    NULL in their place. Each 101st order has no status, each 103rd no total and each
+    97th no country, as in a sheet that people keep.
+
+    Lines are summed up per order by fixed-width sums before the shuffle, so an order with
+    very many lines costs no more than others. Join sides are left to the optimizer, which
     broadcasts a table only when its known size is under the session's threshold.
     """
-    rank = F.struct(
-        (-F.col("l_extendedprice")).alias("price_desc"),
-        "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag",
-    )
-    dearest = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.min(rank).alias("line"))
-        .select("l_orderkey", "line.l_partkey", "line.l_quantity", "line.l_returnflag")
-    )
-    places = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
-    )
-    buyers = table(spark, sf_dir, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
-    joined = (
-        table(spark, sf_dir, "orders")
-        .join(dearest, F.expr("o_orderkey = l_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-        .join(buyers, F.expr("o_custkey = c_custkey"))
-    )
+    wanted = set(columns) if columns is not None else _OF_LINES | _OF_PLACE
+    joined = table(spark, sf_dir, "orders")
+    if wanted & _OF_LINES:
+        lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+            F.min("l_partkey").alias("l_partkey"),
+            F.sum("l_quantity").alias("l_quantity"),
+            F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("came_back"),
+        )
+        joined = joined.join(lines, F.expr("o_orderkey = l_orderkey"), "left")
+    if wanted & _OF_PART:
+        joined = joined.join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"), "left")
+    if wanted & _OF_PLACE:
+        places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"), "left")
+        buyers = table(spark, sf_dir, "customer").join(places, F.expr("c_nationkey = n_nationkey"), "left")
+        joined = joined.join(buyers, F.expr("o_custkey = c_custkey"), "left")
+    # What was not joined is not asked for either.
+    joined = joined.withColumns({
+        c: F.lit(None).cast(kind) for c, kind in (
+            ("l_partkey", "long"), ("l_quantity", "double"), ("came_back", "int"), ("p_name", "string"), ("p_type", "string"),
+            ("p_retailprice", "double"), ("n_name", "string"), ("r_name", "string")) if c not in joined.columns
+    })
 
     key = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     status = (
-        F.when(key % 13 == 0, "cancelled")
+        F.when(key % 101 == 0, F.lit(None).cast("string"))
+        .when(key % 13 == 0, "cancelled")
         .when((day >= "2001-07-20") & (key % 5 == 0), "processing")
         .when((day >= "2001-07-05") & (key % 5 == 1), "shipped")
         .when((day >= "2001-07-05") & (key % 5 == 2), "in_transit")
         .otherwise("delivered")
     )
     dated = joined.select(
-        F.concat(F.lit("ORD-"), F.lpad(key.cast("string"), 9, "0")).alias("order_id"),
+        order_id(key).alias("order_id"),
         day.alias("order_date"),
         F.col("p_name").alias("product"),
         F.col("p_type").alias("category"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("unit_price"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
+        F.when(key % 103 != 0, F.col("o_totalprice")).cast("decimal(18,2)").alias("total"),
         lookup("o_orderpriority", _PAYMENT).alias("payment_method"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1 + key % 12)
         .otherwise(1).cast("int").alias("installments"),
-        F.col("n_name").alias("country"),
+        F.when(key % 97 != 0, F.col("n_name")).alias("country"),
         F.col("r_name").alias("shipping_zone"),
         status.alias("order_status"),
         F.when(status == "delivered", 2 + key % 9).cast("int").alias("days"),
-        (F.expr("l_returnflag = 'R' and (o_orderkey div 3) % 3 = 0")).alias("may_return"),
+        (F.expr("came_back = 1 and (o_orderkey div 3) % 3 = 0")).alias("may_return"),
         "o_orderkey", "l_partkey",
     )
     delivered_on = F.date_add("order_date", F.col("days"))
@@ -115,7 +120,7 @@ def retail_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(delivered_on, F.expr("cast((o_orderkey div 4) % 20 as int)")),
     )
     returned = requested_on.isNotNull()
-    return dated.select(
+    orders = dated.select(
         *dated.columns[:12],
         delivered_on.alias("delivery_date"),
         F.col("days").cast("double").alias("delivery_days"),
@@ -123,6 +128,13 @@ def retail_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(returned, _pick(_REASONS, F.col("l_partkey") % 6)).alias("return_reason"),
         F.when(returned, _pick(_RETURN_STATUS, F.col("o_orderkey") % 3)).alias("return_status"),
     )
+    return orders if columns is None else orders.select(*[c for c in orders.columns if c in wanted])
+
+
+def order_id(key: Column) -> Column:
+    """`ORD-` and the key in nine digits, or in as many as it has."""
+    digits = key.cast("string")
+    return F.concat(F.lit("ORD-"), F.repeat(F.lit("0"), F.greatest(9 - F.length(digits), F.lit(0))), digits)
 
 
 def as_order_stream(orders: DataFrame) -> DataFrame:

@@ -5,50 +5,47 @@ from __future__ import annotations
 # ---- shared views ---------------------------------------------------------------
 
 _ORDERS = """
-dearest AS (
-    SELECT * FROM (
-        SELECT *, row_number() OVER (
-            PARTITION BY l_orderkey
-            ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber, l_shipdate) AS nth
-        FROM lineitem)
-    WHERE nth = 1
+lines_ AS (
+    SELECT l_orderkey, min(l_partkey) AS l_partkey, sum(l_quantity) AS l_quantity, bool_or(l_returnflag = 'R') AS came_back
+    FROM lineitem GROUP BY 1
 ),
 sold AS (
     SELECT *, o_orderdate::DATE AS day,
-        CASE WHEN o_orderkey % 13 = 0 THEN 'cancelled'
+        CASE WHEN o_orderkey % 101 = 0 THEN NULL
+             WHEN o_orderkey % 13 = 0 THEN 'cancelled'
              WHEN o_orderdate::DATE >= DATE '2001-07-20' AND o_orderkey % 5 = 0 THEN 'processing'
              WHEN o_orderdate::DATE >= DATE '2001-07-05' AND o_orderkey % 5 = 1 THEN 'shipped'
              WHEN o_orderdate::DATE >= DATE '2001-07-05' AND o_orderkey % 5 = 2 THEN 'in_transit'
              ELSE 'delivered' END AS status
     FROM orders
-    JOIN dearest ON o_orderkey = l_orderkey
-    JOIN part ON l_partkey = p_partkey
-    JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey
+    LEFT JOIN lines_ ON o_orderkey = l_orderkey
+    LEFT JOIN part ON l_partkey = p_partkey
+    LEFT JOIN customer ON o_custkey = c_custkey
+    LEFT JOIN nation ON c_nationkey = n_nationkey
+    LEFT JOIN region ON n_regionkey = r_regionkey
 ),
 shipped AS (
     SELECT *, CASE WHEN status = 'delivered' THEN (2 + o_orderkey % 9)::INTEGER END AS days FROM sold
 ),
 filed AS (
-    SELECT *, CASE WHEN days IS NOT NULL AND l_returnflag = 'R' AND (o_orderkey // 3) % 3 = 0
+    SELECT *, CASE WHEN days IS NOT NULL AND came_back AND (o_orderkey // 3) % 3 = 0
                    THEN day + days + ((o_orderkey // 4) % 20)::INTEGER END AS requested
     FROM shipped
 ),
 o AS (
-    SELECT 'ORD-' || lpad(o_orderkey::VARCHAR, 9, '0') AS order_id,
+    SELECT 'ORD-' || repeat('0', greatest(9 - length(o_orderkey::VARCHAR), 0)) || o_orderkey AS order_id,
         day AS order_date,
         p_name AS product,
         p_type AS category,
         l_quantity::INTEGER AS quantity,
         p_retailprice::DECIMAL(18,2) AS unit_price,
-        o_totalprice::DECIMAL(18,2) AS total,
+        CASE WHEN o_orderkey % 103 <> 0 THEN o_totalprice::DECIMAL(18,2) END AS total,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'debit_card'
              WHEN '3-MEDIUM' THEN 'digital_wallet' WHEN '4-NOT SPECIFIED' THEN 'bank_transfer'
              WHEN '5-LOW' THEN 'cash_on_delivery' END AS payment_method,
         CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN (1 + o_orderkey % 12)::INTEGER ELSE 1 END
             AS installments,
-        n_name AS country,
+        CASE WHEN o_orderkey % 97 <> 0 THEN n_name END AS country,
         r_name AS shipping_zone,
         status AS order_status,
         day + days AS delivery_date,
@@ -168,7 +165,7 @@ _PERIOD = "order_date BETWEEN DATE '1997-02-01' AND DATE '1999-10-31'"
 def _top(measure: str, name: str, kind: str, n: int, where: str = "true") -> str:
     return _over_orders(f"""
         SELECT row_number() OVER (ORDER BY v DESC, product, category)::INTEGER AS rank, product, category, v::{kind} AS {name}
-        FROM (SELECT product, category, sum({measure}) AS v FROM nc WHERE {where} GROUP BY 1, 2)
+        FROM (SELECT product, category, coalesce(sum({measure}), 0) AS v FROM nc WHERE product IS NOT NULL AND {where} GROUP BY 1, 2)
         ORDER BY v DESC, product, category LIMIT {n}""")
 
 
@@ -224,7 +221,7 @@ def _summary(extra: str = "") -> str:
 def _share(key: str, measure: str, name: str, kind: str) -> str:
     return _over_orders(f"""
         SELECT week_end, {key}, v::{kind} AS {name}, round(100 * (v::DOUBLE / total::DOUBLE), 6) AS share_pct
-        FROM (SELECT {_week('order_date')} AS week_end, {key}, {measure} AS v,
+        FROM (SELECT {_week('order_date')} AS week_end, {key}, coalesce({measure}, 0) AS v,
                      sum({measure}) OVER (PARTITION BY {_week('order_date')}) AS total
               FROM nc GROUP BY 1, 2)
         WHERE {key} IS NOT NULL""")
@@ -479,7 +476,7 @@ ORACLES: dict[str, str] = {
     "cancellations_rollup": _over_orders(f"""
         SELECT week_end, country, grouping(country) = 1 AS is_total, count(*) AS cancelled, {_money('total', 'cancelled_value')}
         FROM (SELECT {_week('order_date')} AS week_end, country, total FROM o WHERE order_status = 'cancelled')
-        GROUP BY GROUPING SETS ((week_end, country), (week_end))"""),
+        GROUP BY GROUPING SETS ((week_end, country), (week_end)) HAVING is_total OR country IS NOT NULL"""),
     "return_buckets": _over_orders(f"""
         SELECT {_week('return_request_date')} AS week_end, {_BUCKET} AS bucket, count(*) AS requests
         FROM o WHERE return_request_date IS NOT NULL GROUP BY 1, 2"""),
@@ -495,15 +492,15 @@ ORACLES: dict[str, str] = {
     "weekly_top5": _over_orders(f"""
         SELECT week_end, rank::INTEGER AS rank, product, v::DOUBLE AS revenue
         FROM (SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY v DESC, product) AS rank
-              FROM (SELECT {_week('order_date')} AS week_end, product, sum(total) AS v FROM nc GROUP BY 1, 2))
+              FROM (SELECT {_week('order_date')} AS week_end, product, coalesce(sum(total), 0) AS v FROM nc WHERE product IS NOT NULL GROUP BY 1, 2))
         WHERE rank <= 5"""),
     "repeat_return_products": _over_orders(f"""
         SELECT week_end, product, requests
         FROM (SELECT {_week('return_request_date')} AS week_end, product, count(*) AS requests
-              FROM o WHERE return_request_date IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
+              FROM o WHERE return_request_date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
         SEMI JOIN (SELECT week_end, product FROM (
                 SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY v DESC, product) AS rank
-                FROM (SELECT {_week('order_date')} AS week_end, product, sum(total) AS v FROM nc GROUP BY 1, 2))
+                FROM (SELECT {_week('order_date')} AS week_end, product, coalesce(sum(total), 0) AS v FROM nc WHERE product IS NOT NULL GROUP BY 1, 2))
             WHERE rank <= 5) USING (week_end, product)"""),
     "daily_sales_vs_prev": _over_weeks("""
         , days AS (
@@ -542,7 +539,7 @@ ORACLES: dict[str, str] = {
         SELECT p.month AS peak_month, p.revenue AS peak_revenue, l.month AS low_month, l.revenue AS low_revenue
         FROM (SELECT * FROM m ORDER BY revenue DESC, month LIMIT 1) p, (SELECT * FROM m ORDER BY revenue, month LIMIT 1) l"""),
     "chart_top_products": _over_orders(f"""
-        SELECT product, {_money('total', 'revenue')} FROM nc GROUP BY 1 ORDER BY sum(total) DESC, product LIMIT 15"""),
+        SELECT product, {_money('total', 'revenue')} FROM nc WHERE product IS NOT NULL GROUP BY 1 ORDER BY sum(total) DESC, product LIMIT 15"""),
     "chart_returns_by_reason": _over_orders(f"""
         SELECT return_reason, {_es('return_reason')} AS label, count(*) AS requests FROM nc
         WHERE return_reason IS NOT NULL GROUP BY 1, 2"""),
@@ -557,11 +554,11 @@ ORACLES: dict[str, str] = {
     "chart_delivery_stats": _over_orders("""
         SELECT round(avg(delivery_days), 6) AS mean_days, median(delivery_days)::DOUBLE AS median_days FROM nc"""),
     "chart_sales_by_country": _over_orders(f"""
-        SELECT country, country AS label, {_money('total', 'revenue')} FROM nc GROUP BY 1, 2"""),
+        SELECT country, country AS label, {_money('total', 'revenue')} FROM nc WHERE country IS NOT NULL GROUP BY 1, 2"""),
     "chart_sales_by_category": _over_orders(f"""
-        SELECT category, {_es('category')} AS label, {_money('total', 'revenue')} FROM nc GROUP BY 1, 2"""),
+        SELECT category, {_es('category')} AS label, {_money('total', 'revenue')} FROM nc WHERE category IS NOT NULL GROUP BY 1, 2"""),
     "chart_top_product": _over_orders(
-        "SELECT product, sum(total)::DOUBLE AS revenue FROM nc GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1"),
+        "SELECT product, sum(total)::DOUBLE AS revenue FROM nc WHERE product IS NOT NULL GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1"),
     "chart_top_return_reason": _over_orders(_leader("return_reason", "count(*)", "requests", "return_reason")),
     "chart_top_payment_method": _over_orders("""
         SELECT payment_method, payment_method AS label, count(*) AS orders,
