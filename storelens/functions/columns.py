@@ -18,16 +18,26 @@ WHITESPACE = (
 # what it looks like, month first: 03/04/2026 is the fourth of March, 25/12/2025 can
 # only be Christmas.
 _DATE_SHAPES = {
-    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"),
+    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"),
     r"^\d{1,2}/\d{1,2}/\d{2}$": ("M/d/yy", "d/M/yy"),
     r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy", "d-M-yyyy"),
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ("M.d.yyyy", "d.M.yyyy"),
     r"^\d{4}/": ("yyyy/M/d[ H:mm[:ss]]",),
+    r"^\d{4}\.\d": ("yyyy.M.d",),
+    r"^\d{4}-\d{1,2}-\d{1,2} .*[AaPp][Mm]$": ("yyyy-M-d h:mm[:ss] a",),
     r"^\d{8}$": ("yyyyMMdd",),
-    r"^[A-Za-z]{3} ": ("MMM d, yyyy", "MMM d yyyy"),
-    r"^[A-Za-z]{4,9} ": ("MMMM d, yyyy", "MMMM d yyyy"),
+    r"^\d{4}$": ("yyyy",),
+    r"^[A-Za-z]{3} \d{4}$": ("MMM yyyy",),
+    r"^[A-Za-z]{4,9} \d{4}$": ("MMMM yyyy",),
+    r"^[A-Za-z]{3} ": ("MMM d, yyyy[ H:mm[:ss]]", "MMM d yyyy[ H:mm[:ss]]"),
+    r"^[A-Za-z]{4,9} ": ("MMMM d, yyyy[ H:mm[:ss]]", "MMMM d yyyy[ H:mm[:ss]]"),
+    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": ("d MMM yy", "d-MMM-yy"),
     r"^\d{1,2}[ -][A-Za-z]{3}[ -]": ("d MMM yyyy", "d-MMM-yyyy"),
     r"^\d{1,2} [A-Za-z]{4,9} ": ("d MMMM yyyy",),
 }
+# A day name says nothing that the date does not, and September has two short forms.
+_DAY_NAME = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+"
+_SEPT = r"(?i)\bsept\b"
 
 
 def col(c: Column | str) -> Column:
@@ -63,8 +73,9 @@ def mixed_date(c: Column | str, strict: bool = False) -> Column:
     Empty text is missing. Other unreadable text is NULL, or fails the query when
     `strict`. A time of day is dropped, so the last day of a period is whole.
     """
-    text = strip(c)
-    parsed = F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp_ntz").cast("date"))
+    text = F.regexp_replace(F.regexp_replace(strip(c), _DAY_NAME, ""), _SEPT, "Sep")
+    iso = text.rlike(r"^\d{4}-") & ~text.rlike("[AaPp][Mm]$")
+    parsed = F.when(iso, text.try_cast("timestamp_ntz").cast("date"))
     for shape, formats in _DATE_SHAPES.items():
         tries = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
         parsed = parsed.when(text.rlike(shape), F.coalesce(*tries))

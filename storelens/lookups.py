@@ -48,6 +48,7 @@ QUESTION_CHARS = 160
 ERROR_CHARS = 120
 REPLY_CHARS = 60
 UNREAD_REPLY = "unparseable judge reply: "
+JUDGE_ERROR = "judge error: "
 AUDIT_TOLERANCE = 0.01
 
 # Tool name -> topic of the team questions; anything else is "Other".

@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import col, ratio, strip
-from storelens.lookups import ERROR_CHARS, JUDGE_VERDICTS, REPLY_CHARS, UNREAD_REPLY, VERDICTS
+from storelens.lookups import ERROR_CHARS, JUDGE_ERROR, JUDGE_VERDICTS, REPLY_CHARS, UNREAD_REPLY, VERDICTS
 
 
 def parsed_reply(reply: Column | str) -> Column:
-    """Struct of verdict and reason in a judge's reply; unusable ones need review."""
+    """Struct of verdict and reason in a judge's reply; unusable ones need review.
+
+    A reply that is no JSON object, alone and in double quotes, is the judge's error; an
+    object without a known verdict is unparseable. Either reason shows how the text starts.
+    """
     bare = F.regexp_replace(strip(reply), r"^(?:```json)?(?:```)?|```\z", "")
     text = strip(bare)
-    data = F.when(
+    # As the only element of a list: text after the object makes it unreadable.
+    listed = F.when(
         text.startswith("{") & text.endswith("}"),
-        F.from_json(text, "verdict string, reason string", {"mode": "PERMISSIVE"}),
+        F.from_json(
+            F.concat(F.lit("["), text, F.lit("]")), "array<struct<verdict string, reason string>>",
+            {"allowSingleQuotes": "false"},
+        ),
     )
-    usable = data["verdict"].isin(*JUDGE_VERDICTS)
-    unread = F.concat(F.lit(UNREAD_REPLY), F.left(F.coalesce(text, F.lit("")), F.lit(REPLY_CHARS)))
+    data = F.when(F.size(listed) == 1, listed[0])
+    usable = F.coalesce(data["verdict"].isin(*JUDGE_VERDICTS), F.lit(False))
+    start = F.left(F.coalesce(text, F.lit("")), F.lit(REPLY_CHARS))
+    unread = F.concat(F.when(data.isNull(), JUDGE_ERROR).otherwise(UNREAD_REPLY), start)
     return F.struct(
         F.when(usable, data["verdict"]).otherwise("NEEDS_REVIEW").alias("verdict"),
         F.when(usable, data["reason"]).otherwise(unread).alias("reason"),

@@ -113,17 +113,21 @@ def token_usage(messages: DataFrame) -> DataFrame:
     )
 
 
-def content_text(content: Column | str) -> Column:
-    """Message content as plain text: a JSON list of blocks is joined, text stays.
+def content_text(content: Column | str, is_list: Column | None = None) -> Column:
+    """Message content as plain text: the texts of a list of blocks are joined, text stays.
 
-    Blocks are objects with a `text` or plain strings; anything else reads as text.
+    A block is an object with a `text`, or a plain string. Where a list arrives as JSON,
+    `is_list` tells it from a text that looks like one; without it, only a JSON list of
+    nothing but objects is one.
     """
     content = F.col(content) if isinstance(content, str) else content
-    parts = F.from_json(content, "array<string>")
+    blocks = F.from_json(content, "array<variant>")
+    is_object = lambda b: F.startswith(F.schema_of_variant(b), F.lit("OBJECT"))
     texts = F.transform(
-        parts,
-        lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit("")))
-        .otherwise(p),
+        blocks,
+        lambda b: F.when(is_object(b), F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")))
+        .otherwise(F.coalesce(b.cast("string"), F.lit(""))),
     )
-    joined = F.when(content.rlike(r"^\s*\["), F.array_join(texts, ""))
-    return F.coalesce(strip(joined), content)
+    only_objects = (F.size(blocks) > 0) & F.forall(blocks, lambda b: F.coalesce(is_object(b), F.lit(False)))
+    listed = F.coalesce(only_objects if is_list is None else is_list, F.lit(False))
+    return F.when(listed & blocks.isNotNull(), strip(F.array_join(texts, ""))).otherwise(content)

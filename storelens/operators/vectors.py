@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +68,10 @@ def encode_question(question: str, encoder: Encoder) -> list[float]:
     return _unit_rows(np.asarray(encoder([QUERY_PREFIX + question]), dtype="float64"))[0].tolist()
 
 
+def _finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def top_passages(
     passages: DataFrame,
     questions: Sequence[Question],
@@ -80,12 +84,18 @@ def top_passages(
     Questions are vectors the caller holds. Every task scores its batches against
     all of them and hands on its own best k per question, so question-passage pairs
     never become rows; the final rank is over k rows per question and task. Equal
-    scores rank by key. A passage without a vector is left out.
+    scores rank by key. A passage whose vector is missing, of another length than the
+    questions' or holds a NULL, NaN or infinity is left out.
     """
     names = [name for name, _ in questions]
     if not names or len(set(names)) < len(names):
         raise ValueError("questions need distinct names, and at least one is needed")
+    dimension = len(questions[0][1])
+    if not dimension or any(len(v) != dimension for _, v in questions):
+        raise ValueError("questions need vectors of one length")
     matrix = np.array([v for _, v in questions], dtype="float64").T
+    if not np.isfinite(matrix).all():
+        raise ValueError("questions need finite vectors")
     key_field = passages.schema[key]
     schema = T.StructType([
         T.StructField("question", T.StringType()),
@@ -124,7 +134,7 @@ def top_passages(
 
     place = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), key))
     return (
-        passages.where(F.col(vector).isNotNull())
+        passages.where((F.size(vector) == dimension) & F.forall(vector, _finite))
         .select(key, vector)
         .mapInArrow(best, schema)
         .withColumn("rank", place)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ from storelens.lookups import MISSING_TEXTS
 from storelens.schema import DATE_COLUMNS, ORDER_COLUMNS, ORDERS, REQUIRED_ORDER_COLUMNS
 
 
-def read_orders(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_orders(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Raw orders as text, columns found by name, "nothing here" texts as NULL.
 
     No schema inference pass: every column arrives as text and `clean_orders` types
-    it. A declared schema is no help, since CSV binds it by position. `multiline`
-    admits line breaks inside quoted cells at the price of unsplittable files.
+    it. A declared schema is no help, since CSV binds it by position. A quoted cell may
+    hold line breaks, so a file is one task; without `multiline` files are split, which
+    is for exports that are known to have none.
     """
     raw = (
         spark.read.option("header", True)
@@ -32,11 +34,12 @@ def read_orders(spark: SparkSession, path: str, multiline: bool = False) -> Data
 
 
 def read_orders_with_fallback(
-    spark: SparkSession, primary: str | None, snapshot: str, multiline: bool = False
+    spark: SparkSession, primary: str | None, snapshot: str, multiline: bool = True
 ) -> DataFrame:
     """The primary source, or the snapshot if it is unset, unreadable or malformed.
 
-    Reading is lazy, so one row is fetched to find out.
+    Reading is lazy, so one row is fetched to find out. A store that cannot be reached
+    reports its own Java error rather than Spark's.
     """
     if primary:
         try:
@@ -44,7 +47,7 @@ def read_orders_with_fallback(
             if set(REQUIRED_ORDER_COLUMNS) <= set(orders.columns):
                 orders.limit(1).collect()
                 return orders
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             pass
     return read_orders(spark, snapshot, multiline)
 

@@ -147,12 +147,26 @@ def as_order_stream(orders: DataFrame) -> DataFrame:
     )
 
 
+# Shapes that a sheet exports. Two figures of a year and days before months are only
+# read one way where the other is no date, so the day is above 12 there.
+_WRITTEN = (
+    "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy", "yyyy/MM/dd", "M/d/yyyy h:mm a", "yyyy-MM-dd h:mm a", "d-MMM-yyyy",
+    "EEE, d MMM yyyy", "EEEE, MMMM d, yyyy", "yyyy.MM.dd", "MM.dd.yyyy", "MMM d, yyyy HH:mm", "d MMMM yyyy", "yyyyMMdd", "yyyy-MM-dd",
+)
+
+
+def _written(key: Column, moment: Column) -> Column:
+    """The date in one of the shapes, by the order's key; September in four letters now and then."""
+    texts = F.array(*[F.date_format(moment, shape) for shape in _WRITTEN])
+    text = F.element_at(texts, (key % len(_WRITTEN) + 1).cast("int"))
+    return F.when(key % 2 == 0, F.regexp_replace(text, r"\bSep\b", "Sept")).otherwise(text)
+
+
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a sheet would show them: money, dates and days as human text."""
     kind = F.col("o_orderpriority")
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     plain = amount.cast("string")
-    day = F.col("o_orderdate").cast("date")
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(kind == "1-URGENT", F.concat(F.lit("$"), F.format_number(amount, 2)))
@@ -160,11 +174,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "3-MEDIUM", F.concat(F.lit("  "), plain, F.lit(" ")))
         .when(kind == "4-NOT SPECIFIED", F.concat(F.lit("("), plain, F.lit(")")))
         .otherwise("").alias("total"),
-        F.when(kind == "1-URGENT", F.date_format(day, "M/d/yyyy"))
-        .when(kind == "2-HIGH", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .when(kind == "3-MEDIUM", F.date_format(day, "MMMM d, yyyy"))
-        .when(kind == "4-NOT SPECIFIED", F.date_format(day, "yyyy/MM/dd"))
-        .otherwise("unknown").alias("order_date"),
+        F.when(kind == "5-LOW", "unknown").otherwise(_written(F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp"))).alias("order_date"),
         F.when(kind == "5-LOW", "").when(kind == "4-NOT SPECIFIED", "n/a")
         .otherwise((F.col("o_orderkey") % 30).cast("string")).alias("delivery_days"),
     )
@@ -217,25 +227,41 @@ def message_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as message contents: plain text, or a JSON list of blocks."""
-    blocks = F.to_json(F.array(
-        F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
-        F.struct(F.lit("signature").alias("type"), F.lit(None).cast("string").alias("text")),
-    ))
+    """Conversation turns as message contents: plain text, or a JSON list of blocks.
+
+    A user's third turn looks like a list but is text; an assistant's blocks end in a
+    string that looks like an object. `is_list` has the type that the sender gave.
+    """
+    assistant = F.col("role") == "assistant"
+    block = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    blocks = F.concat(
+        F.lit("["), block(type=F.lit("text"), text=F.col("text")), F.lit(","),
+        block(type=F.lit("signature"), text=F.lit(None).cast("string")), F.lit(',"{end}"]'),
+    )
+    looks_listed = F.concat(F.lit('["{'), F.length("text").cast("string"), F.lit('}", 2]'))
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn",
-        F.when(F.col("role") == "assistant", blocks).otherwise(F.col("text")).alias("content"),
+        F.when(assistant, blocks).when(F.col("turn") == 2, looks_listed).otherwise(F.col("text")).alias("content"),
+        assistant.alias("is_list"),
     )
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document labels as replies of a judge: fenced, plain and unreadable ones."""
+    """Document labels as replies of a judge: fenced, plain and unreadable ones.
+
+    Every seventh reply of a good document says something after its object, every
+    eleventh is in single quotes and every thirteenth has a verdict that is none.
+    """
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
-    verdict = F.when(good & ~toxic, "PASS").when(good & toxic, "PARTIAL").otherwise("FAIL")
+    verdict = (
+        F.when(F.col("doc_id") % 13 == 0, "MAYBE").when(good & ~toxic, "PASS").when(good & toxic, "PARTIAL").otherwise("FAIL")
+    )
     body = F.to_json(F.struct(verdict.alias("verdict"), F.concat(F.lit("doc "), "doc_id").alias("reason")))
     return table(spark, sf_dir, "labels").select(
         "doc_id",
         F.when(~good & toxic, F.concat(F.lit("cannot say: "), body))
+        .when(good & (F.col("doc_id") % 7 == 0), F.concat(body, F.lit(' {"verdict":"FAIL"}')))
+        .when(good & (F.col("doc_id") % 11 == 0), F.replace(body, F.lit('"'), F.lit("'")))
         .when(good, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .otherwise(body).alias("reply"),
     )
@@ -280,6 +306,19 @@ def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
 
 
+def broken_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, every third of which is missing, empty, too short, or holds a NULL, NaN or infinity."""
+    x, n = F.col("embedding"), F.size("embedding")
+    instead = lambda value: F.concat(F.slice(x, 1, n - 1), F.array(F.lit(value).cast("float")))
+    kind = F.expr("(passage_id div 3) % 6")
+    broken = (
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.slice(x, 1, 0)).when(kind == 2, F.slice(x, 1, n - 1))
+        .when(kind == 3, instead(None)).when(kind == 4, instead(float("nan"))).otherwise(instead(float("inf")))
+    )
+    vectors = passage_vectors(spark, sf_dir)
+    return vectors.withColumn("embedding", F.when(F.col("passage_id") % 3 == 0, broken).otherwise(x))
+
+
 def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedded documents: the text, titled by its source, as the pages of a corpus."""
     documents = table(spark, sf_dir, "documents").select(

@@ -124,15 +124,23 @@ def test_token_usage(spark):
 
 
 def test_content_text(spark):
-    cases = {
-        "plain ": "plain ",
-        json.dumps([{"type": "text", "text": " Hola "}, {"type": "sig", "extras": {"a": 1}}, {"text": "x"}]): "Hola x",
-        json.dumps(["a", "b "]): "ab",
-        "[not json": "[not json",
-        "[]": "",
+    blocks = json.dumps([{"type": "text", "text": " Hola "}, {"type": "sig", "extras": {"a": 1}}, {"text": "x"}])
+    typed = {
+        ("plain ", False): "plain ",
+        ("[1, 2]", False): "[1, 2]",
+        ('["{curly} text"]', False): '["{curly} text"]',
+        (blocks, True): "Hola x",
+        (json.dumps(["a", "b "]), True): "ab",
+        (json.dumps(["{curly} text", {"text": "!"}, 3]), True): "{curly} text!3",
+        ("[]", True): "",
+        ("[not json", True): "[not json",
+        (None, True): None,
     }
-    df = spark.createDataFrame([(c,) for c in cases], "c string")
-    assert [r[0] for r in df.select(team.content_text("c")).collect()] == list(cases.values())
+    df = spark.createDataFrame([*typed], "c string, is_list boolean")
+    assert [r[0] for r in df.select(team.content_text("c", F.col("is_list"))).collect()] == list(typed.values())
+    untyped = {"[1, 2]": "[1, 2]", '["{curly} text"]': '["{curly} text"]', blocks: "Hola x", "[]": "[]", '[{"text": "a"}, "b"]': '[{"text": "a"}, "b"]'}
+    df = spark.createDataFrame([(c,) for c in untyped], "c string")
+    assert [r[0] for r in df.select(team.content_text("c")).collect()] == list(untyped.values())
 
 
 def test_parse_verdicts(spark):

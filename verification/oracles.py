@@ -369,6 +369,8 @@ ORACLES: dict[str, str] = {
         FROM orders""",
     "parse_dates": """
         SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate::DATE END AS order_date FROM orders""",
+    "parse_dates_strict": """
+        SELECT o_orderkey, o_orderdate::DATE AS order_date FROM orders WHERE o_orderpriority <> '5-LOW'""",
     "clean_delivery_days": """
         SELECT o_orderkey, CASE WHEN o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW')
                                 THEN (o_orderkey % 30)::INTEGER END AS delivery_days
@@ -592,19 +594,33 @@ ORACLES: dict[str, str] = {
             coalesce(sum(length(text)) FILTER (role IN ('user', 'assistant')), 0)::BIGINT AS total_tokens
         FROM conversations GROUP BY 1""",
     "content_text": """
-        SELECT conv_id, turn, CASE WHEN role = 'assistant'
-            THEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) ELSE text END AS text
+        SELECT conv_id, turn, CASE
+            WHEN role = 'assistant' THEN trim(text || '{end}', chr(32) || chr(9) || chr(10) || chr(13))
+            WHEN turn = 2 THEN '["{' || length(text) || '}", 2]' ELSE text END AS text
         FROM conversations""",
     # ---- evaluation
     "parse_verdicts": """
+        WITH replies AS (
+            SELECT doc_id, quality = 1 AS good, toxic = 1 AS bad,
+                CASE WHEN doc_id % 13 = 0 THEN 'MAYBE' WHEN quality = 1 AND toxic = 0 THEN 'PASS'
+                     WHEN quality = 1 THEN 'PARTIAL' ELSE 'FAIL' END AS said
+            FROM labels
+        ),
+        shown AS (
+            SELECT *, '{"verdict":"' || said || '","reason":"doc ' || doc_id || '"}' AS body FROM replies
+        ),
+        read AS (
+            SELECT *, CASE WHEN NOT good AND bad THEN 'cannot say: ' || body
+                           WHEN good AND doc_id % 7 = 0 THEN body || ' {"verdict":"FAIL"}'
+                           WHEN good AND doc_id % 11 = 0 THEN replace(body, '"', chr(39)) END AS unreadable
+            FROM shown
+        )
         SELECT doc_id,
-            CASE WHEN quality = 1 AND toxic = 0 THEN 'PASS' WHEN quality = 1 THEN 'PARTIAL'
-                 WHEN toxic = 0 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END AS verdict,
-            CASE WHEN quality = 0 AND toxic = 1
-                 THEN 'unparseable judge reply: '
-                      || left('cannot say: {"verdict":"FAIL","reason":"doc ' || doc_id || '"}', 60)
+            CASE WHEN unreadable IS NOT NULL OR said = 'MAYBE' THEN 'NEEDS_REVIEW' ELSE said END AS verdict,
+            CASE WHEN unreadable IS NOT NULL THEN 'judge error: ' || left(unreadable, 60)
+                 WHEN said = 'MAYBE' THEN 'unparseable judge reply: ' || left(body, 60)
                  ELSE 'doc ' || doc_id END AS reason
-        FROM labels""",
+        FROM read""",
     "verdict_counts": f"""WITH {_VERDICTS}
         SELECT v.verdict, count(r.verdict) AS answers,
             round(count(r.verdict)::DOUBLE / (SELECT count(*) FROM verdicts), 6) AS share
@@ -622,6 +638,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, text, unnest(range(0, length(text), 850)) AS start FROM documents)""",
     "vector_topk": f"""WITH {_ranked('')}
         SELECT question, rank, passage_id, round(score, 6) AS score FROM ranked""",
+    "vector_topk_of_mixed": f"""WITH {_ranked('WHERE vec_id % 3 <> 0')}
+        SELECT question, rank, passage_id, round(score, 6) AS score FROM ranked""",
     "format_passages": f"""WITH {_ranked('WHERE vec_id IN (SELECT doc_id FROM documents)')}
         SELECT question, string_agg('[' || source || ' — p. ' || CASE WHEN lang <> 'en' THEN lang ELSE '?' END || ']'
             || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)),

@@ -71,6 +71,12 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.sheet_cells(spark, sf_dir).select("o_orderkey", mixed_date("order_date").alias("order_date"))
 
 
+def parse_dates_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable cells, where an unreadable one would fail the query."""
+    cells = wh.sheet_cells(spark, sf_dir).where("order_date <> 'unknown'")
+    return cells.select("o_orderkey", mixed_date("order_date", strict=True).alias("order_date"))
+
+
 def clean_delivery_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = wh.sheet_cells(spark, sf_dir)
     return cells.select("o_orderkey", whole_number("delivery_days").alias("delivery_days"))
@@ -165,7 +171,7 @@ def team_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wh.message_contents(spark, sf_dir).select("conv_id", "turn", team.content_text("content").alias("text"))
+    return wh.message_contents(spark, sf_dir).select("conv_id", "turn", team.content_text("content", F.col("is_list")).alias("text"))
 
 
 # ---- passages -------------------------------------------------------------------
@@ -184,6 +190,12 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.fixed_window_chunks(wh.table(spark, sf_dir, "documents")).select("doc_id", "start", "text")
 
 
+def vector_topk_of_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search where every third vector is broken in one of several ways."""
+    questions = wh.sample_questions(spark, sf_dir)
+    return comparable(vectors.top_passages(wh.broken_vectors(spark, sf_dir), questions))
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = wh.sample_questions(spark, sf_dir)
     return comparable(vectors.top_passages(wh.passage_vectors(spark, sf_dir), questions))
@@ -231,6 +243,7 @@ QUERIES: dict[str, Query] = {
     # cleaning and labels
     "clean_money": clean_money,
     "parse_dates": parse_dates,
+    "parse_dates_strict": parse_dates_strict,
     "clean_delivery_days": clean_delivery_days,
     "localized_labels": _orders(localized_labels),
     "pretty_labels": _orders(pretty_labels),
@@ -323,6 +336,7 @@ QUERIES: dict[str, Query] = {
     "policy_chunks": policy_chunks,
     "fixed_window_chunks": fixed_window_chunks,
     "vector_topk": vector_topk,
+    "vector_topk_of_mixed": vector_topk_of_mixed,
     "format_passages": format_passages,
     # streams
     "stream_topic_windows": stream_topic_windows,
