@@ -149,10 +149,10 @@ def test_parse_verdicts(spark):
         (' ```json\n{"verdict": "FAIL", "reason": "no"}\n``` ', ("FAIL", "no")),
         ('```{"verdict": "PARTIAL", "reason": "some"}```', ("PARTIAL", "some")),
         ('{"verdict": "GREAT", "reason": "ok"}', ("NEEDS_REVIEW", 'unparseable judge reply: {"verdict": "GREAT", "reason": "ok"}')),
-        ("I think PASS", ("NEEDS_REVIEW", "unparseable judge reply: I think PASS")),
-        ("", ("NEEDS_REVIEW", "unparseable judge reply: ")),
-        (None, ("NEEDS_REVIEW", "unparseable judge reply: ")),
-        ("y" * 90, ("NEEDS_REVIEW", "unparseable judge reply: " + "y" * 60)),
+        ("I think PASS", ("NEEDS_REVIEW", "judge error: I think PASS")),
+        ("", ("NEEDS_REVIEW", "judge error: ")),
+        (None, ("NEEDS_REVIEW", "judge error: ")),
+        ("y" * 90, ("NEEDS_REVIEW", "judge error: " + "y" * 60)),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, reply string")
     got = rows(evaluation.parse_verdicts(df).orderBy("id"), "verdict", "reason")
@@ -169,7 +169,7 @@ def test_verdict_table(spark):
     assert got == [
         (1, "docs", "q1", "a1", 1.3, "PASS", "ok"),
         (2, "api", "q2", "", 9.0, "ERROR", "e" * 120),
-        (3, "api", "q3", "a3", 2.0, "NEEDS_REVIEW", "unparseable judge reply: hm"),
+        (3, "api", "q3", "a3", 2.0, "NEEDS_REVIEW", "judge error: hm"),
     ]
 
 
