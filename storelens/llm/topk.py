@@ -69,16 +69,17 @@ def _phase(query_ids: np.ndarray, queries: np.ndarray, k: int, lists: int, cutof
 
     def collect(scores: list[np.ndarray], ids: np.ndarray, own: np.ndarray):
         """Phases 2 and 3: what some list shows to be good enough, by upper bound, then exactly."""
-        threshold = np.floor(cutoffs / len(scores))
-        bound, seen = np.zeros(own.shape), np.zeros(own.shape, bool)
+        least = cutoffs.astype(scores[0].dtype)
+        threshold = least // len(scores)
+        bound, seen = np.zeros(own.shape, least.dtype), np.zeros(own.shape, bool)
         for s in scores:
             seen |= s >= threshold
             bound += np.maximum(s, threshold)
-        item, query = np.nonzero(seen & ~own & (bound >= cutoffs))
+        item, query = np.nonzero(seen & ~own & (bound >= least))
         total = np.zeros(own.shape, scores[0].dtype)
         total[item, query] = sum(s[item, query] for s in scores)
         chosen = np.zeros(own.shape, bool)
-        chosen[item, query] = total[item, query] >= cutoffs[query]
+        chosen[item, query] = total[item, query] >= least[query]
         return total, chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_bl
     """The k highest inner products of every query among all rows of other ids (RESULT).
 
     `vectors` has vec_id and integer vectors v; `is_query` is a condition on vec_id. Ties
-    go to smaller ids. Vectors of another length than the query's take no part in its
+    go to smaller ids; scores are exact as far as a long holds them. Vectors of another length than the query's take no part in its
     answer; fewer than k others give fewer ranks; an empty table gives no row. Of rows
     that repeat a query's id one vector (the least) asks; repeated candidates each count.
 
@@ -130,7 +131,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_bl
             gathered = vectors.mapInArrow(_phase(ids, queries, k, lists, None), FOUND)
             by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
             ranked = gathered.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k)
-            cutoffs = np.full(len(ids), -float(2**62))  # fewer than k others: everything counts
+            cutoffs = np.full(len(ids), -(2**62))  # fewer than k others: everything counts
             for r in ranked.collect():
                 cutoffs[np.searchsorted(ids, r["query_id"])] = r["score"]
             found = vectors.mapInArrow(_phase(ids, queries, k, lists, cutoffs), FOUND)
