@@ -29,6 +29,7 @@ NEARBY = 5  # words between a term and a second person
 LEXICON_TERMS = 4_000
 MIN_EVIDENCE = 25.0  # likelihood ratio (G) of a term against chance
 MIN_ODDS = 4.0
+ENDS = "!?.,;:\"')"
 EDGES = re.compile(r"^\W+|\W+$")
 
 FEATURES = (
@@ -99,8 +100,8 @@ def _of_word(word: str, lexicon: dict[str, float]) -> tuple[float, ...]:
     exact = lexicon.get(bare, 0.0)
     prefix = max((lexicon.get(bare[:n] + "*", 0.0) for n in PREFIXES), default=0.0)
     alpha = bare.isalpha()
-    clear = bare if alpha else word.lower().translate(LOOK_ALIKES)
-    hidden = not alpha and not exact and clear.isalpha() and clear in lexicon
+    clear = () if alpha and bare == word.lower() else (bare.translate(LOOK_ALIKES), word.lower().rstrip(ENDS).translate(LOOK_ALIKES))
+    hidden = not exact and any(c != bare and c in lexicon for c in clear)
     letters = sum(map(str.isalpha, word))
     return (
         exact, prefix, float(bare in SECOND_PERSON), float(hidden),

@@ -71,7 +71,7 @@ def test_toxic_features_of_a_text():
     lexicon = {"idiot": 5.0, "lowei*": 4.0}
     made = dict(zip(toxicity.FEATURES, toxicity.features(pa.array(["You are an IDIOT, 1d10t! loweisch far away from it all and"], pa.large_string()), lexicon)[0], strict=True))
     assert np.isclose(made["hits"], np.log(2)) and np.isclose(made["prefix_hits"], np.log(2)) and np.isclose(made["hidden"], np.log(2))
-    assert np.isclose(made["near_second_person"], np.log(3)) and made["strongest"] == 5.0
+    assert np.isclose(made["near_second_person"], np.log(4)) and made["strongest"] == 5.0
     assert np.isclose(made["capital_words"], 1 / 12)
 
 
