@@ -268,8 +268,9 @@ def _row_id() -> Column:
 def _classes(rows: DataFrame, threshold: float, shingle: int, trees: int, levels: int, recall: float) -> DataFrame:
     depth = prefix_length(trees, levels, threshold, recall)
     rows_signed = written(signed(rows, trees, depth, shingle))
-    copies = rows_signed.where("n_shingles > 0").groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("n_copies"))
+    # Written first, so that the joins below shuffle both sides and can split a key with very many rows.
+    copies = written(rows_signed.where("n_shingles > 0").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("n_copies")))
     with_node = rows_signed.select("doc_id", "hi", "lo", "n_shingles").join(copies, ["hi", "lo"], "left")
     nodes = written(
         rows_signed.join(copies, ["hi", "lo"]).where("doc_id = node").dropDuplicates(["hi", "lo"])
@@ -278,7 +279,8 @@ def _classes(rows: DataFrame, threshold: float, shingle: int, trees: int, levels
 
     tries = nodes.select("node", F.posexplode("labels").alias("tree", "label")).select(
         "node", F.xxhash64("tree", F.shiftrightunsigned("label", 8 * (8 - depth))).alias("prefix"))
-    buckets = tries.groupBy("prefix").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("prefix", "first")
+    buckets = written(
+        tries.groupBy("prefix").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("prefix", "first"))
     edges = tries.join(buckets, "prefix").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     grouped = components(edges)
 
