@@ -19,6 +19,7 @@ from storelens.functions.columns import (
 from storelens.lookups import LABELS_ES
 from storelens.schema import ORDERS
 from storelens.sources.orders import clean_orders, read_orders, read_orders_with_fallback, write_orders
+from storelens.sources.warehouse import order_id
 from tests.conftest import rows
 
 
@@ -145,10 +146,35 @@ def test_fallback(spark, sheet, tmp_path):
     assert rows(read_orders_with_fallback(spark, str(good), sheet), "order_id") == [("Z",)]
 
 
-def test_quoted_line_break(spark, tmp_path):
+def test_a_store_that_cannot_be_reached_falls_back(spark, sheet):
+    for primary in ("nosuchscheme://bucket/orders.csv", "s3a://bucket/orders.csv"):
+        assert read_orders_with_fallback(spark, primary, sheet).count() == 3
+
+
+def test_a_line_break_in_a_cell_makes_no_order(spark, tmp_path):
     path = tmp_path / "orders.csv"
-    path.write_text('order_id,order_date,total,product\nA,2026-01-01,5,"two\nlines"\n')
-    assert rows(read_orders(spark, str(path), multiline=True), "product") == [("two\nlines",)]
+    path.write_text('order_id,order_date,total,product\nA,2026-01-01,5,"two\nlines"\nB,2026-01-02,6,x\n')
+    assert rows(read_orders(spark, str(path)), "order_id", "product") == [("A", "two\nlines"), ("B", "x")]
+
+
+def test_long_order_ids_stay_whole(spark):
+    keys = [7, 999_999_999, 1_234_567_890, 12_345_678_901]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select(order_id(F.col("k"))).collect()
+    assert [r[0] for r in got] == ["ORD-000000007", "ORD-999999999", "ORD-1234567890", "ORD-12345678901"]
+
+
+# Texts that sheets export, and the day pandas reads in them.
+EXPORTED = {
+    "7/20/2026 1:45 PM": (2026, 7, 20), "2026-07-20 1:45 PM": (2026, 7, 20), "20-Jul-26": (2026, 7, 20), "Mon, 20 Jul 2026": (2026, 7, 20),
+    "Monday, July 20, 2026": (2026, 7, 20), "2026.07.20": (2026, 7, 20), "20.07.2026": (2026, 7, 20), "07.05.2026": (2026, 7, 5),
+    "Sept 5, 2026": (2026, 9, 5), "Jul 20, 2026 14:00": (2026, 7, 20), "Jul 2026": (2026, 7, 1), "2026": (2026, 1, 1),
+}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_dates_that_sheets_export(spark, strict):
+    df = spark.createDataFrame([(t,) for t in EXPORTED], "t string")
+    assert [r[0] for r in df.select(mixed_date("t", strict=strict)).collect()] == [date(*d) for d in EXPORTED.values()]
 
 
 def test_stored_orders_push_the_period_down(spark, sheet, tmp_path):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from storelens.sources.warehouse import retail_orders
 from verification.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,7 +41,7 @@ def test_weekly_metrics_read_the_orders_once(spark):
     for name in ("weekly_metrics", "weekly_alerts", "weekly_series", "daily_sales_vs_prev", "chart_delivery_hist",
                  "repeat_return_products", "cancellations_rollup", "weekly_category_share"):
         physical = plans(spark, name)[1]
-        assert physical.count("lineitem.parquet") == 1, name
+        assert physical.count("/orders.parquet") == 1 and physical.count("lineitem.parquet") <= 1, name
 
 
 def test_question_counts_need_no_tools(spark):
@@ -50,3 +51,34 @@ def test_question_counts_need_no_tools(spark):
 def test_sums_are_partial_before_the_shuffle(spark):
     physical = plans(spark, "sales_by_country")[1]
     assert "partial_sum" in physical and "HashAggregate" in physical
+
+
+def test_lines_are_summed_without_a_sort(spark):
+    for name in ("weekly_metrics", "top_products_revenue", "returns_report"):
+        assert "SortAggregate" not in plans(spark, name)[1], name
+
+
+def test_no_table_is_joined_that_a_query_does_not_use(spark):
+    for name in ("sales_overview", "orders_by_status_counts", "sales_by_month", "last_closed_week", "week_snap"):
+        assert "lineitem.parquet" not in plans(spark, name)[1] and "customer.parquet" not in plans(spark, name)[1], name
+    assert "part.parquet" not in plans(spark, "weekly_metrics")[1]
+
+
+def test_every_order_is_in_the_view(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    view = retail_orders(spark, SF)
+    assert view.count() == orders.count() == view.select("order_id").distinct().count()
+
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    built = ("list_orders", "list_orders_in_country", "week_snap", "report_audit", "weekly_metrics", "sales_by_country")
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for name in built:
+            QUERIES[name](spark, SF)
+        jobs = tracker.getJobIdsForGroup("building")
+        # Only the footers of the tables are read, for their columns.
+        assert all(len(tracker.getJobInfo(j).stageIds) == 1 and tracker.getStageInfo(tracker.getJobInfo(j).stageIds[0]).numTasks == 1 for j in jobs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

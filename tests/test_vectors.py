@@ -110,3 +110,14 @@ def test_build_and_search_an_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         build_index(pages.where("page_no > 99"), toy_encoder, path)
     assert spark.read.parquet(path).count() == n
+
+
+def test_broken_vectors_are_left_out_and_harm_no_other(spark):
+    nan, inf = float("nan"), float("inf")
+    made = [(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [0.5, None]), (4, [inf, 1.0]), (5, [9.0]), (6, [9.0, 9.0, 9.0]), (7, []), (8, None), (9, [0.5, 0.5])]
+    passages = spark.createDataFrame(made, SCHEMA).coalesce(1)
+    got = rows(vectors.top_passages(passages, [("q", [1.0, 0.0]), ("r", [0.0, 1.0])]), "question", "rank", "passage_id")
+    assert sorted(got) == [("q", 1, 1), ("q", 2, 9), ("r", 1, 9), ("r", 2, 1)]
+    for bad in ([("q", [1.0]), ("r", [1.0, 0.0])], [("q", [nan, 0.0])], [("q", [])]):
+        with pytest.raises(ValueError):
+            vectors.top_passages(passages, bad)

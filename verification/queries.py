@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,6 @@ from storelens.operators import (
 from storelens.plans.audit import audit_report
 from storelens.sources import logs
 from storelens.sources import warehouse as wh
-from storelens.sources.scratch import stored
 from storelens.streaming.closed_weeks import closed_weeks
 from storelens.streaming.run import run_to_table
 from storelens.streaming.topics import topic_windows
@@ -49,14 +48,25 @@ def _over(view: Callable[[SparkSession, str], DataFrame], build: Callable[[DataF
     return lambda spark, sf_dir: comparable(build(view(spark, sf_dir)))
 
 
-def _orders(build: Callable[..., DataFrame], **params) -> Query:
-    return _over(wh.retail_orders, lambda orders: build(orders, **params))
+def _orders(build: Callable[..., DataFrame], needs: Iterable[str] | None = None, **params) -> Query:
+    """`needs` names the columns a query uses; the view then joins no other tables."""
+    return _over(lambda spark, sf_dir: wh.retail_orders(spark, sf_dir, needs), lambda orders: build(orders, **params))
 
 
-def _stored_orders(build: Callable[..., DataFrame], *columns: str, **params) -> Query:
-    """For what reads the orders more than once: the view's joins run a single time."""
-    return _over(lambda spark, sf_dir: stored(wh.retail_orders(spark, sf_dir), *columns),
-                 lambda orders: build(orders, **params))
+def _listed_orders(**params) -> Query:
+    """The list reads what it shows; its totals read no product."""
+
+    def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counted = wh.retail_orders(spark, sf_dir, ("order_date", "order_status", "country"))
+        return comparable(order_desk.list_orders(wh.retail_orders(spark, sf_dir, _LISTED), counted=counted, **params))
+
+    return listed
+
+
+_SALES = ("order_id", "order_date", "total", "order_status")
+_LISTED = (*_SALES, "country", "product")
+_RETURNS = (*_SALES, "delivery_date", "return_request_date", "return_reason", "return_status")
+_WEEKLY = (*_SALES, "quantity", "installments", "delivery_days", "return_request_date", "return_reason")
 
 
 # ---- cleaning -------------------------------------------------------------------
@@ -233,91 +243,83 @@ def stream_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(run_to_table(closed_weeks(orders)))
 
 
-_LISTED = ("order_id", "order_date", "country", "product", "total", "order_status")
-_COUNTED = (
-    "order_date", "total", "quantity", "installments", "order_status", "delivery_days",
-    "return_request_date", "return_reason",
-)
-
 QUERIES: dict[str, Query] = {
     # cleaning and labels
     "clean_money": clean_money,
     "parse_dates": parse_dates,
     "parse_dates_strict": parse_dates_strict,
     "clean_delivery_days": clean_delivery_days,
-    "localized_labels": _orders(localized_labels),
-    "pretty_labels": _orders(pretty_labels),
+    "localized_labels": _orders(localized_labels, ("order_id", "payment_method", "return_reason")),
+    "pretty_labels": _orders(pretty_labels, ("order_id", "payment_method", "return_reason")),
     # filters
-    "orders_in_period": _orders(orders_in_period),
-    "non_cancelled": _orders(non_cancelled),
+    "orders_in_period": _orders(orders_in_period, _SALES),
+    "non_cancelled": _orders(non_cancelled, _SALES),
     # sales
-    "sales_overview": _orders(sales.sales_overview),
-    "orders_by_status_counts": _orders(sales.orders_by_status_counts),
-    "top_products_revenue": _orders(sales.top_products, n=10),
-    "top_products_units": _orders(sales.top_products, n=10, by="units"),
-    "sales_by_month": _orders(sales.sales_breakdown, dimension="month"),
-    "sales_by_country": _orders(sales.sales_breakdown, dimension="country"),
-    "sales_by_category": _orders(sales.sales_breakdown, dimension="category"),
-    "sales_by_payment_method": _orders(sales.sales_breakdown, dimension="payment_method"),
-    "sales_by_shipping_zone": _orders(sales.sales_breakdown, dimension="shipping_zone"),
-    "sales_overview_of_period": _orders(sales.sales_overview, start_date="1997-02-01", end_date="1999-10-31"),
-    "top_products_of_period": _orders(sales.top_products, start_date="1997-02-01", end_date="1999-10-31"),
-    "sales_by_country_since": _orders(sales.sales_breakdown, dimension="country", start_date="2000-01-01"),
+    "sales_overview": _orders(sales.sales_overview, _SALES),
+    "orders_by_status_counts": _orders(sales.orders_by_status_counts, _SALES),
+    "top_products_revenue": _orders(sales.top_products, (*_SALES, "product", "category"), n=10),
+    "top_products_units": _orders(sales.top_products, (*_SALES, "product", "category", "quantity"), n=10, by="units"),
+    "sales_by_month": _orders(sales.sales_breakdown, _SALES, dimension="month"),
+    "sales_by_country": _orders(sales.sales_breakdown, (*_SALES, "country"), dimension="country"),
+    "sales_by_category": _orders(sales.sales_breakdown, (*_SALES, "category"), dimension="category"),
+    "sales_by_payment_method": _orders(sales.sales_breakdown, (*_SALES, "payment_method"), dimension="payment_method"),
+    "sales_by_shipping_zone": _orders(sales.sales_breakdown, (*_SALES, "shipping_zone"), dimension="shipping_zone"),
+    "sales_overview_of_period": _orders(sales.sales_overview, _SALES, start_date="1997-02-01", end_date="1999-10-31"),
+    "top_products_of_period": _orders(sales.top_products, (*_SALES, "product", "category"), start_date="1997-02-01", end_date="1999-10-31"),
+    "sales_by_country_since": _orders(sales.sales_breakdown, (*_SALES, "country"), dimension="country", start_date="2000-01-01"),
     # returns
-    "returns_report_of_period": _orders(returns.returns_report, start_date="1997-02-01", end_date="1999-10-31"),
-    "returns_report": _orders(returns.returns_report),
-    "return_reasons_top5": _orders(returns.return_reasons),
-    "return_status_counts": _orders(returns.return_status_counts),
-    "late_returns": _orders(returns.late_return_requests, allowed_days=10),
+    "returns_report_of_period": _orders(returns.returns_report, _RETURNS, start_date="1997-02-01", end_date="1999-10-31"),
+    "returns_report": _orders(returns.returns_report, _RETURNS),
+    "return_reasons_top5": _orders(returns.return_reasons, _RETURNS),
+    "return_status_counts": _orders(returns.return_status_counts, _RETURNS),
+    "late_returns": _orders(returns.late_return_requests, _RETURNS, allowed_days=10),
     # order desk
     "order_lookup": _orders(order_desk.order_lookup, order_id=" ord-000000007 "),
-    "list_orders": _stored_orders(order_desk.list_orders, *_LISTED, status=" Processing ", limit=100),
-    "list_orders_in_country": _stored_orders(
-        order_desk.list_orders, *_LISTED, status="cancelled", country="nation_3"
-    ),
+    "list_orders": _listed_orders(status=" Processing ", limit=100),
+    "list_orders_in_country": _listed_orders(status="cancelled", country="nation_3"),
     # weekly report
-    "last_closed_week": _orders(weekly.last_closed_week),
-    "week_snap": _stored_orders(week_snap, "order_id", "order_date"),
-    "weekly_metrics": _orders(weekly.weekly_metrics),
-    "weekly_deltas": _orders(weekly.weekly_deltas),
-    "weekly_vs_avg4": _orders(weekly.weekly_vs_avg4),
-    "weekly_series": _orders(weekly_series),
-    "decline_streak": _orders(weekly.decline_streak),
-    "weekly_summary": _orders(weekly.weekly_summary),
-    "report_summary": _orders(weekly.report_summary, week_ending="1999-06-30"),
-    "weekly_summary_text": _orders(lambda orders: weekly.summary_text(weekly.weekly_summary(orders))),
-    "cancellations_by_country": _orders(weekly.cancellations_by_country),
-    "cancellation_concentration": _orders(weekly.cancellation_concentration),
-    "cancellations_rollup": _orders(weekly.cancellations_rollup),
-    "return_buckets": _orders(weekly.return_buckets),
-    "returns_controllable": _orders(weekly.returns_controllable),
-    "weekly_return_reasons": _orders(weekly.weekly_return_reasons),
-    "weekly_return_status": _orders(weekly.weekly_return_status),
-    "weekly_top5": _orders(weekly.weekly_top_products),
+    "last_closed_week": _orders(weekly.last_closed_week, _SALES),
+    "week_snap": _orders(week_snap, ("order_id", "order_date")),
+    "weekly_metrics": _orders(weekly.weekly_metrics, _WEEKLY),
+    "weekly_deltas": _orders(weekly.weekly_deltas, _WEEKLY),
+    "weekly_vs_avg4": _orders(weekly.weekly_vs_avg4, _WEEKLY),
+    "weekly_series": _orders(weekly_series, _WEEKLY),
+    "decline_streak": _orders(weekly.decline_streak, _WEEKLY),
+    "weekly_summary": _orders(weekly.weekly_summary, _WEEKLY),
+    "report_summary": _orders(weekly.report_summary, _WEEKLY, week_ending="1999-06-30"),
+    "weekly_summary_text": _orders(lambda orders: weekly.summary_text(weekly.weekly_summary(orders)), _WEEKLY),
+    "cancellations_by_country": _orders(weekly.cancellations_by_country, (*_SALES, "country")),
+    "cancellation_concentration": _orders(weekly.cancellation_concentration, (*_SALES, "country")),
+    "cancellations_rollup": _orders(weekly.cancellations_rollup, (*_SALES, "country")),
+    "return_buckets": _orders(weekly.return_buckets, _RETURNS),
+    "returns_controllable": _orders(weekly.returns_controllable, _WEEKLY),
+    "weekly_return_reasons": _orders(weekly.weekly_return_reasons, _RETURNS),
+    "weekly_return_status": _orders(weekly.weekly_return_status, _RETURNS),
+    "weekly_top5": _orders(weekly.weekly_top_products, (*_SALES, "product", "category")),
     "repeat_return_products": _orders(weekly.repeat_return_products),
-    "daily_sales_vs_prev": _orders(weekly.daily_sales_vs_previous),
-    "weekly_category_share": _orders(weekly.weekly_category_share),
-    "weekly_country_share": _orders(weekly.weekly_country_share),
-    "weekly_payment_share": _orders(weekly.weekly_payment_share),
-    "backlog": _orders(weekly.backlog),
-    "weekly_backlog": _orders(weekly.weekly_backlog),
-    "weekly_alerts": _orders(weekly.weekly_alerts),
-    "report_audit": _stored_orders(report_audit, *_COUNTED),
+    "daily_sales_vs_prev": _orders(weekly.daily_sales_vs_previous, _SALES),
+    "weekly_category_share": _orders(weekly.weekly_category_share, (*_SALES, "category")),
+    "weekly_country_share": _orders(weekly.weekly_country_share, (*_SALES, "country")),
+    "weekly_payment_share": _orders(weekly.weekly_payment_share, (*_SALES, "payment_method")),
+    "backlog": _orders(weekly.backlog, _WEEKLY),
+    "weekly_backlog": _orders(weekly.weekly_backlog, _WEEKLY),
+    "weekly_alerts": _orders(weekly.weekly_alerts, _WEEKLY),
+    "report_audit": _orders(report_audit, _WEEKLY),
     # charts
-    "chart_monthly_sales": _orders(charts.chart_series, kind="monthly_sales"),
-    "chart_monthly_peak_low": _orders(charts.chart_summary, kind="monthly_sales"),
-    "chart_top_products": _orders(charts.chart_series, kind="top_products", n=40),
-    "chart_returns_by_reason": _orders(charts.chart_series, kind="returns_by_reason", lang="es"),
-    "chart_payment_share": _orders(charts.chart_series, kind="payment_share", lang="es"),
-    "chart_delivery_hist": _orders(charts.chart_series, kind="delivery_days_hist"),
-    "chart_delivery_stats": _orders(charts.chart_summary, kind="delivery_days_hist"),
-    "chart_sales_by_country": _orders(charts.chart_series, kind="sales_by_country"),
-    "chart_sales_by_category": _orders(charts.chart_series, kind="sales_by_category", lang="es"),
-    "chart_top_product": _orders(charts.chart_summary, kind="top_products"),
-    "chart_top_return_reason": _orders(charts.chart_summary, kind="returns_by_reason"),
-    "chart_top_payment_method": _orders(charts.chart_summary, kind="payment_share"),
-    "chart_top_country": _orders(charts.chart_summary, kind="sales_by_country"),
-    "chart_top_category": _orders(charts.chart_summary, kind="sales_by_category", lang="es"),
+    "chart_monthly_sales": _orders(charts.chart_series, _SALES, kind="monthly_sales"),
+    "chart_monthly_peak_low": _orders(charts.chart_summary, _SALES, kind="monthly_sales"),
+    "chart_top_products": _orders(charts.chart_series, (*_SALES, "product", "category"), kind="top_products", n=40),
+    "chart_returns_by_reason": _orders(charts.chart_series, _RETURNS, kind="returns_by_reason", lang="es"),
+    "chart_payment_share": _orders(charts.chart_series, (*_SALES, "payment_method"), kind="payment_share", lang="es"),
+    "chart_delivery_hist": _orders(charts.chart_series, (*_SALES, "delivery_days"), kind="delivery_days_hist"),
+    "chart_delivery_stats": _orders(charts.chart_summary, (*_SALES, "delivery_days"), kind="delivery_days_hist"),
+    "chart_sales_by_country": _orders(charts.chart_series, (*_SALES, "country"), kind="sales_by_country"),
+    "chart_sales_by_category": _orders(charts.chart_series, (*_SALES, "category"), kind="sales_by_category", lang="es"),
+    "chart_top_product": _orders(charts.chart_summary, (*_SALES, "product", "category"), kind="top_products"),
+    "chart_top_return_reason": _orders(charts.chart_summary, _RETURNS, kind="returns_by_reason"),
+    "chart_top_payment_method": _orders(charts.chart_summary, (*_SALES, "payment_method"), kind="payment_share"),
+    "chart_top_country": _orders(charts.chart_summary, (*_SALES, "country"), kind="sales_by_country"),
+    "chart_top_category": _orders(charts.chart_summary, (*_SALES, "category"), kind="sales_by_category", lang="es"),
     # logs and traces
     "trace_archive": trace_archive,
     "trace_tools": trace_tools,
