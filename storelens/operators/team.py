@@ -88,6 +88,11 @@ def team_questions(interactions: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def interaction_count(interactions: DataFrame) -> DataFrame:
+    """One row: how many logged and traced interactions the team's figures rest on."""
+    return interactions.agg(F.count(F.lit(1)).alias("interactions"))
+
+
 def tool_topic(tool: Column | str, topics: dict[str, str] = TOOL_TOPICS) -> Column:
     return lookup(tool, topics, OTHER)
 

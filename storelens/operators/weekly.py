@@ -173,16 +173,34 @@ def decline_streak(orders: DataFrame, ledger: DataFrame | None = None) -> DataFr
 def report_summary(orders: DataFrame, week_ending: date | str | None = None) -> DataFrame:
     """The headline metrics of one closed week, the last one unless a day is given.
 
-    Any day snaps to the Sunday closing its week, at most the last closed one.
+    Any day snaps to the Sunday closing its week, at most the last closed one. A week
+    before the first order has zeros, and no delivery time.
     """
     summary = weekly_summary(orders)
     # A handful of rows per week, so the single window task stays small.
-    latest = F.max("week_end").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     day = as_date(week_ending)
-    picked = snap_to_week(F.lit(day), latest) if day else latest
-    return (
-        summary.withColumn("_picked", picked).where(F.col("week_end") == F.col("_picked")).drop("_picked")
-    )
+    latest = F.max("week_end").over(whole)
+    if day is None:
+        return summary.withColumn("_picked", latest).where(F.col("week_end") == F.col("_picked")).drop("_picked")
+    placed = summary.withColumn("_first", F.min("week_end").over(whole)).withColumn("_picked", snap_to_week(F.lit(day), latest))
+    # Before the first order there is nothing to sum: the first week's rows stand in, emptied.
+    early = F.col("_picked") < F.col("_first")
+    shown = placed.where(F.when(early, F.col("week_end") == F.col("_first")).otherwise(F.col("week_end") == F.col("_picked")))
+    averaged = F.col("metric") == "avg_delivery_days"
+
+    def emptied(name: str) -> Column:
+        if name == "week_start":
+            return F.when(early, F.date_sub("_picked", 6)).otherwise(F.col(name)).alias(name)
+        if name == "week_end":
+            return F.when(early, F.col("_picked")).otherwise(F.col(name)).alias(name)
+        if name in ("metric", "formula"):
+            return F.col(name)
+        inputs = name in ("numerator", "denominator")
+        without = F.col("metric").isin("revenue", "orders") if inputs else averaged
+        return F.when(early, F.when(~without, F.lit(0.0))).otherwise(F.col(name)).alias(name)
+
+    return shown.select(*[emptied(c) for c in summary.columns])
 
 
 def weekly_summary(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -448,6 +466,35 @@ def weekly_payment_share(orders: DataFrame, facts: DataFrame | None = None) -> D
     return _weekly_share(orders, facts, "payment_method", "rows", "orders")
 
 
+def _weekly_table(orders: DataFrame, facts: DataFrame | None, key: str, measure: str, name: str) -> DataFrame:
+    """Rows per week and key with their share, and a total row per week that counts missing keys too.
+
+    The rollup expands the few pre-aggregated rows, not the orders.
+    """
+    rolled = (
+        breakdown(orders, facts, key)
+        .withColumnRenamed("key", key)
+        .groupingSets([["week_end", key], ["week_end"]], "week_end", key)
+        .agg((F.grouping(key) == 1).alias("is_total"), F.sum(measure).alias(name))
+    )
+    total = F.max(F.when(F.col("is_total"), F.col(name))).over(W.partitionBy("week_end"))
+    return (
+        rolled.withColumn("share_pct", 100 * ratio(name, total))
+        .where(F.col("is_total") | F.col(key).isNotNull())
+        .select("week_end", key, "is_total", name, "share_pct")
+    )
+
+
+def weekly_country_table(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Revenue per week and country, with a total per week."""
+    return _weekly_table(orders, facts, "country", "amount", "revenue")
+
+
+def weekly_payment_table(orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Orders per week and payment method, with a total per week."""
+    return _weekly_table(orders, facts, "payment_method", "rows", "orders")
+
+
 # ---- backlog and alerts ---------------------------------------------------------
 
 

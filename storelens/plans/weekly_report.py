@@ -29,6 +29,8 @@ _FROM_FACTS = {
     "category_share": weekly.weekly_category_share,
     "country_share": weekly.weekly_country_share,
     "payment_share": weekly.weekly_payment_share,
+    "country_table": weekly.weekly_country_table,
+    "payment_table": weekly.weekly_payment_table,
     "top_products": weekly.weekly_top_products,
     "cancellations": weekly.cancellations_rollup,
     "cancellation_concentration": weekly.cancellation_concentration,

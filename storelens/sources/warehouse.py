@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import lookup
+from storelens.lookups import DOCUMENT_TITLES
 
 _PAYMENT = {
     "1-URGENT": "credit_card",
@@ -282,6 +283,13 @@ def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_stem(source: str) -> Column:
+    """File stems for sources: each third of them is one of the policy documents."""
+    stems = sorted(DOCUMENT_TITLES)
+    number = F.regexp_extract(source, r"(\d+)$", 1).try_cast("int")
+    return F.when(number % 3 == 0, _pick(tuple(stems), (number.cast("int") % len(stems)))).otherwise(F.col(source))
+
+
 def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of ten lines, some lines numbered like section headings.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from storelens.lookups import DOCUMENT_TITLES
+
 # ---- shared views ---------------------------------------------------------------
 
 _ORDERS = """
@@ -227,6 +229,15 @@ def _share(key: str, measure: str, name: str, kind: str) -> str:
         WHERE {key} IS NOT NULL""")
 
 
+def _table(key: str, measure: str, name: str, kind: str) -> str:
+    return _over_orders(f"""
+        SELECT week_end, {key}, is_total, v::{kind} AS {name},
+            round(100 * (v::DOUBLE / nullif(max(v) FILTER (is_total) OVER (PARTITION BY week_end), 0)::DOUBLE), 6) AS share_pct
+        FROM (SELECT {_week('order_date')} AS week_end, {key}, grouping({key}) = 1 AS is_total, coalesce({measure}, 0) AS v
+              FROM nc GROUP BY GROUPING SETS ((week_end, {key}), (week_end)))
+        QUALIFY is_total OR {key} IS NOT NULL""")
+
+
 _ES = """CASE {c} WHEN 'credit_card' THEN 'Tarjeta de crédito' WHEN 'debit_card' THEN 'Tarjeta de débito'
     WHEN 'digital_wallet' THEN 'Billetera digital' WHEN 'bank_transfer' THEN 'Transferencia'
     WHEN 'cash_on_delivery' THEN 'Contra entrega' WHEN 'defective_product' THEN 'Producto defectuoso'
@@ -459,6 +470,23 @@ ORACLES: dict[str, str] = {
         FROM reported WHERE metric = 'revenue'"""),
     "weekly_summary": _summary(),
     "report_summary": _summary("WHERE week_end = DATE '1999-07-04'"),
+    "report_summary_early": _over_weeks("""
+        SELECT DATE '1979-12-31' AS week_start, DATE '1980-01-06' AS week_end, metric,
+            CASE WHEN metric <> 'avg_delivery_days' THEN 0::DOUBLE END AS value,
+            CASE WHEN metric NOT IN ('revenue', 'orders') THEN 0::DOUBLE END AS numerator,
+            CASE WHEN metric NOT IN ('revenue', 'orders') THEN 0::DOUBLE END AS denominator,
+            CASE WHEN metric <> 'avg_delivery_days' THEN 0::DOUBLE END AS previous,
+            CASE WHEN metric <> 'avg_delivery_days' THEN 0::DOUBLE END AS vs_previous_pct,
+            CASE WHEN metric <> 'avg_delivery_days' THEN 0::DOUBLE END AS average_4_weeks,
+            CASE WHEN metric <> 'avg_delivery_days' THEN 0::DOUBLE END AS vs_average_pct,
+            formula
+        FROM (SELECT unnest(['revenue', 'orders', 'aov', 'cancel_rate', 'return_rate_filed', 'avg_delivery_days']) AS metric,
+                  unnest(['sum of total of non-cancelled orders placed in the week',
+                          'count of non-cancelled orders placed in the week', 'revenue / orders',
+                          'cancelled / all orders placed in the week * 100',
+                          'return requests filed in the week, any order / orders * 100',
+                          'mean delivery days of delivered orders placed in the week']) AS formula), bounds
+        WHERE DATE '1980-01-06' < first_week"""),
     "weekly_summary_text": _over_weeks("""
         SELECT week_end, metric, CASE metric WHEN 'revenue' THEN format('${:,.0f}', now)
             WHEN 'orders' THEN format('{:,.0f}', now) WHEN 'aov' THEN format('${:,.2f}', now)
@@ -515,6 +543,8 @@ ORACLES: dict[str, str] = {
     "weekly_category_share": _share("category", "sum(total)", "revenue", "DOUBLE"),
     "weekly_country_share": _share("country", "sum(total)", "revenue", "DOUBLE"),
     "weekly_payment_share": _share("payment_method", "count(*)", "orders", "BIGINT"),
+    "weekly_country_table": _table("country", "sum(total)", "revenue", "DOUBLE"),
+    "weekly_payment_table": _table("payment_method", "count(*)", "orders", "BIGINT"),
     "backlog": _over_weeks(f"SELECT * FROM ({_BACKLOG_WEEK}) WHERE cutoff = (SELECT last_week FROM bounds)"),
     "weekly_backlog": _over_weeks(_BACKLOG_WEEK),
     "weekly_alerts": _over_weeks(f"""
@@ -587,6 +617,8 @@ ORACLES: dict[str, str] = {
     "team_topics": _INTERACTIONS + f"""
         SELECT {_TOPIC} AS topic, sum(calls)::BIGINT AS calls, round(sum(calls)::DOUBLE / sum(sum(calls)) OVER (), 6) AS share
         FROM everything WHERE tool IS NOT NULL GROUP BY 1""",
+    "interaction_count": f"""WITH {_runs(_RECENT)}
+        SELECT (SELECT count(*) FROM events) + (SELECT count(*) FROM traced) AS interactions""",
     "token_usage": """
         SELECT conv_id AS interaction_id,
             coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS input_tokens,
@@ -633,6 +665,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id::VARCHAR AS doc_stem, page_no, section,
             CASE WHEN heading IS NULL THEN section || chr(10) || fragment ELSE fragment END AS body
         FROM carried""",
+    "doc_titles": f"""
+        SELECT doc_id, CASE WHEN n % 3 = 0 THEN [{', '.join("'" + DOCUMENT_TITLES[k].replace("'", "''") + "'" for k in sorted(DOCUMENT_TITLES))}][
+            (n % {len(DOCUMENT_TITLES)} + 1)::INTEGER] ELSE source END AS title
+        FROM (SELECT *, try_cast(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS n FROM documents)""",
+    "encoded_documents": """
+        WITH counts AS (
+            SELECT doc_id, [(length(text) - length(replace(text, c, '')))::DOUBLE for c in ['a', 'e', 'i', 'o', 'u']] || [1::DOUBLE] AS v
+            FROM documents
+        )
+        SELECT doc_id, (unnest(range(6)))::INTEGER AS i, round((unnest(v) / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE, 4) AS x FROM counts""",
     "fixed_window_chunks": """
         SELECT doc_id, start::INTEGER AS start, substring(text, start + 1, 1000) AS text
         FROM (SELECT doc_id, text, unnest(range(0, length(text), 850)) AS start FROM documents)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +181,10 @@ def team_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(team.team_topics(_all_interactions(spark, sf_dir)))
 
 
+def interaction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team.interaction_count(_all_interactions(spark, sf_dir))
+
+
 def content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.message_contents(spark, sf_dir).select("conv_id", "turn", team.content_text("content", F.col("is_list")).alias("text"))
 
@@ -196,6 +201,22 @@ def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.policy_chunks(wh.policy_pages(spark, sf_dir))
 
 
+def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the stem of their file: a known one for some sources, else the source's name."""
+    docs = wh.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sections.document_title(wh.document_stem("source")).alias("title"))
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """A fixed arithmetic encoder: how often each vowel occurs, and one."""
+    return np.array([[*(t.count(c) for c in "aeiou"), 1] for t in texts], dtype="float64")
+
+
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = vectors.encode_column(wh.table(spark, sf_dir, "documents").select("doc_id", "text"), _letters, prefix="")
+    return encoded.select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
 def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.fixed_window_chunks(wh.table(spark, sf_dir, "documents")).select("doc_id", "start", "text")
 
@@ -287,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "decline_streak": _orders(weekly.decline_streak, _WEEKLY),
     "weekly_summary": _orders(weekly.weekly_summary, _WEEKLY),
     "report_summary": _orders(weekly.report_summary, _WEEKLY, week_ending="1999-06-30"),
+    "report_summary_early": _orders(weekly.report_summary, _WEEKLY, week_ending="1980-01-01"),
     "weekly_summary_text": _orders(lambda orders: weekly.summary_text(weekly.weekly_summary(orders)), _WEEKLY),
     "cancellations_by_country": _orders(weekly.cancellations_by_country, (*_SALES, "country")),
     "cancellation_concentration": _orders(weekly.cancellation_concentration, (*_SALES, "country")),
@@ -301,6 +323,8 @@ QUERIES: dict[str, Query] = {
     "weekly_category_share": _orders(weekly.weekly_category_share, (*_SALES, "category")),
     "weekly_country_share": _orders(weekly.weekly_country_share, (*_SALES, "country")),
     "weekly_payment_share": _orders(weekly.weekly_payment_share, (*_SALES, "payment_method")),
+    "weekly_country_table": _orders(weekly.weekly_country_table, (*_SALES, "country")),
+    "weekly_payment_table": _orders(weekly.weekly_payment_table, (*_SALES, "payment_method")),
     "backlog": _orders(weekly.backlog, _WEEKLY),
     "weekly_backlog": _orders(weekly.weekly_backlog, _WEEKLY),
     "weekly_alerts": _orders(weekly.weekly_alerts, _WEEKLY),
@@ -327,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "interactions_union": interactions_union,
     "team_questions": team_questions,
     "team_topics": team_topics,
+    "interaction_count": interaction_count,
     "token_usage": _over(wh.message_usage, team.token_usage),
     "content_text": content_text,
     # evaluation
@@ -336,6 +361,8 @@ QUERIES: dict[str, Query] = {
     # passages
     "section_fragments": section_fragments,
     "policy_chunks": policy_chunks,
+    "doc_titles": doc_titles,
+    "encoded_documents": encoded_documents,
     "fixed_window_chunks": fixed_window_chunks,
     "vector_topk": vector_topk,
     "vector_topk_of_mixed": vector_topk_of_mixed,
