@@ -70,6 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # or a worker keeps its largest batch
 
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from storelens.llm.common import POINT_SLICE, CodePoints, runs, slices, texts_of
 GRAM = 9
 EDIT_SHARE = 0.1
 PASSAGE = 512  # longer items are looked for in pieces of this length
+ALIGNED_AT_ONCE = 512
 INDEX_CHARS = 4_000_000  # characters of passages that are looked for in one scan
 FILTER_BITS = 22
 MATCH = "item_id long, start long, end long, edits int"
@@ -131,14 +132,21 @@ class Passages:
         """(text, item, start, end, edits), best first for each item where stretches overlap."""
         folded = Folded(texts)
         found = []
-        for text, passage, diagonal in self.bands(folded):
-            own = folded.symbols[folded.starts[text] : folded.starts[text + 1]]
-            budget = int(self.budget[passage])
-            low = max(0, diagonal - budget)
-            high = min(len(own), diagonal + 2 * int(self.width[passage]) + len(self.symbols[passage]) + budget)
-            hit = aligned(self.symbols[passage], own[low:high], budget)
-            if hit:
-                found.append((text, passage, low + hit[0], low + hit[1], hit[2]))
+        # Those of like length together, so that a batch is hardly padded.
+        bands = sorted(self.bands(folded), key=lambda band: len(self.symbols[band[1]]))
+        for at in range(0, len(bands), ALIGNED_AT_ONCE):
+            some = bands[at : at + ALIGNED_AT_ONCE]
+            places = [(folded.starts[text], folded.starts[text + 1], diagonal - self.budget[passage]) for text, passage, diagonal in some]
+            passages = [self.symbols[passage] for _, passage, _ in some]
+            band = max(2 * int(self.width[passage] + self.budget[passage]) for _, passage, _ in some)
+            for (text, passage, _), (first, last, low), (end, edits) in zip(
+                some, places, best_ends(passages, folded.symbols, places, band), strict=True
+            ):
+                end = min(low + end, last - first)
+                if edits <= self.budget[passage] and end > 0:
+                    own = folded.symbols[first + max(0, low) : first + end]
+                    back = _last_row(self.symbols[passage][::-1], own[::-1])
+                    found.append((text, passage, end - int(back.argmin()), end, int(back.min())))
         for passage in self.short:
             wanted = self.symbols[passage].tobytes()
             found += [(text, int(passage), *stretch, 0) for text in range(len(texts)) for stretch in
@@ -166,14 +174,41 @@ def _exact(symbols: np.ndarray, wanted: bytes) -> list[tuple[int, int]]:
     return found
 
 
-def _last_row(passage: np.ndarray, stretch: np.ndarray, anchored: bool) -> np.ndarray:
-    """Edits between the passage and the stretch up to each of its places.
+def best_ends(
+    passages: list[np.ndarray], symbols: np.ndarray, places: list[tuple[int, int, int]], band: int
+) -> list[tuple[int, int]]:
+    """Banded alignment of many passages at once: where each ends best, and its edits there.
 
-    The stretch may start anywhere, or, if anchored, at its first symbol only. It is a
-    little longer than the passage, so the whole of it is the band.
+    A place is the first and last symbol of a text and the lowest diagonal of the band in
+    it; the end counts from that diagonal. The passage may start on any diagonal. Beyond
+    the text stands a sign that equals no symbol.
     """
+    n, longest = len(passages), max(map(len, passages))
+    wanted = np.full((n, longest), 2**32 - 2, np.uint32)
+    shown = np.full((n, longest + band), 2**32 - 1, np.uint32)
+    for k, (passage, (first, last, low)) in enumerate(zip(passages, places, strict=True)):
+        wanted[k, : len(passage)] = passage
+        start, stop = max(0, low), min(last - first, low + len(passage) + band)
+        if stop > start:
+            shown[k, start - low : stop - low] = symbols[first + start : first + stop]
+    steps = np.arange(band, dtype=np.int32)
+    row = np.zeros((n, band), np.int32)
+    lengths = np.array([len(p) for p in passages])
+    result: list[tuple[int, int]] = [(0, 0)] * n
+    for at in range(longest):
+        new = row + (shown[:, at : at + band] != wanted[:, at : at + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        for k in np.flatnonzero(lengths == at + 1):
+            offset = int(row[k].argmin())
+            result[k] = (at + 1 + offset, int(row[k, offset]))
+    return result
+
+
+def _last_row(passage: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Edits between the passage and the stretch from its first symbol up to each place."""
     steps = np.arange(len(stretch) + 1)
-    row = steps.copy() if anchored else np.zeros(len(stretch) + 1, np.int64)
+    row = steps.copy()
     for symbol in passage:
         new = np.empty_like(row)
         new[0] = row[0] + 1
@@ -182,17 +217,6 @@ def _last_row(passage: np.ndarray, stretch: np.ndarray, anchored: bool) -> np.nd
     return row
 
 
-def aligned(passage: np.ndarray, stretch: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """The best place of the passage in the stretch (start, end, edits), the first of equals; None beyond the budget."""
-    ends = _last_row(passage, stretch, anchored=False)
-    end = int(ends.argmin())
-    edits = int(ends[end])
-    if edits > budget or not end:
-        return None
-    back = _last_row(passage[::-1], stretch[:end][::-1], anchored=True)
-    return end - int(back.argmin()), end, edits
-
-
 # ---- documents ------------------------------------------------------------------
 
 

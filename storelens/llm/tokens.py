@@ -26,7 +26,7 @@ from storelens.llm.common import Words, runs, slices, texts_of, worker_store
 END_ID = 1
 NO_ID = -(2**63)  # stands for a NULL doc_id in the id files
 # Distinct pieces a worker remembers before it starts anew; bounds memory, not results.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 250_000
 
 # Words made of these characters alone are cut here exactly as the tokenizer cuts them
 # (lower case, then letters, single digits or runs of signs); any other word goes through

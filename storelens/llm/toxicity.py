@@ -27,6 +27,7 @@ LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "
 PREFIXES = (4, 5, 6)
 NEARBY = 5  # words between a term and a second person
 LEXICON_TERMS = 4_000
+TERMS_KEPT = 300_000  # distinct terms a task adds up before it hands them on; bounds memory
 MIN_EVIDENCE = 25.0  # likelihood ratio (G) of a term against chance
 MIN_ODDS = 4.0
 ENDS = "!?.,;:\"')"
@@ -54,20 +55,25 @@ def learn_lexicon(training: DataFrame, max_terms: int = LEXICON_TERMS) -> dict[s
     `max_terms` terms with the strongest evidence reach the driver.
     """
 
+    def rows(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = [*(seen[0].keys() | seen[1].keys())]
+        counts = [pa.array([one[t] for t in keys], pa.int64()) for one in seen]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], names=["term", "clean", "toxic"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
-        for batch in slices(batches):
-            labels = np.array(batch.column("label").to_pylist(), int)
+        for batch in slices(batches, size=2_000_000):
+            labels = batch.column("label").to_pylist()
             words = Words(texts_of(batch))
             own = [terms_of(w) for w in words.words]
             for at, label in enumerate(labels):
                 used = set(words.codes[words.starts[at] : words.starts[at + 1]].tolist())
                 seen[label].update({term for code in used for term in own[code]})
-                n[label] += 1
-        keys = [*(seen[0].keys() | seen[1].keys())]
-        columns = [[*(seen[k][t] for t in keys), n[k]] for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, ""]), *[pa.array(c, pa.int64()) for c in columns]], names=["term", "clean", "toxic"])
+                seen[label][""] += 1
+            if len(seen[0]) + len(seen[1]) > TERMS_KEPT:
+                yield rows(seen)
+                seen = (Counter(), Counter())
+        yield rows(seen)
 
     counted = training.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from storelens.llm.decontamination import Passages, aligned, clean_documents, find_passages
+from storelens.llm.decontamination import Passages, best_ends, clean_documents, find_passages
 
 
 def distance(a: str, b: str) -> int:
@@ -23,16 +23,17 @@ def symbols(text: str) -> np.ndarray:
 
 def test_alignment_matches_all_substrings():
     chance = random.Random(3)
-    for _ in range(150):
-        passage = "".join(chance.choice("abc") for _ in range(chance.randrange(1, 9)))
-        text = "".join(chance.choice("abc") for _ in range(chance.randrange(1, 14)))
-        best = min(distance(passage, text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1))
-        got = aligned(symbols(passage), symbols(text), len(passage))
-        if got is None:  # only the empty stretch is best
-            assert best >= len(passage)
-            continue
-        start, end, edits = got
-        assert edits == min(best, len(passage)) and distance(passage, text[start:end]) == edits
+    passages = ["".join(chance.choice("abc") for _ in range(chance.randrange(1, 9))) for _ in range(150)]
+    texts = ["".join(chance.choice("abc") for _ in range(chance.randrange(1, 14))) for _ in passages]
+    line = "".join(texts)
+    ends = np.cumsum([len(t) for t in texts]).tolist()
+    places = [(end - len(t), end, -8) for t, end in zip(texts, ends, strict=True)]  # bands wide enough for the whole
+    got = best_ends([symbols(p) for p in passages], symbols(line), places, 40)
+    for passage, text, (end, edits) in zip(passages, texts, got, strict=True):
+        best = min(distance(passage, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1))
+        assert edits == best
+        end = min(end - 8, len(text))
+        assert min(distance(passage, text[i : max(end, 0)]) for i in range(max(end, 0) + 1)) == best
 
 
 def edited(text: str, n: int, chance: random.Random) -> str:
