@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.llm.common import Words, slices, texts_of, written
 from storelens.llm.labelled import TRAINING_ROWS, binned, cut_points, sigmoid, training_rows
+from storelens.llm.similarity import Shingled
 
 # Second-person words of the corpus languages, and look-alike signs.
 SECOND_PERSON = frozenset(
@@ -255,15 +257,34 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> ToxicityModel:
     """Learn `labels.toxic` from at most `max_rows` labelled texts (see `training_rows`).
 
+    Of near copies one teaches, or the words of a much-copied text would pass for evidence.
     The texts are read where they lie; the driver gets the lexicon (LEXICON_TERMS at most)
     and one row of features per training text.
     """
-    training = written(training_rows(docs, labels, "toxic", max_rows))
+    training = written(one_per_family(training_rows(docs, labels, "toxic", max_rows)))
     lexicon = learn_lexicon(training)
     x, y = training_features(training, lambda texts: features(texts, lexicon), len(FEATURES))
     return ToxicityModel(lexicon, x, y)
 
 
+def one_per_family(training: DataFrame) -> DataFrame:
+    """Of training texts that share their smallest 5-word shingle, as most near copies do,
+    the one with the smallest doc_id; of those without words, one."""
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = Shingled(texts_of(batch))
+            least = np.zeros(batch.num_rows, np.uint64)
+            filled = np.flatnonzero(made.counts)
+            if len(filled):
+                least[filled] = np.minimum.reduceat(made.hashes, made.starts[:-1][filled])
+            yield batch.append_column("family", pa.array(least.astype(np.int64)))
+
+    marked = training.mapInArrow(families, "doc_id long, text string, label int, family long")
+    first = F.row_number().over(W.partitionBy("family").orderBy("doc_id"))
+    return marked.withColumn("nth", first).where("nth = 1").select("doc_id", "text", "label")
+
+
 def training_features(training: DataFrame, make, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the training rows, in the order of their doc_id."""
 
