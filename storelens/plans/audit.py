@@ -90,9 +90,10 @@ class AuditError(RuntimeError):
 
 
 def require_match(audit: DataFrame) -> None:
-    """Fail unless every audited figure matches; the first few that do not are named."""
-    wrong = audit.where(~F.col("matches")).orderBy("week_end", "metric").limit(10).collect()
-    if wrong:
-        raise AuditError("; ".join(
-            f"{r['week_end']} {r['metric']}: report {r['report_value']}, audit {r['audit_value']}" for r in wrong
+    """Fail unless every audited figure matches; the error counts those that do not and names the first few."""
+    wrong = audit.where(~F.col("matches"))
+    named = wrong.orderBy("week_end", "metric").limit(10).collect()
+    if named:
+        raise AuditError(f"{wrong.count()} figures differ: " + "; ".join(
+            f"{r['week_end']} {r['metric']}: report {r['report_value']}, audit {r['audit_value']}" for r in named
         ))

@@ -72,6 +72,7 @@ def weekly_report(
     if interactions is not None:
         report["team_questions"] = team.team_questions(interactions)
         report["team_topics"] = team.team_topics(interactions)
+        report["team_interactions"] = team.interaction_count(interactions)
     return report
 
 
