@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from storelens.sources.scratch import scratch_folder
 
 # Text that a task works on at a time, in bytes; it bounds memory, not results.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 # The same for work on single code points, which takes some 50 bytes each.
-POINT_SLICE = 1_000_000
+POINT_SLICE = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from storelens.llm.common import Words, runs, slices, texts_of, worker_store
 END_ID = 1
 NO_ID = -(2**63)  # stands for a NULL doc_id in the id files
 # Distinct pieces a worker remembers before it starts anew; bounds memory, not results.
-PIECES_KEPT = 250_000
+PIECES_KEPT = 100_000
 
 # Words made of these characters alone are cut here exactly as the tokenizer cuts them
 # (lower case, then letters, single digits or runs of signs); any other word goes through
@@ -187,7 +187,8 @@ def shard_writing(folder: str, file: str, width: int, rows: Callable[[pa.RecordB
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in slices(batches):
+        # Larger slices than elsewhere: the more text, the fewer distinct words in it.
+        for batch in slices(batches, size=6_000_000):
             writer = writer or _ShardWriter(folder, TaskContext.get().partitionId(), width)
             before = writer.n_tokens
             ids, starts = encoder(file).encode(texts_of(batch))

@@ -29,7 +29,7 @@ LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "
 PREFIXES = (4, 5, 6)
 NEARBY = 5  # words between a term and a second person
 LEXICON_TERMS = 4_000
-TERMS_KEPT = 300_000  # distinct terms a task adds up before it hands them on; bounds memory
+TERMS_KEPT = 100_000  # distinct terms a task adds up before it hands them on; bounds memory
 MIN_EVIDENCE = 25.0  # likelihood ratio (G) of a term against chance
 MIN_ODDS = 4.0
 ENDS = "!?.,;:\"')"
