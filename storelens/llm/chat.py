@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,7 +71,7 @@ class ByteTokenizer:
 
 
 def _tokenizer(file: str) -> ByteTokenizer:
-    return worker_store("byte_tokenizer", lambda: ByteTokenizer(file))
+    return worker_store(f"byte_tokenizer_{zlib.crc32(file.encode())}", lambda: ByteTokenizer(file))
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

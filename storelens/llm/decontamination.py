@@ -9,6 +9,7 @@ verified by banded alignment.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -235,11 +236,15 @@ def passage_blocks(benchmark: DataFrame, chars: int = INDEX_CHARS) -> Iterator[l
 
 
 def _matcher(block: list[tuple[int, str]], q: int, share: float):
-    """A function of texts. The index is built once per worker, from the block it travels with."""
-    name = f"passages_{hash((tuple(block), q, share)) & (2**63 - 1):x}"
+    """A function of texts. A worker builds the index of the block it travels with, and keeps the last."""
+    key = uuid.uuid4().hex
 
     def matches(texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        return worker_store(name, lambda: Passages(block, q, share)).matches(texts)
+        kept = worker_store("passages", dict)
+        if key not in kept:
+            kept.clear()
+            kept[key] = Passages(block, q, share)
+        return kept[key].matches(texts)
 
     return matches
 
