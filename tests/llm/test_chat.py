@@ -3,10 +3,12 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from storelens.llm import chat
 from storelens.llm.chat import escaped, format_conversations, formatted, parsed, unescaped, write_tree
 from storelens.llm.common import new_folder
 from storelens.llm.tokens import vocabulary_file
@@ -86,3 +88,35 @@ def test_tree(spark, rows):
         assert firsts == sorted(firsts)
     learned = [tokenizer.decode(n.ids[n.loss_from : n.loss_to], skip_special_tokens=False) for n in nodes.values() if n.role == "assistant"]
     assert "long " * 50_000 in learned and all(n.loss_from == n.loss_to for n in nodes.values() if n.role != "assistant")
+
+
+def test_a_turn_carries_no_path(spark):
+    turns = chat.paths(spark.range(1500).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "'hi' AS text")).collect()
+    assert len({t.node for t in turns}) == 1500
+    assert max(sum(len(v) for v in t if isinstance(v, str)) for t in turns) < 100
+
+
+def test_batches_end_by_bytes():
+    batches = list(chat._batches(iter([("x" * 1_000_000,)] * 100), pa.schema([("text", pa.string())])))
+    assert sum(b.num_rows for b in batches) == 100 and max(b.nbytes for b in batches) < 10_000_000
+
+
+def test_chains_on_chains_lie_depth_first(spark):
+    chance = random.Random(4)
+    said = [[f"t{k}" for k in range(3)]]
+    for conv in range(1, 60):  # each goes on from one before; every fourth from the last, so that they hang deep
+        before = said[-1] if conv % 4 else chance.choice(said)
+        said.append(before[: chance.randrange(len(before) + 1) if conv % 9 == 0 else len(before) - conv % 2] + [f"c{conv}", f"d{conv % 7}"])
+    made = [(c if c else None, k, "user", t, "") for c, turns in enumerate(said) for k, t in enumerate(turns)]
+    folder = new_folder(spark)
+    write_tree(spark.createDataFrame(made, SCHEMA).repartition(7), folder)
+    nodes = sorted(spark.read.parquet(f"{folder}/nodes").collect(), key=lambda n: n.first_token)
+    assert len(nodes) == len({tuple(t[: k + 1]) for t in said for k in range(len(t))})
+    at, open_nodes = 0, []
+    for n in nodes:
+        assert n.first_token == at
+        at += len(n.ids)
+        while open_nodes and open_nodes[-1] != n.parent:
+            open_nodes.pop()  # a subtree is left for good, so its nodes never come as parents again
+        assert bool(open_nodes) == (n.parent is not None)
+        open_nodes.append(n.node)
