@@ -139,7 +139,7 @@ class Passages:
             some = bands[at : at + ALIGNED_AT_ONCE]
             places = [(folded.starts[text], folded.starts[text + 1], diagonal - self.budget[passage]) for text, passage, diagonal in some]
             passages = [self.symbols[passage] for _, passage, _ in some]
-            band = max(2 * int(self.width[passage] + self.budget[passage]) for _, passage, _ in some)
+            band = [2 * int(self.width[passage] + self.budget[passage]) for _, passage, _ in some]
             for (text, passage, _), (first, last, low), (end, edits) in zip(
                 some, places, best_ends(passages, folded.symbols, places, band), strict=True
             ):
@@ -176,15 +176,21 @@ def _exact(symbols: np.ndarray, wanted: bytes) -> list[tuple[int, int]]:
 
 
 def best_ends(
-    passages: list[np.ndarray], symbols: np.ndarray, places: list[tuple[int, int, int]], band: int
+    passages: list[np.ndarray], symbols: np.ndarray, places: list[tuple[int, int, int]], band: int | list[int]
 ) -> list[tuple[int, int]]:
     """Banded alignment of many passages at once: where each ends best, and its edits there.
 
     A place is the first and last symbol of a text and the lowest diagonal of the band in
-    it; the end counts from that diagonal. The passage may start on any diagonal. Beyond
-    the text stands a sign that equals no symbol.
+    it; the end counts from that diagonal. The passage may start on any diagonal of its own
+    band (`band` has one width for all or one for each), whatever it is aligned with.
+    Beyond the text stands a sign that equals no symbol.
     """
     n, longest = len(passages), max(map(len, passages))
+    bands = np.broadcast_to(np.asarray(band), n)
+    band = int(bands.max())
+    # Diagonals beyond a passage's own band cost more than any alignment.
+    beyond = np.where(np.arange(band) >= bands[:, None], np.int32(2**20 + longest), np.int32(0)).astype(np.int32)
+    narrower = bool(beyond.any())
     wanted = np.full((n, longest), 2**32 - 2, np.uint32)
     shown = np.full((n, longest + band), 2**32 - 1, np.uint32)
     for k, (passage, (first, last, low)) in enumerate(zip(passages, places, strict=True)):
@@ -193,13 +199,15 @@ def best_ends(
         if stop > start:
             shown[k, start - low : stop - low] = symbols[first + start : first + stop]
     steps = np.arange(band, dtype=np.int32)
-    row = np.zeros((n, band), np.int32)
+    row = beyond.copy()
     lengths = np.array([len(p) for p in passages])
     result: list[tuple[int, int]] = [(0, 0)] * n
     for at in range(longest):
         new = row + (shown[:, at : at + band] != wanted[:, at : at + 1])
         np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
         row = np.minimum.accumulate(new - steps, axis=1) + steps
+        if narrower:
+            np.maximum(row, beyond, out=row)
         for k in np.flatnonzero(lengths == at + 1):
             offset = int(row[k].argmin())
             result[k] = (at + 1 + offset, int(row[k, offset]))

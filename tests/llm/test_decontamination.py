@@ -101,3 +101,13 @@ def test_empty_tables(spark, benchmark):
     assert find_passages(docs.limit(0), benchmark).count() == 0
     assert find_passages(docs, benchmark.limit(0)).count() == 0
     assert clean_documents(docs, benchmark.limit(0)).count() == 1
+
+
+def test_places_do_not_depend_on_what_else_is_aligned():
+    chance = random.Random(8)
+    short, long = ("".join(chance.choice("abcdefghijklmnop") for _ in range(n)) for n in (40, 300))
+    line = "q " + short[:20] + "z" + short[21:] + " " + short + " q"
+    alone = Passages([(1, short)]).matches([line])
+    assert sorted((m[2], m[4]) for m in alone) == [(2, 1), (43, 0)]
+    both = Passages([(1, short), (2, long)]).matches([line, long])
+    assert [m for m in both if m[1] == 1] == alone and [m[:2] for m in both if m[1] == 2] == [(1, 2)]
