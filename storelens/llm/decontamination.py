@@ -3,7 +3,8 @@
 By the q-gram lemma a stretch of text within k edits of a passage of m characters shares
 m + 1 - q - k * q of its q-grams at least, all on diagonals at most k apart. Shared
 q-grams are counted in overlapping bands of diagonals; bands that reach the bound are
-verified by banded alignment.
+verified by banded alignment. Short passages are looked for by shorter grams, so that the
+bound is 1 at least with all their edits.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import POINT_SLICE, CodePoints, runs, slices, texts_of, worker_store
 
-GRAM = 9
+GRAM = 9  # the longest grams; passages whose budget needs it are looked for by shorter ones
 EDIT_SHARE = 0.1
 PASSAGE = 512  # longer items are looked for in pieces of this length
 ALIGNED_AT_ONCE = 512
@@ -55,27 +56,53 @@ class Folded:
         self.at = shown - points.starts[self.of_text]
         self.starts = np.searchsorted(self.of_text, np.arange(len(texts) + 1))
 
-    def grams(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all q-grams that lie within one text, and where they start."""
-        size = len(self.symbols) - q + 1
-        if size <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        hashed = np.zeros(size, np.uint64)
-        for k in range(q):
-            hashed = hashed * np.uint64(0x100000001B3) + self.symbols[k : k + size]
-        hashed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        places = np.flatnonzero(self.of_text[:size] == self.of_text[q - 1 :])
-        return hashed[places], places
+    def grams(self, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length q, ascending: q, hashes of all q-grams that lie within one text, and where they start."""
+        hashed = np.zeros(len(self.symbols), np.uint64)
+        for q in range(1, max(lengths, default=0) + 1):
+            size = max(0, len(self.symbols) - q + 1)
+            hashed = hashed[:size] * np.uint64(0x100000001B3) + self.symbols[q - 1 : q - 1 + size]
+            if q in lengths:
+                mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                places = np.flatnonzero(self.of_text[:size] == self.of_text[q - 1 : q - 1 + size])
+                yield q, mixed[places], places
 
 
 # ---- passages -------------------------------------------------------------------
 
 
+class Grams:
+    """The q-grams of the passages of one gram length: sorted hashes, whose they are and where."""
+
+    def __init__(self, q: int, passages: np.ndarray, symbols: list[np.ndarray]) -> None:
+        hashes, owners, places = [], [], []
+        for k in passages:
+            one = Folded.__new__(Folded)
+            one.symbols, one.of_text = symbols[k], np.zeros(len(symbols[k]), np.int64)
+            ((_, hashed, at),) = one.grams([q])
+            hashes.append(hashed), owners.append(np.full(len(at), k)), places.append(at)
+        order = np.argsort(np.concatenate(hashes), kind="stable")
+        self.hashes, self.owners, self.places = (np.concatenate(v)[order] for v in (hashes, owners, places))
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
+
+    def shared(self, hashed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the texts, passage and place in it of every gram that both have."""
+        maybe = np.flatnonzero(self.filter[hashed >> np.uint64(64 - FILTER_BITS)])
+        hashed, places = hashed[maybe], places[maybe]
+        low, high = np.searchsorted(self.hashes, hashed, "left"), np.searchsorted(self.hashes, hashed, "right")
+        found = runs(low, high - low)
+        return np.repeat(places, high - low), self.owners[found], self.places[found]
+
+
 class Passages:
-    """An index of passages: their symbols, edit budgets, bounds and q-grams."""
+    """An index of passages: their symbols, edit budgets, bounds and q-grams.
+
+    Each passage has grams of its own length: q, or the longest that its budget of k edits
+    leaves a bound for, m // (k + 1).
+    """
 
     def __init__(self, items: Sequence[tuple[int, str]], q: int = GRAM, share: float = EDIT_SHARE, passage: int = PASSAGE) -> None:
-        self.q = q
         folded = Folded([text for _, text in items])
         self.items: list[int] = []
         self.symbols: list[np.ndarray] = []
@@ -89,34 +116,23 @@ class Passages:
                     self.items.append(item_id)
                     self.symbols.append(part)
         lengths = np.array([len(s) for s in self.symbols], np.int64)
-        # As many edits as the share allows and the lemma still bounds; shorter ones exactly.
-        self.budget = np.maximum(np.minimum((lengths * share).astype(np.int64), lengths // q - 1), 0)
-        self.bound = lengths + 1 - q - self.budget * q
+        self.budget = np.where(lengths < q, 0, np.minimum((lengths * share).astype(np.int64), lengths - 1))
+        gram = np.minimum(q, lengths // (self.budget + 1))
+        self.bound = lengths + 1 - gram * (self.budget + 1)
         self.width = self.budget + 1
         self.short = np.flatnonzero(lengths < q)
-        hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(lengths >= q):
-            one = Folded.__new__(Folded)
-            one.symbols, one.of_text = self.symbols[k], np.zeros(lengths[k], np.int64)
-            hashed, at = one.grams(q)
-            hashes.append(hashed), owners.append(np.full(len(at), k)), places.append(at)
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.hashes, self.owners, self.places = (np.concatenate(v)[order] for v in (hashes, owners, places))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
+        long = np.flatnonzero(lengths >= q)
+        self.grams = {int(size): Grams(int(size), long[gram[long] == size], self.symbols) for size in np.unique(gram[long])}
 
     def bands(self, folded: Folded) -> list[tuple[int, int, int]]:
         """(text, passage, first diagonal) of every band that reaches its bound."""
-        hashed, places = folded.grams(self.q)
-        maybe = np.flatnonzero(self.filter[hashed >> np.uint64(64 - FILTER_BITS)])
-        hashed, places = hashed[maybe], places[maybe]
-        low, high = np.searchsorted(self.hashes, hashed, "left"), np.searchsorted(self.hashes, hashed, "right")
-        found = runs(low, high - low)
-        places = np.repeat(places, high - low)
-        passage = self.owners[found]
+        shared = [self.grams[q].shared(hashed, places) for q, hashed, places in folded.grams(list(self.grams))]
+        if not shared:
+            return []
+        places, passage, own_places = (np.concatenate(v) for v in zip(*shared, strict=True))
         text = folded.of_text[places]
         # Diagonals start below 0 by a passage's length at most; shift them.
-        diagonal = places - folded.starts[text] - self.places[found]
+        diagonal = places - folded.starts[text] - own_places
         width = self.width[passage]
         band = np.floor_divide(diagonal, width)
         # Each diagonal lies in two bands, of twice the width, so no stretch is parted.
@@ -261,8 +277,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, share: f
     """One row per place where a benchmark passage stands: doc_id and MATCH.
 
     Case and everything but letters and digits are ignored. A place may differ by `share`
-    of the passage's characters; passages of fewer than 2 * q characters, for which the
-    lemma has no budget, must match exactly, and those shorter than q as whole words.
+    of the passage's characters, rounded down, whatever its length (at 10 %, those of fewer
+    than 10 must match exactly); passages shorter than q must stand there exactly, as whole words.
     Items longer than PASSAGE are looked for in parts, each on its own. Places of one
     passage do not overlap. NULL, empty and blank texts and items have no place; repeated
     documents each have theirs; an empty table or benchmark gives no row.

@@ -111,3 +111,19 @@ def test_places_do_not_depend_on_what_else_is_aligned():
     assert sorted((m[2], m[4]) for m in alone) == [(2, 1), (43, 0)]
     both = Passages([(1, short), (2, long)]).matches([line, long])
     assert [m for m in both if m[1] == 1] == alone and [m[:2] for m in both if m[1] == 2] == [(1, 2)]
+
+
+@pytest.mark.parametrize("length", range(9, 90))
+def test_short_passages_have_all_their_edits(length):
+    chance = random.Random(length)
+    for _ in range(6):
+        text = "".join(chance.choice("abcdefgh") for _ in range(length))
+        budget = length // 10
+        index = Passages([(1, text), (2, "ab cd " * 30)])
+        assert index.budget[0] == budget and index.bound[0] >= 1
+        # Edits as far apart as can be leave the shortest stretches unharmed.
+        line = list(text)
+        for k in range(budget):
+            line[(k + 1) * length // (budget + 1)] = chance.choice("xyz")
+        for near in ("".join(line), edited(text, budget, chance)):
+            assert [m[:2] for m in index.matches(["none", "qq " + near + " qq"])] == [(1, 1)]
