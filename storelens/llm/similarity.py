@@ -171,17 +171,20 @@ def smallest_reached(joined: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def _compare(group: list[tuple[int, int, np.ndarray]], threshold: float) -> tuple[list[int], list[int], list[int]]:
-    """Nodes, their links and the smallest node they connect to, within a pair of blocks.
+def _compare(group: list[tuple[int, int, np.ndarray]], alone: bool, threshold: float) -> tuple[list[int], list[int], list[int]]:
+    """Nodes, their links and the smallest node they connect to, within a block or between two.
 
-    Rows are (node, block, shingles); two blocks are compared with each other only."""
+    Rows are (node, block, shingles); two blocks are compared with each other only, so
+    where one of them has no text there is nothing to compare."""
     known: dict[tuple[int, bytes], tuple[int, int, np.ndarray]] = {}
     for row in group:
         known.setdefault((row[0], row[2].tobytes()), row)
     rows = sorted(known.values(), key=lambda r: (r[1], r[0]))
     blocks = sorted({r[1] for r in rows})
     nodes = np.array([r[0] for r in rows], np.int64)
-    if len(blocks) == 1:
+    if not alone and len(blocks) == 1:
+        return [], [], []
+    if alone:
         joined = linked([r[2] for r in rows], None, threshold)
     else:
         n = sum(r[1] == blocks[0] for r in rows)
@@ -200,11 +203,11 @@ def _verified(shingles: DataFrame, threshold: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(group):
-            nodes, links, near = _compare(group, threshold)
+            nodes, links, near = _compare(group, last[1] == last[2], threshold)
             return pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), pa.array(near, pa.int64())], names=["node", "links", "near"])
 
-        last, group, alone = None, [], True
+        last, group = None, []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high")), strict=True))
             columns = zip(keys, batch.column("node").to_pylist(), batch.column("block").to_pylist(), batch.column("shingles"), strict=True)
@@ -213,8 +216,7 @@ def _verified(shingles: DataFrame, threshold: float) -> DataFrame:
                     if len(group) > 1:
                         yield result(group)
                     last, group = key, []
-                alone = key[1] == key[2]
-                group.append((node, 0 if alone else block, np.frombuffer(packed.as_py(), "<u8")))
+                group.append((node, block, np.frombuffer(packed.as_py(), "<u8")))
         if len(group) > 1:
             yield result(group)
 

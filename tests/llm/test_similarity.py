@@ -145,3 +145,11 @@ def test_components_of_random_graphs(spark, seed):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+@pytest.mark.parametrize("copies", [2, 3])
+def test_empty_blocks_count_no_link_again(spark, monkeypatch, copies):
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 20)
+    rows = list(enumerate(near_copies(random.Random(copies), 6, copies)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(similarity.near_duplicates(docs)) == brute(rows)
