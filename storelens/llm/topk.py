@@ -54,7 +54,7 @@ def _list_scores(items: np.ndarray, queries: np.ndarray, parts: list[np.ndarray]
 
 def _phase(query_ids: np.ndarray, queries: np.ndarray, k: int, lists: int, cutoffs: np.ndarray | None):
     width = queries.shape[1]
-    parts = [p for p in np.array_split(np.arange(width), lists) if len(p)]
+    parts = [p for p in np.array_split(np.arange(width), lists) if len(p)] or [np.arange(0)]  # one empty list for no components
     step = max(1, SCORES_AT_ONCE // max(1, len(query_ids)))
 
     def gather(scores: list[np.ndarray], ids: np.ndarray, own: np.ndarray):
@@ -110,7 +110,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_bl
 
     `vectors` has vec_id and integer vectors v; `is_query` is a condition on vec_id. Ties
     go to smaller ids; scores are exact as far as a long holds them. Vectors of another length than the query's take no part in its
-    answer; fewer than k others give fewer ranks; an empty table gives no row. Of rows
+    answer (empty vectors score 0 with each other); fewer than k others give fewer ranks; an empty table gives no row. Of rows
     that repeat a query's id one vector (the least) asks; repeated candidates each count.
 
     Queries go to the tasks in blocks of `query_block`, whose size bounds what is sent,

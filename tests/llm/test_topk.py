@@ -61,3 +61,10 @@ def test_scores_beyond_doubles(spark):
 def test_empty_table(spark, rows):
     assert answer(spark, rows[:0], 5) == []
     assert answer(spark, rows[1:9], 5) == []  # no query among them
+
+
+def test_empty_vectors_ask_each_other(spark, rows):
+    rows = [*rows, (350, [], 0), (351, [], 0)]
+    got = answer(spark, rows, 5)
+    assert got == brute(rows, 5) and [r for r in got if r[0] == 350] == [(350, 1, 301, 0), (350, 2, 351, 0)]
+    assert answer(spark, [(350, [], 0)], 5) == []
