@@ -104,7 +104,7 @@ class Shingled:
 
 
 def signed(docs: DataFrame, trees: int, levels: int, shingle: int) -> DataFrame:
-    """doc_id, hi and lo (the digest of its words), n_shingles and labels of every row."""
+    """doc_id, own, hi and lo (the digest of its words), n_shingles and labels of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -113,11 +113,11 @@ def signed(docs: DataFrame, trees: int, levels: int, shingle: int) -> DataFrame:
             flat = pa.array(made.labels(trees, levels).T.astype(np.int64).ravel() if batch.num_rows else [], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(made.counts.astype(np.int64)), lists],
-                names=["doc_id", "hi", "lo", "n_shingles", "labels"],
+                [batch.column("doc_id"), batch.column("own"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(made.counts.astype(np.int64)), lists],
+                names=["doc_id", "own", "hi", "lo", "n_shingles", "labels"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, hi long, lo long, n_shingles long, labels array<long>")
+    return docs.mapInArrow(sign, "doc_id long, own long, hi long, lo long, n_shingles long, labels array<long>")
 
 
 # ---- exact comparison -----------------------------------------------------------
@@ -227,7 +227,7 @@ def _verified(shingles: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, recall: float = RECALL
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, n_links, n_copies.
+    """One row per row of `docs`: doc_id, class_id, n_links, n_copies, class_text.
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams reaches
     the threshold; a class is what links connect, named by its smallest doc_id. n_links
@@ -236,29 +236,34 @@ def near_duplicates(
     probability `recall` at least, a higher one more surely.
 
     Texts without words (NULL, empty, blank) are linked to nothing and make classes of
-    their own. Rows that share a doc_id fall into one class. A NULL doc_id counts as an id
-    made of the text, above all given ones (which are below 2^62); a class of such rows
-    alone has the class_id NULL. Other columns are ignored.
+    their own, those of one doc_id one. Rows that share a doc_id fall into one class only
+    by their texts; different classes that have the same smallest doc_id have the same
+    class_id, and class_text (the smallest digest of a class's words, NULL without words)
+    tells them apart. A NULL doc_id counts as an id made of the text, above all given ones
+    (which are below 2^62); a class of such rows alone has the class_id NULL. Other columns
+    are ignored.
 
     Copies are one node whatever their number. Prefix buckets are linked to their
     smallest node, never pair by pair; large groups are compared in pairs of blocks,
     which hand on one row per text.
     """
-    rows = docs.select(_row_id().alias("doc_id"), "text")
+    rows = docs.select(_row_id().alias("doc_id"), _own().alias("own"), "text")
     given = lambda c: F.when(F.col(c) < FIRST_MADE_ID, F.col(c)).alias(c)
-    return _classes(rows, threshold, shingle, trees, levels, recall).select(given("doc_id"), given("class_id"), "n_links", "n_copies")
+    return _classes(rows, threshold, shingle, trees, levels, recall).select(given("doc_id"), given("class_id"), "n_links", "n_copies", "class_text")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """All columns of one row per class of near duplicates: the row whose doc_id names it.
+    """All columns of one row per class of near duplicates: a row whose doc_id names it.
 
-    Of rows that share that doc_id the one with the least text stays (see `near_duplicates`).
+    Of a class's rows that share that doc_id the one with the least text stays (see
+    `near_duplicates`); rows that share a doc_id but belong to different classes all stay.
     """
     options = {"threshold": THRESHOLD, "shingle": SHINGLE, "trees": TREES, "levels": LEVELS, "recall": RECALL} | options
-    classes = _classes(docs.select(_row_id().alias("doc_id"), "text"), **options)
-    names = classes.where("doc_id = class_id").select(F.col("class_id").alias("__class")).distinct()
-    own = docs.withColumn("__class", _row_id()).join(names, "__class", "left_semi")
-    first = F.row_number().over(W.partitionBy("__class").orderBy("text"))
+    classes = _classes(docs.select(_row_id().alias("doc_id"), _own().alias("own"), "text"), **options)
+    names = classes.where("doc_id = class_id").select(
+        F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.coalesce("class_text", F.lit("")).alias("__class")).distinct()
+    own = docs.withColumn("__id", _row_id()).withColumn("__own", _own()).join(names, ["__id", "__own"])
+    first = F.row_number().over(W.partitionBy("__id", "__class").orderBy("text"))
     return own.withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
 
 
@@ -267,16 +272,22 @@ def _row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), made)
 
 
+def _own() -> Column:
+    """Tells rows that share an id by their texts."""
+    return F.xxhash64(F.lit(1), "text")
+
+
 def _classes(rows: DataFrame, threshold: float, shingle: int, trees: int, levels: int, recall: float) -> DataFrame:
     depth = prefix_length(trees, levels, threshold, recall)
     rows_signed = written(signed(rows, trees, depth, shingle))
     # Written first, so that the joins below shuffle both sides and can split a key with very many rows.
+    # A node is a text, whatever ids its rows have; its number is made as the row is written.
     copies = written(rows_signed.where("n_shingles > 0").groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("n_copies")))
-    with_node = rows_signed.select("doc_id", "hi", "lo", "n_shingles").join(copies, ["hi", "lo"], "left")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")).withColumn("node", F.monotonically_increasing_id()))
+    with_node = rows_signed.select("doc_id", "own", "hi", "lo").join(copies, ["hi", "lo"], "left")
     nodes = written(
-        rows_signed.join(copies, ["hi", "lo"]).where("doc_id = node").dropDuplicates(["hi", "lo"])
-        .select("node", "n_shingles", "labels")
+        rows_signed.join(copies, ["hi", "lo"]).where("doc_id = first_id").dropDuplicates(["hi", "lo"])
+        .select("node", "doc_id", "own", "hi", "lo", "n_shingles", "labels")
     )
 
     tries = nodes.select("node", F.posexplode("labels").alias("tree", "label")).select(
@@ -286,33 +297,38 @@ def _classes(rows: DataFrame, threshold: float, shingle: int, trees: int, levels
     edges = tries.join(buckets, "prefix").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     grouped = components(edges)
 
-    members = grouped.join(nodes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
+    members = grouped.join(nodes.drop("labels"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("n_shingles"))
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    members = members.select("node", "component").join(sizes.select("component", blocks.alias("blocks")), "component").select(
-        F.col("node").alias("doc_id"), "component", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
-    compared = rows.join(members, "doc_id")
+    members = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn(
+        "block", F.expr("cast(pmod(xxhash64(hi, lo), blocks) as int)"))
+    compared = rows.join(members, ["doc_id", "own"])
     verified = written(_verified(_with_shingles(compared, shingle), threshold))
 
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    classes = components(
-        verified.select(F.col("node").alias("u"), F.col("near").alias("v"))
-        # Rows that share a doc_id but not their words belong together.
-        .unionByName(with_node.where("doc_id <> node").join(with_node.where("doc_id = node").select("doc_id").distinct(), "doc_id")
-                     .select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
-    )
+    classes = components(verified.select(F.col("node").alias("u"), F.col("near").alias("v")))
+    joined = classes.join(copies, "node")
+    names = written(joined.groupBy("component").agg(
+        F.min("first_id").alias("class_id"), F.min(_digest()).alias("class_text")))
+    classes = written(classes.join(names, "component").select("node", "class_id", "class_text"))
     return (
         with_node.join(links, "node", "left")
-        .join(classes.select("node", F.col("component").alias("class_id")), "node", "left")
+        .join(classes, "node", "left")
         .select(
             "doc_id",
-            F.coalesce("class_id", "node", "doc_id").alias("class_id"),
+            "own",
+            F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+            F.coalesce("class_text", F.when(F.col("node").isNotNull(), _digest())).alias("class_text"),
         )
     )
 
 
+def _digest() -> Column:
+    return F.concat(*(F.lpad(F.hex(half), 16, "0") for half in ("hi", "lo")))
+
+
 def _with_shingles(compared: DataFrame, shingle: int) -> DataFrame:
     """Each text's distinct shingles, once for every pair of blocks that its own is part of."""
 
@@ -321,11 +337,11 @@ def _with_shingles(compared: DataFrame, shingle: int) -> DataFrame:
             made = Shingled(texts_of(batch), shingle)
             packed = [np.unique(made.hashes[a:b]).tobytes() for a, b in zip(made.starts[:-1], made.starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "component", "blocks", "block")], pa.array(packed, pa.binary())],
+                [*[batch.column(c) for c in ("node", "component", "blocks", "block")], pa.array(packed, pa.binary())],
                 names=["node", "component", "blocks", "block", "shingles"],
             )
 
-    kept = compared.select("doc_id", "component", "blocks", "block", "text")
+    kept = compared.select("node", "component", "blocks", "block", "text")
     made = kept.mapInArrow(make, "node long, component long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return made.select("node", "component", "block", other, "shingles").select(

@@ -153,3 +153,14 @@ def test_empty_blocks_count_no_link_again(spark, monkeypatch, copies):
     rows = list(enumerate(near_copies(random.Random(copies), 6, copies)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(similarity.near_duplicates(docs)) == brute(rows)
+
+
+def test_texts_that_share_an_id_are_not_joined(spark):
+    words = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1].upper()), (2, words[1] + " more"), (3, words[2]), (1, words[2] + " end"), (1, None), (4, words[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in similarity.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(1, words[0]), (1, words[1].upper()), (1, words[2] + " end"), (1, None), (4, words[3])], key=str)
+    got = similarity.near_duplicates(docs).collect()
+    assert sorted(r.class_id for r in got) == [1] * 7 + [4] and len({r.class_text for r in got}) == 5
+    assert sorted(r.n_links for r in got) == [0, 0, 0, 1, 1, 1, 1, 1]
