@@ -61,15 +61,18 @@ class Encoder:
 
     No rule of this vocabulary looks across white space, so a text's ids are those of its
     words in turn. Each distinct word of a batch is cut once, and each distinct piece
-    goes through the tokenizers library once.
+    goes through the tokenizers library once. With `plain_specials` the strings of special
+    tokens are ordinary text; without, a word that holds one goes through the library whole.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, plain_specials: bool = True) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.pieces = Pieces(self._piece)
 
     def _whole(self, text: str) -> list[int]:
@@ -83,7 +86,7 @@ class Encoder:
         """A pool of ids, and where each word's ids start there and how many they are."""
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = Pieces(self._piece)
-        plain = [w if PLAIN.fullmatch(w) else "" for w in words]
+        plain = [w if PLAIN.fullmatch(w) and not (self.special and self.special.search(w)) else "" for w in words]
         cut = CUT.findall("\n".join(plain).lower() + "\n") if len(words) else []
         numbers = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
         pool, starts = np.array(self.pieces.ids, np.uint32), np.array(self.pieces.starts)
@@ -114,7 +117,8 @@ class Encoder:
 
 
 def encoder(file: str) -> Encoder:
-    return worker_store(f"encoder_{zlib.crc32(file.encode())}", lambda: Encoder(file))
+    """With the library's default for special tokens: their strings are their ids."""
+    return worker_store(f"encoder_{zlib.crc32(file.encode())}", lambda: Encoder(file, plain_specials=False))
 
 
 def crc32_of(ids: np.ndarray) -> int:

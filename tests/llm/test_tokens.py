@@ -82,3 +82,17 @@ def test_empty_table(spark):
     folder = new_folder(spark)
     shards = tokens.write_token_files(spark.createDataFrame([], "doc_id long, text string"), folder)
     assert shards == [] and tokens.read_documents(spark, folder, shards).count() == 0
+
+
+def test_special_tokens_as_the_unmodified_library_has_them(spark):
+    library = Tokenizer.from_file(tokens.vocabulary_file())
+    chance = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "word", "don't", "é", "カ", " ", "\n", "7", "!"]
+    texts = ["a<|endoftext|>b", *("".join(chance.choices(parts, k=chance.randrange(12))) for _ in range(2000))]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    ids, starts = tokens.encoder(tokens.vocabulary_file()).encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want
+    assert 49407 in want[0]
+    folder = new_folder(spark)
+    shards = tokens.write_token_files(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), folder)
+    assert [r.n_tokens for r in tokens.read_documents(spark, folder, shards).collect()] == [len(want[0])]
