@@ -1,9 +1,10 @@
-"""Near-duplicate texts: a MinHash LSH forest, then exact Jaccard similarity of word 5-grams.
+"""Near-duplicate texts: MinHash LSH in fixed bands, then exact Jaccard similarity of word 5-grams.
 
-Each tree gives a text a label of MinHash values; sorted labels are a prefix trie. Matched
-prefixes are shortened level by level until a pair at the threshold is found with the
-target probability. Texts that share such a prefix, directly or through others, form a
-group; within a group every pair is compared exactly, block by block.
+Each band gives a text a label of MinHash values, as many as find a pair at the threshold
+with the target probability; the number follows from the recall formula, not from the data,
+so this is not an LSH forest. Texts that share a label, directly or through others, form a
+group; within a group every pair is compared exactly, block by block, so that the work on a
+group grows with the square of its different texts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def recall_at(depth: int, trees: int, similarity: float) -> float:
 
 
 def prefix_length(trees: int = TREES, levels: int = LEVELS, similarity: float = THRESHOLD, target: float = RECALL) -> int:
-    """The longest prefix that reaches the target: whole labels first, then a value less each time."""
+    """The most values a label may have to reach the target, by the formula alone."""
     depth = levels
     while depth > 1 and recall_at(depth, trees, similarity) < target:
         depth -= 1
