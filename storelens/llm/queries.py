@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import chat, decontamination, language, licenses, packing, quality, similarity, tokens, topk, toxicity
-from storelens.llm.common import new_folder, remainder_of_id, table
+from storelens.llm import chat, decontamination, language, licenses, packing, periodic, quality, similarity, tokens, topk, toxicity
+from storelens.llm.common import new_folder, remainder_of_id, table, texts_of
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +65,36 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(conversations.unionByName(more))
 
 
+def _with_planted_runs(batch: pa.RecordBatch) -> pa.Array:
+    """The texts, a tenth of them with words that repeat from some place on, as their doc_id says."""
+    texts = texts_of(batch).to_pylist()
+    for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+        h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+        words = texts[row].encode().split() if h % 10 == 0 else []
+        if words:
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words[a:] = (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+            texts[row] = b" ".join(words).decode()
+    return pa.array(texts, pa.large_string())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.collapse_runs(table(spark, sf_dir, "documents"), "doc_id", texts=_with_planted_runs)
+    # Exact fractions are compared crosswise; runs stand by start, then period, so the first of equals stays.
+    best = F.expr("""
+        aggregate(runs, cast(null AS struct<start:bigint,length:bigint,period:bigint>), (best, run) -> CASE
+            WHEN best IS NULL OR run.length * best.period > best.length * run.period THEN run ELSE best END)
+    """)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return docs.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -73,6 +106,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

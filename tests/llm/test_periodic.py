@@ -1,0 +1,129 @@
+"""Runs of words beside brute force over all periods."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from storelens.llm import periodic, queries
+from storelens.llm.common import Words, table
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(words: list) -> list[tuple[int, int, int]]:
+    found = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            size = j + q - i
+            if j > i and size >= max(6, 4 * q):
+                smaller = any(all(words[k] == words[k + r] for k in range(i, i + size - r)) for r in range(1, q))
+                if not smaller:
+                    found.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def random_codes(rnd: random.Random, most: int = 60) -> list[int]:
+    size, letters, codes = rnd.randint(0, most), rnd.randint(1, 3), []
+    while len(codes) < size:
+        kind = rnd.random()
+        if kind < 0.5:
+            codes += [rnd.randint(0, letters) for _ in range(rnd.randint(1, 6))] * rnd.randint(1, 7)
+        elif kind < 0.75:
+            codes += codes[-rnd.randint(1, 20) :] * rnd.randint(1, 4)
+        else:
+            codes.append(rnd.randint(0, letters))
+    return codes
+
+
+def test_lyndon_lengths_by_definition():
+    rnd = random.Random(5)
+    for _ in range(500):
+        codes = [rnd.randint(0, 2) for _ in range(rnd.randint(0, 14))]
+        ranks = [sorted(set(codes)).index(c) for c in codes]
+        wanted = [
+            max(n for n in range(1, len(ranks) - i + 1) if all(ranks[i : i + n] < ranks[i + k : i + n] for k in range(1, n)))
+            for i in range(len(ranks))
+        ]
+        assert periodic.lyndon_lengths(ranks) == wanted
+
+
+def test_runs_by_brute_force():
+    rnd = random.Random(6)
+    total = 0
+    for _ in range(800):
+        codes = random_codes(rnd)
+        wanted = brute(codes)
+        assert periodic.runs_of(np.array(codes, np.int32)) == wanted
+        total += len(wanted)
+    assert total > 800
+
+
+def test_no_stretch_is_missed_in_a_batch():
+    rnd = random.Random(7)
+    for _ in range(100):
+        texts = [random_codes(rnd, 200) for _ in range(rnd.randint(1, 6))]
+        words = Words(pa.array([" ".join("abcd"[c] for c in t) for t in texts], pa.large_string()))
+        found = periodic.batch_runs(words)
+        for k, text in enumerate(texts):
+            assert sorted(found.get(k, []), key=lambda r: (r[0], r[2])) == brute(text)
+
+
+def test_a_long_text_of_few_words():
+    for words, runs in ((["a"] * 300_000, [(0, 300_000, 1)]), (["x", "a", "b"] * 60_000, [(0, 180_000, 3)])):
+        got = periodic.batch_runs(Words(pa.array([" ".join(words)], pa.large_string())))
+        assert got == {0: runs}
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "x"), (1, "", "y"), (None, " \t\n", "z"), (2, "a a a a a a", "r"), (2, "a a a a a a", "r"), (3, "é\u00a0b " * 6, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, runs string")
+    got = sorted(map(str, periodic.collapse_runs(docs, "doc_id").collect()))
+    run = lambda n: f"[Row(start=0, length={n}, period=1)]"
+    assert got == sorted([
+        "Row(doc_id=1, runs=[], collapsed='')", "Row(doc_id=1, runs=[], collapsed='')", "Row(doc_id=None, runs=[], collapsed='')",
+        f"Row(doc_id=2, runs={run(6)}, collapsed='a')", f"Row(doc_id=2, runs={run(6)}, collapsed='a')",
+        f"Row(doc_id=3, runs={run(6)}, collapsed='é\\xa0b')",
+    ])
+    assert periodic.collapse_runs(docs.limit(0), "doc_id").collect() == []
+
+
+def expected(doc_id: int, text: str | None) -> tuple:
+    words = (text or "").encode().split()
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 == 0 and n:
+        a, old = g % n, list(words)
+        p = 1 + (n - a) // (3 + g % 8)
+        for i in range(a, n):
+            words[i] = old[a + (i - a) % p]
+    runs = brute(words)
+    dropped = {i for s, size, q in runs for i in range(s + q, s + size)}
+    best = None
+    for r in runs:
+        if best is None or r[1] * best[2] > best[1] * r[2]:
+            best = r
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    lines = "".join(f"{s},{size},{q}\n" for s, size, q in runs).encode()
+    return (doc_id, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha(lines), sha(b" ".join(w for i, w in enumerate(words) if i not in dropped)))
+
+
+@pytest.mark.parametrize("most_words", [700])
+def test_query_by_brute_force(spark, most_words):
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    got = {r.doc_id: tuple(r) for r in queries.op13_periodic_runs(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    short = [d for d, t in docs.items() if len((t or "").split()) <= most_words]
+    assert len(short) > 150 and any(got[d][1] for d in short)
+    for d in short:
+        assert got[d] == expected(d, docs[d])
