@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import chat, decontamination, language, licenses, packing, periodic, quality, similarity, tokens, topk, toxicity
+from storelens.llm import chat, decontamination, divergence, language, licenses, packing, periodic, quality, similarity, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table, texts_of
 
 
@@ -65,6 +65,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(conversations.unionByName(more))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def _with_planted_runs(batch: pa.RecordBatch) -> pa.Array:
     """The texts, a tenth of them with words that repeat from some place on, as their doc_id says."""
     texts = texts_of(batch).to_pylist()
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -124,4 +129,46 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+        v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        t AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n,
+                1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (total + 5 * v) AS p
+            FROM t JOIN v USING (lang) JOIN kept k ON k.lang = t.lang
+            LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+        ),
+        q AS (
+            SELECT k.lang, k.term, 1 + 1000000000::HUGEINT * (coalesce(sum(n), 0) + 5) // (any_value(total) + 5 * any_value(v)) AS q
+            FROM kept k JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) USING (lang)
+            LEFT JOIN c USING (lang, term) GROUP BY k.lang, k.term
+        ),
+        rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.f), 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+            ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            GROUP BY a.lang, a.source, b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (
+            SELECT lang, source, part, item, value::BIGINT AS value,
+                row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
