@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import chat, decontamination, divergence, language, licenses, packing, periodic, quality, similarity, tokens, topk, toxicity
+from storelens.llm import chat, decontamination, divergence, language, licenses, packing, periodic, quality, repeats, similarity, tokens, topk, toxicity
 from storelens.llm.common import new_folder, remainder_of_id, table, texts_of
 
 
@@ -65,6 +65,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(conversations.unionByName(more))
 
 
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `remove_repeats`, but a row carries its text's digest rather than its text to the join."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", repeats.digest(F.col("text")).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
+    changed = repeats.changed_texts(docs).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("left"))
+    return rows.join(changed, "digest", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("left", "own").alias("kept_sha256"),
+    )
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -110,6 +122,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_repeated_bytes": op11_repeated_bytes,
     "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
