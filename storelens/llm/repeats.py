@@ -11,7 +11,8 @@ first, each as one key, and a class keeps one member. Then single suffixes of wh
 unclassed, and of the classes' members, are sorted on their 400 bytes. Each of the three
 sorts goes by buckets, one at a time in a task; a bucket has a bounded share of the keys.
 The order within a bucket is that of 64-bit keys of the bytes, not the bytes' own: only
-equality is asked for, and a row has 12 bytes rather than 400.
+equality is asked for, and a key has 8 bytes rather than 400 (4 in the sample's sort, which
+only chooses what is sorted later).
 
 Tasks send their keys in flights: the keys of some megabytes of texts, one row per bucket,
 each key once per flight. So a string with a third of all places is a key per flight, and
@@ -42,9 +43,10 @@ STRETCH = 32
 # Buckets per shuffle partition; a task sorts one after the other.
 BUCKETS_PER_PARTITION = 8
 
-_MANY, _PARTNER, _PLACE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
+# Of a key's member: several places of its flight have the key; it is known to repeat and asks nothing.
+_MANY, _PARTNER = 1, 2
 
-CELL = "bucket int, flight binary, keys binary, refs binary, known binary, texts binary"
+CELL = "bucket int, flight binary, keys binary, places binary, flags binary, known binary, texts binary"
 ANSWER = "flight binary, marks binary, reps binary, known binary, texts binary"
 MARKS = "digest binary, marks binary, reps binary"
 
@@ -138,8 +140,8 @@ class Flight:
     """Keys of successive pieces until they are sent; a place of a flight is one of its pieces' own
     places, counted on from piece to piece."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
+    def __init__(self, buckets: int, key_type: type) -> None:
+        self.buckets, self.key_type = buckets, key_type
         self.clear()
 
     def clear(self) -> None:
@@ -147,7 +149,7 @@ class Flight:
         self.digests: list[bytes] = []
         self.starts: list[int] = []
         self.bases: list[int] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.known: list[np.ndarray] = []
 
     def add_pieces(self, own: Pieces, digests: list[bytes]) -> np.ndarray:
@@ -159,12 +161,13 @@ class Flight:
         self.size += int(own.own.sum())
         return begin
 
-    def add_keys(self, keys: np.ndarray, buckets: np.ndarray, refs: np.ndarray) -> None:
-        self.parts.append((keys, buckets, refs.astype(np.uint32)))
+    def add_keys(self, keys: np.ndarray, buckets: np.ndarray, places: np.ndarray, asks: np.ndarray | None = None) -> None:
+        flags = np.zeros(len(keys), np.uint8) if asks is None else np.where(asks, 0, _PARTNER).astype(np.uint8)
+        self.parts.append((keys, buckets, places, flags))
         self.keys_held += len(keys)
 
     def full(self) -> bool:
-        return self.keys_held >= FLIGHT or self.size >= 1 << 29
+        return self.keys_held >= FLIGHT
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         """The cells of all buckets and the flight's directory; then the flight is empty.
@@ -174,37 +177,57 @@ class Flight:
         """
         if not self.digests:
             return
-        key, bucket, ref = (np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.uint32), (2, np.uint32)))
+        kinds = (self.key_type, np.uint32, np.int64, np.uint8)
+        key, bucket, place, flags = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, t)]) for k, t in enumerate(kinds))
         order = np.lexsort((key, bucket))
-        key, bucket, ref = key[order], bucket[order], ref[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(key)))
-        member = ref[np.repeat(count > 1, count)]
-        member = member[(member & _PARTNER) == 0].astype(np.int64)
-        self.known.append(np.stack([member, member + 1], axis=1))
-        key, bucket, ref = key[first], bucket[first], ref[first] | np.where(count > 1, _MANY, np.uint32(0))
+        member = order[np.repeat(count > 1, count)]
+        member = place[member[flags[member] == 0]]
+        starts = np.array(self.starts, np.int64)
+        known = merged(np.concatenate([*self.known, np.stack([member, member + 1], axis=1)]), starts)
+        chosen = order[first]
+        flags[chosen[count > 1]] |= _MANY
+        chosen = chosen[np.lexsort((place[chosen], bucket[chosen]))]
+        key, bucket, place, flags = key[chosen], bucket[chosen], place[chosen], flags[chosen]
         flight = self.digests[0] + self.bases[0].to_bytes(8, "little")
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        edges = [*edge.tolist(), len(key)]
-        cells = [(int(bucket[a]), flight, key[a:b].tobytes(), ref[a:b].tobytes(), None, None) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-        directory = b"".join(self.digests) + np.array([self.starts, self.bases], np.int64).tobytes()
-        cells.append((int.from_bytes(flight[:4], "little") % self.buckets, flight, None, None, np.concatenate(self.known).tobytes(), directory))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
+        edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(key)] if len(key) else []
+        cells = [
+            (int(bucket[a]), flight, key[a:b].tobytes(), written_places(place[a:b]), np.packbits(np.stack([flags[a:b] & _MANY, flags[a:b] >> 1])).tobytes(), None, None)
+            for a, b in zip(edges, edges[1:], strict=False)
+        ]
+        directory = b"".join(self.digests) + np.stack([starts, np.array(self.bases, np.int64)]).tobytes()
+        cells.append((int.from_bytes(flight[:4], "little") % self.buckets, flight, None, None, None, known.tobytes(), directory))
+        kinds = [pa.int32(), *[pa.binary()] * 6]
         names = [c.split()[0] for c in CELL.split(", ")]
         for at in range(0, len(cells), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells[at : at + 256], strict=True), kinds, strict=True)], names=names)
         self.clear()
 
 
+def written_places(places: np.ndarray) -> bytes:
+    """Rising places as 16-bit steps; the highest value is a step that ends at no place."""
+    steps = np.diff(places, prepend=0)
+    far = steps // 65535
+    out = np.full(len(places) + int(far.sum()), 65535, np.uint16)
+    out[np.cumsum(far + 1) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def read_places(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+
+
 def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The rows' binary values in one array, and how many each row has."""
     values = [v or b"" for v in column.to_pylist()]
     return np.frombuffer(b"".join(values), kind), np.array([len(v) // np.dtype(kind).itemsize for v in values], np.int64)
 
 
-def answered(cells: DataFrame, classes: bool) -> DataFrame:
+def answered(cells: DataFrame, key_type: type = np.uint64, classes: bool = False) -> DataFrame:
     """Per flight and bucket, the members whose key stands elsewhere too.
 
     `reps` holds one member of each key that several have, if `classes`; the first by flight,
@@ -214,25 +237,26 @@ def answered(cells: DataFrame, classes: bool) -> DataFrame:
     def answer(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("flight")
         flights = bucket.column("flight").to_pylist()
-        key, n = _joined(bucket.column("keys"), np.uint64)
-        ref, _ = _joined(bucket.column("refs"), np.uint32)
+        key, n = _joined(bucket.column("keys"), key_type)
+        place = np.concatenate([read_places(p or b"") for p in bucket.column("places").to_pylist()])
+        bits = [np.unpackbits(np.frombuffer(f or b"", np.uint8), count=2 * k).reshape(2, k) for f, k in zip(bucket.column("flags").to_pylist(), n.tolist(), strict=True)]
+        many, partner = np.concatenate(bits, axis=1).astype(bool)
         row = np.repeat(np.arange(len(n)), n)
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order[1:]] != key[order[:-1]]
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(key)))
-        many = (ref & _MANY) != 0
         repeated = np.zeros(len(key), bool)
         repeated[order] = np.repeat(count > 1, count)
-        marked = np.flatnonzero(repeated & ~many & ((ref & _PARTNER) == 0))
+        marked = np.flatnonzero(repeated & ~many & ~partner)
         chosen = order[first]
         chosen = np.sort(chosen[repeated[chosen] | many[chosen]]) if classes else chosen[:0]
         known, texts = bucket.column("known").to_pylist(), bucket.column("texts").to_pylist()
         mark_at, rep_at = (np.searchsorted(row[x], np.arange(len(n) + 1)) for x in (marked, chosen))
-        marks, reps = ref[marked] & _PLACE, ref[chosen] & _PLACE
+        marks, reps = place[marked], place[chosen]
         out = [
-            (flights[k], marks[mark_at[k] : mark_at[k + 1]].tobytes(), reps[rep_at[k] : rep_at[k + 1]].tobytes(), known[k], texts[k])
+            (flights[k], written_places(marks[mark_at[k] : mark_at[k + 1]]), written_places(reps[rep_at[k] : rep_at[k + 1]]), known[k], texts[k])
             for k in range(len(n)) if mark_at[k + 1] > mark_at[k] or rep_at[k + 1] > rep_at[k] or texts[k] is not None
         ]
         return pa.table([pa.array(c, pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 5, names=[c.split()[0] for c in ANSWER.split(", ")])
@@ -242,17 +266,16 @@ def answered(cells: DataFrame, classes: bool) -> DataFrame:
         known = next(t for t in flight.column("known").to_pylist() if t is not None)
         pieces_ = len(texts) // 32
         starts, bases = np.frombuffer(texts[16 * pieces_ :], np.int64).reshape(2, pieces_)
-        mark, _ = _joined(flight.column("marks"), np.uint32)
-        rep, _ = _joined(flight.column("reps"), np.uint32)
-        spans = np.concatenate([np.frombuffer(known, np.int64).reshape(-1, 2), np.stack([mark, mark.astype(np.int64) + 1], axis=1).astype(np.int64)])
-        of, spans = _by_piece(spans, starts)
-        of_rep, reps = _by_piece(np.stack([rep, rep], axis=1).astype(np.int64), starts)
+        mark, rep = (np.concatenate([read_places(p or b"") for p in flight.column(c).to_pylist()]) for c in ("marks", "reps"))
+        spans = merged(np.concatenate([np.frombuffer(known, np.int64).reshape(-1, 2), np.stack([mark, mark + 1], axis=1)]), starts)
+        of, rep = np.searchsorted(starts, spans[:, 0], side="right") - 1, np.sort(rep)
+        of_rep = np.searchsorted(starts, rep, side="right") - 1
         out = []
         for k in np.union1d(of, of_rep).tolist():
             shift = bases[k] - starts[k]
             a, b = np.searchsorted(of, [k, k + 1])
             c, d = np.searchsorted(of_rep, [k, k + 1])
-            out.append((texts[16 * k : 16 * k + 16], merged(spans[a:b] + shift).tobytes(), (reps[c:d, 0] + shift).tobytes()))
+            out.append((texts[16 * k : 16 * k + 16], (spans[a:b] + shift).tobytes(), (rep[c:d] + shift).tobytes()))
         return pa.table([pa.array(c, pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 3, names=["digest", "marks", "reps"])
 
     return (
@@ -262,18 +285,17 @@ def answered(cells: DataFrame, classes: bool) -> DataFrame:
     )
 
 
-def _by_piece(spans: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    return np.searchsorted(starts, spans[:, 0], side="right") - 1, spans
-
-
-def merged(spans: np.ndarray) -> np.ndarray:
-    """Touching and overlapping spans (start, end) as one, in order."""
+def merged(spans: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Touching and overlapping spans (start, end) as one, in order; none passes a piece's start."""
     if not len(spans):
         return spans.reshape(0, 2)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     end = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > end[:-1]]))
+    new = np.concatenate([[True], spans[1:, 0] > end[:-1]])
+    if starts is not None:
+        piece = np.searchsorted(starts, spans[:, 0], side="right")
+        new[1:] |= piece[1:] != piece[:-1]
+    first = np.flatnonzero(new)
     return np.stack([spans[first, 0], end[np.concatenate([first[1:] - 1, [len(spans) - 1]])]], axis=1)
 
 
@@ -356,7 +378,7 @@ def _cells(texts: DataFrame, step: str, buckets: int) -> DataFrame:
             chosen = _IN_COVER[(own.base[piece] + place - own.start[piece]) % CYCLE]
             place, piece = place[chosen], piece[chosen]
             key = seed_keys(own.data, place)
-            flight.add_keys(key, _bucket(key, buckets), begin[piece] + place - own.start[piece])
+            flight.add_keys(key.astype(np.uint32), _bucket(key, buckets), begin[piece] + place - own.start[piece])
             return
         s = Stretches(own, live)
         ref = begin[s.piece] + s.place - own.start[s.piece]
@@ -370,11 +392,10 @@ def _cells(texts: DataFrame, step: str, buckets: int) -> DataFrame:
         partner = settled & _among(starts, found["reps"])
         asks = np.repeat(~settled, s.size)
         sent = asks | np.repeat(partner, s.size)
-        flags = np.where(asks[sent], np.uint32(0), _PARTNER)
-        flight.add_keys(s.a[sent], _bucket(s.b[sent], buckets), ref[sent].astype(np.uint32) | flags)
+        flight.add_keys(s.a[sent], _bucket(s.b[sent], buckets), ref[sent], asks[sent])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flight = Flight(buckets)
+        flight = Flight(buckets, np.uint32 if step == "sample" else np.uint64)
         for batch in slices(batches):
             digests = batch.column("digest").to_pylist()
             found = {c: batch.column(c).to_pylist() for c in ("live", "settled", "reps") if c in batch.schema.names}
@@ -415,13 +436,15 @@ def changed_texts(docs: DataFrame) -> DataFrame:
     again from the shuffle's inputs.
     """
     keyed = docs.select(digest(F.col("text")).alias("digest"), "text").where(F.octet_length("text") >= LENGTH)
+    # Joins would add this condition below some uses only, and unequal plans share no shuffle.
+    keyed = keyed.where(F.col("digest").isNotNull())
     texts = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    live = answered(_cells(texts, "sample", buckets), classes=False).select("digest", F.col("marks").alias("live"))
+    live = answered(_cells(texts, "sample", buckets), np.uint32).select("digest", F.col("marks").alias("live"))
     ahead = texts.join(live, "digest")
     stretches = answered(_cells(ahead, "stretches", buckets), classes=True).select("digest", F.col("marks").alias("settled"), "reps")
-    starts = answered(_cells(ahead.join(stretches, "digest", "left"), "strings", buckets), classes=False).select("digest", "marks")
+    starts = answered(_cells(ahead.join(stretches, "digest", "left"), "strings", buckets)).select("digest", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -89,12 +89,12 @@ def test_small_pieces_and_flights(spark, monkeypatch):
     texts = [t for t in random_texts(rnd, 40) if len(t.encode()) >= 400]
     texts = list(dict.fromkeys(texts))
     cells = lambda step, more: local(lambda df: repeats._cells(df, step, 5), {"digest": [hashlib.md5(t.encode()).digest() for t in texts], "text": texts} | more)
-    live = local_answers(cells("sample", {}), False)
+    live = local_answers(cells("sample", {}), np.uint32)
     names = [hashlib.md5(t.encode()).digest() for t in texts]
     ahead = {"live": [live.get(n, ([], []))[0] for n in names]}
-    classed = local_answers(cells("stretches", ahead), True)
+    classed = local_answers(cells("stretches", ahead), classes=True)
     more = ahead | {"settled": [classed.get(n, ([], []))[0] for n in names], "reps": [classed.get(n, ([], []))[1] for n in names]}
-    marks = local_answers(cells("strings", more), False)
+    marks = local_answers(cells("strings", more))
     got = [
         repeats.without(t.encode(), repeats.merged(np.frombuffer(b"".join(marks[n][0]), np.int64).reshape(-1, 2))) if n in marks else (0, 0, t.encode())
         for t, n in zip(texts, names, strict=True)
@@ -126,9 +126,9 @@ def local(plan, columns: dict) -> list[dict]:
     return [row for part in (batch.slice(0, half), batch.slice(half)) for out in run(iter([part])) for row in out.to_pylist()]
 
 
-def local_answers(rows: list[dict], classes: bool) -> dict[bytes, tuple[list, list]]:
+def local_answers(rows: list[dict], *args, **kwargs) -> dict[bytes, tuple[list, list]]:
     frame = _Local()
-    repeats.answered(frame, classes)
+    repeats.answered(frame, *args, **kwargs)
     answer, deliver = (args[0] for name, args in frame.calls if name == "applyInArrow")
     schema = lambda text: pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in text.split(", ")])
     grouped = lambda rows, key: [[r for r in rows if r[key] == k] for k in dict.fromkeys(r[key] for r in rows)]
@@ -142,6 +142,11 @@ def local_answers(rows: list[dict], classes: bool) -> dict[bytes, tuple[list, li
     return out
 
 
+def test_places_far_apart():
+    for places in ([], [0], [65534, 65535, 65536, 131070, 10**6], [7, 7 + 65535 * 3]):
+        assert repeats.read_places(repeats.written_places(np.array(places, np.int64))).tolist() == places
+
+
 def test_no_rows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA), "doc_id").collect() == []
 
