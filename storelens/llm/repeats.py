@@ -40,8 +40,9 @@ SEED = LENGTH - CYCLE + 1
 PIECE = 1_500_000
 FLIGHT = 1_500_000
 STRETCH = 32
-# Buckets per shuffle partition; a task sorts one after the other.
-BUCKETS_PER_PARTITION = 8
+# Buckets per shuffle partition; a task sorts one after the other. A flight is a row per
+# bucket, so more of them would make rows, not keys, the load.
+BUCKETS_PER_PARTITION = 2
 
 # Of a key's member: several places of its flight have the key; it is known to repeat and asks nothing.
 _MANY, _PARTNER = 1, 2
