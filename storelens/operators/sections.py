@@ -50,31 +50,20 @@ def page_fragments(pages: DataFrame) -> DataFrame:
     )
 
 
-def section_fragments(
-    pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK, longest: int | None = None
-) -> DataFrame:
+def section_fragments(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Fragments with their section: the own heading, or the last one before it.
 
-    Headings carry over page ends within a document. A document is ordered in blocks
-    of pages, so even one that holds most of the corpus is spread over many tasks;
-    what a block hands to later ones is its last heading only. Whether any document
-    exceeds a block is found out first, from the page numbers alone, unless `longest`
-    tells the highest page number: if none does, the text is read and moved once.
+    Headings carry over page ends within a document, as a scan in two steps: each block of
+    pages finds its own last headings, then a row per block carries the last heading of the
+    blocks before. One plan holds for documents of any length; even one that is most of the
+    corpus is spread over many tasks. Both steps read the same shuffle, so the text is read
+    and moved once, and nothing runs while the plan is made.
     """
     block = F.floor((F.col("page_no") - 1) / pages_per_block).alias("block")
-    fragments = page_fragments(pages).select("*", block)
+    fragments = page_fragments(pages).select("*", block).repartition("doc_stem", "block")
     so_far = W.partitionBy("doc_stem", "block").orderBy("page_no", "pos")
-    own = F.last("heading", ignorenulls=True).over(so_far)
-    placed = fragments.withColumn("_section", own)
-
-    if longest is None:
-        longest = pages.agg(F.max("page_no")).first()[0] or 0
-    if longest > pages_per_block:
-        carried = _carried_headings(pages, fragments, pages_per_block)
-        placed = placed.join(carried, ["doc_stem", "block"], "left")
-    else:
-        placed = placed.withColumn("_carried", F.lit(None).cast("string"))
-    return placed.select(
+    placed = fragments.withColumn("_section", F.last("heading", ignorenulls=True).over(so_far))
+    return placed.join(_carried_headings(fragments), ["doc_stem", "block"], "left").select(
         "doc_stem",
         "page_no",
         "pos",
@@ -84,32 +73,18 @@ def section_fragments(
     )
 
 
-def _carried_headings(pages: DataFrame, fragments: DataFrame, pages_per_block: int) -> DataFrame:
-    """The heading each block of a long document inherits from the blocks before it.
-
-    One small row per block goes through the window, which only long documents have
-    more than one of.
-    """
-    blocks = pages.groupBy("doc_stem").agg(
-        F.floor((F.max("page_no") - 1) / pages_per_block).alias("final_block")
-    )
-    last_headings = (
-        fragments.where(F.col("heading").isNotNull())
-        .groupBy("doc_stem", "block")
-        .agg(F.max(F.struct("page_no", "pos", "heading")).alias("last"))
-        .join(blocks.where(F.col("final_block") > 0), "doc_stem")
-    )
-    # A heading holds from the next block up to the one that brings another heading.
-    following = F.lead("block").over(W.partitionBy("doc_stem").orderBy("block"))
-    spans = last_headings.select(
-        "doc_stem",
-        F.col("last.heading").alias("_carried"),
-        (F.col("block") + 1).alias("first"),
-        F.coalesce(following, F.col("final_block")).alias("until"),
-    )
-    return spans.where(F.col("first") <= F.col("until")).select(
-        "doc_stem", "_carried", F.explode(F.sequence("first", "until")).alias("block")
-    )
+def _carried_headings(fragments: DataFrame) -> DataFrame:
+    """The heading each block of a document inherits from the blocks before it, one small row per block."""
+    heading = F.struct("page_no", "pos", "heading")
+    blocks = fragments.groupBy("doc_stem", "block").agg(
+        F.max(F.when(F.col("heading").isNotNull(), heading)).alias("last"),
+        # Always true, but it asks for the text: columns of the shuffle are then those that
+        # the fragments themselves need, and one shuffle serves both.
+        F.max(F.length("fragment")).alias("longest"),
+    ).where(F.col("longest") > 0)
+    before = W.partitionBy("doc_stem").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = F.last("last.heading", ignorenulls=True).over(before).alias("_carried")
+    return blocks.select("doc_stem", "block", carried).where(F.col("_carried").isNotNull())
 
 
 def section_bodies(fragments: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from storelens.lookups import CHUNK_SEPARATORS, HEADING, MIN_FRAGMENT_CHARS
 from storelens.operators import sections
 from storelens.sources import documents
 from storelens.sources.warehouse import policy_pages
-from tests.conftest import rows
+from tests.conftest import final_plan, rows
 
 LONG = "El cliente puede solicitar el cambio dentro del plazo indicado por la tienda en línea. "
 PAGES = [
@@ -71,12 +71,24 @@ def test_carry_over_many_blocks_of_random_documents(spark):
         assert sorted(got) == sorted(want)
 
 
-def test_short_documents_read_the_text_once(spark):
-    pages = spark.createDataFrame(PAGES, "doc_stem string, page_no int, text string")
-    plan = sections.section_fragments(pages)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("LogicalRDD") == 1
-    told = sections.section_fragments(pages, pages_per_block=2, longest=4)
-    assert "Join LeftOuter" in told._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("n_pages", [3, 2000])
+def test_one_plan_reads_the_text_once(spark, tmp_path, n_pages):
+    """The same plan for a short and a long document, made without a job: one scan, one shuffle of the text."""
+    pages = [("d", n, ("5. Plazos\n" if n == 2 else "") + LONG) for n in range(1, n_pages + 1)]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(pages, "doc_stem string, page_no int, text string").write.parquet(path)
+    stored = spark.read.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    fragments = sections.section_fragments(stored)
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("running", "running")
+    got = {r["page_no"]: r["section"] for r in fragments.collect()}
+    assert got == {n: "Introducción" if n < 2 else "5. Plazos" for n in range(1, n_pages + 1)}
+    final = final_plan(fragments).split("== Initial Plan ==")[0].split("== Physical Plan ==")[1]
+    assert final.count("FileScan") == 1
+    # At run time the join goes where no block has one before it.
+    assert final.count("ReusedExchange") == (n_pages > sections.PAGES_PER_BLOCK)
 
 
 def test_fragment_counts_on_driver_tables(spark):
@@ -150,7 +162,9 @@ def test_chunks_of_the_whole_corpus(spark):
     for r in pages.collect():
         own = sorted(chunks.get((r["doc_stem"], r["page_no"]), []))
         assert all(len(text) <= 1000 + len(section) + 1 for _, _, section, text in own)
-        assert all(len(text) >= MIN_FRAGMENT_CHARS for _, piece, _, text in own if piece == 0)
+        # Only a body that was split may begin with a shorter piece, such as its heading alone.
+        split = {pos for pos, piece, _, _ in own if piece}
+        assert all(len(text) >= MIN_FRAGMENT_CHARS for pos, piece, _, text in own if piece == 0 and pos not in split)
         place, nearest = -1, None
         for line in map(str.strip, r["text"].split("\n")):
             if heading.match(line):

@@ -347,6 +347,64 @@ carried AS (
 )
 """
 
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+# Bodies over the chunk size are cut at the coarsest mark they hold, parts that are still too
+# long at a finer one; neighbouring parts are then packed into windows, which overlap.
+_CHUNKS = rf"""
+bodies AS (
+    SELECT doc_id, page_no, pos, section, CASE WHEN heading IS NULL THEN section || chr(10) || fragment ELSE fragment END AS body
+    FROM carried
+),
+marks AS (SELECT [chr(10) || chr(10), chr(10), '. ', ' ', ''] AS marks),
+tree AS (
+    SELECT doc_id, page_no, pos, '' AS path, body AS part, 1 AS finest FROM bodies WHERE length(body) > 1000
+    UNION ALL
+    SELECT doc_id, page_no, pos, path || lpad(unnest(range(len(parts)))::VARCHAR, 7, '0') || '/', unnest(parts), (mark + 1)::INTEGER
+    FROM (
+        SELECT *, list_filter(list_transform(string_split(part, marks[mark]), lambda p, i: CASE WHEN i = 1 THEN p ELSE marks[mark] || p END), lambda p: p <> '') AS parts
+        FROM (
+            SELECT *, list_filter(range(finest, 6), lambda j: marks[j] = '' OR contains(part, marks[j]))[1] AS mark
+            FROM tree, marks WHERE finest <= 5 AND (path = '' OR length(part) >= 1000)
+        )
+    )
+),
+leaves AS (
+    SELECT *, sum(long::INTEGER) OVER (PARTITION BY doc_id, page_no, pos, parent ORDER BY path) AS run
+    FROM (SELECT *, left(path, -8) AS parent, length(part) >= 1000 AND finest <= 5 AS long FROM tree WHERE path <> '')
+),
+packs AS (
+    SELECT row_number() OVER () AS pack, *, [0] || list_transform(range(1, len(sizes) + 1), lambda k: list_sum(sizes[1:k])::BIGINT) AS upto
+    FROM (
+        SELECT doc_id, page_no, pos, parent, run, min(path) AS first_path, list(part ORDER BY path) AS parts, list(length(part) ORDER BY path) AS sizes
+        FROM leaves WHERE NOT long GROUP BY 1, 2, 3, 4, 5
+    )
+),
+windows AS (
+    SELECT pack, 0::BIGINT AS low, 0::BIGINT AS next, NULL::BIGINT AS from_, NULL::BIGINT AS to_ FROM packs
+    UNION ALL
+    SELECT pack, CASE WHEN over THEN moved ELSE low END, next + 1, CASE WHEN over THEN low END, CASE WHEN over THEN next END
+    FROM (
+        SELECT pack, low, next, upto[next + 2] - upto[low + 1] > 1000 AND next > low AS over,
+            list_filter(range(low, next + 1), lambda l: l = next OR (upto[next + 1] - upto[l + 1] <= 150 AND upto[next + 2] - upto[l + 1] <= 1000))[1] AS moved
+        FROM windows JOIN packs USING (pack) WHERE next < len(parts)
+    )
+),
+pieces AS (
+    SELECT doc_id, page_no, pos, first_path, until, trim(array_to_string(parts[since + 1:until], ''), {_BLANKS}) AS piece
+    FROM packs JOIN (
+        SELECT pack, from_ AS since, to_ AS until FROM windows WHERE from_ IS NOT NULL
+        UNION ALL SELECT pack, low, next FROM windows JOIN packs USING (pack) WHERE next = len(parts)
+    ) USING (pack)
+),
+chunks AS (
+    SELECT doc_id, page_no, pos, row_number() OVER (PARTITION BY doc_id, page_no, pos ORDER BY first_path, until) - 1 AS n, section,
+        CASE WHEN starts_with(piece, section) THEN piece ELSE section || chr(10) || piece END AS text
+    FROM pieces JOIN bodies USING (doc_id, page_no, pos) WHERE piece <> ''
+    UNION ALL SELECT doc_id, page_no, pos, 0, section, body FROM bodies WHERE length(body) <= 1000
+)
+"""
+
 _RANKED = """
 stats AS (
     SELECT i, avg(x::DOUBLE) AS mean, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high
@@ -499,10 +557,10 @@ ORACLES: dict[str, str] = {
         SELECT week_end, country, cancelled, week_cancelled::BIGINT AS week_cancelled,
             round(cancelled::DOUBLE / week_cancelled, 6) AS share, cancelled::DOUBLE / week_cancelled >= 0.5 AS concentrated
         FROM (SELECT *, sum(cancelled) OVER (PARTITION BY week_end) AS week_cancelled,
-                  row_number() OVER (PARTITION BY week_end ORDER BY cancelled DESC, country) AS place
+                  row_number() OVER (PARTITION BY week_end ORDER BY (country IS NULL), cancelled DESC, country) AS place
               FROM (SELECT {_week('order_date')} AS week_end, country, count(*) AS cancelled
                     FROM o WHERE order_status = 'cancelled' GROUP BY 1, 2))
-        WHERE place = 1"""),
+        WHERE place = 1 AND country IS NOT NULL"""),
     "cancellations_rollup": _over_orders(f"""
         SELECT week_end, country, grouping(country) = 1 AS is_total, count(*) AS cancelled, {_money('total', 'cancelled_value')}
         FROM (SELECT {_week('order_date')} AS week_end, country, total FROM o WHERE order_status = 'cancelled')
@@ -665,6 +723,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id::VARCHAR AS doc_stem, page_no, section,
             CASE WHEN heading IS NULL THEN section || chr(10) || fragment ELSE fragment END AS body
         FROM carried""",
+    "policy_chunks": f"""WITH RECURSIVE {_SECTIONS}, {_CHUNKS}
+        SELECT doc_id || '#' || page_no || '#' || pos || '#' || n AS passage_id, text, doc_id::VARCHAR AS title, section, page_no AS page_label
+        FROM chunks""",
     "doc_titles": f"""
         SELECT doc_id, CASE WHEN n % 3 = 0 THEN [{', '.join("'" + DOCUMENT_TITLES[k].replace("'", "''") + "'" for k in sorted(DOCUMENT_TITLES))}][
             (n % {len(DOCUMENT_TITLES)} + 1)::INTEGER] ELSE source END AS title
