@@ -59,11 +59,13 @@ def section_fragments(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK)
     corpus is spread over many tasks. Both steps read the same shuffle, so the text is read
     and moved once, and nothing runs while the plan is made.
     """
-    block = F.floor((F.col("page_no") - 1) / pages_per_block).alias("block")
-    fragments = page_fragments(pages).select("*", block).repartition("doc_stem", "block")
-    so_far = W.partitionBy("doc_stem", "block").orderBy("page_no", "pos")
+    # Keys without NULL, or a join would add conditions below one of the two uses of the shuffle.
+    document = F.coalesce(F.concat(F.lit("="), "doc_stem"), F.lit("")).alias("_document")
+    block = F.coalesce(F.floor((F.col("page_no") - 1) / pages_per_block), F.lit(-1)).alias("_block")
+    fragments = page_fragments(pages).select("*", document, block).repartition("_document", "_block")
+    so_far = W.partitionBy("_document", "_block").orderBy("page_no", "pos")
     placed = fragments.withColumn("_section", F.last("heading", ignorenulls=True).over(so_far))
-    return placed.join(_carried_headings(fragments), ["doc_stem", "block"], "left").select(
+    return placed.join(_carried_headings(fragments), ["_document", "_block"], "left").select(
         "doc_stem",
         "page_no",
         "pos",
@@ -76,15 +78,15 @@ def section_fragments(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK)
 def _carried_headings(fragments: DataFrame) -> DataFrame:
     """The heading each block of a document inherits from the blocks before it, one small row per block."""
     heading = F.struct("page_no", "pos", "heading")
-    blocks = fragments.groupBy("doc_stem", "block").agg(
+    blocks = fragments.groupBy("_document", "_block").agg(
         F.max(F.when(F.col("heading").isNotNull(), heading)).alias("last"),
         # Always true, but it asks for the text: columns of the shuffle are then those that
         # the fragments themselves need, and one shuffle serves both.
         F.max(F.length("fragment")).alias("longest"),
     ).where(F.col("longest") > 0)
-    before = W.partitionBy("doc_stem").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_document").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = F.last("last.heading", ignorenulls=True).over(before).alias("_carried")
-    return blocks.select("doc_stem", "block", carried).where(F.col("_carried").isNotNull())
+    return blocks.select("_document", "_block", carried).where(F.col("_carried").isNotNull())
 
 
 def section_bodies(fragments: DataFrame) -> DataFrame:
