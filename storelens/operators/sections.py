@@ -62,11 +62,11 @@ def section_fragments(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK)
     # Keys without NULL, or a join would add conditions below one of the two uses of the shuffle.
     document = F.coalesce(F.concat(F.lit("="), "doc_stem"), F.lit("")).alias("_document")
     block = F.coalesce(F.floor((F.col("page_no") - 1) / pages_per_block), F.lit(-1)).alias("_block")
-    fragments = page_fragments(pages).select("*", document, block).repartition("_document", "_block")
+    fragments = page_fragments(pages).select(document, block, "page_no", "pos", "heading", "fragment").repartition("_document", "_block")
     so_far = W.partitionBy("_document", "_block").orderBy("page_no", "pos")
     placed = fragments.withColumn("_section", F.last("heading", ignorenulls=True).over(so_far))
     return placed.join(_carried_headings(fragments), ["_document", "_block"], "left").select(
-        "doc_stem",
+        F.when(F.col("_document") != "", F.substr("_document", F.lit(2))).alias("doc_stem"),
         "page_no",
         "pos",
         F.coalesce("_section", "_carried", F.lit(DEFAULT_SECTION)).alias("section"),
