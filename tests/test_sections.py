@@ -178,7 +178,8 @@ def test_chunks_of_the_whole_corpus(spark):
                 assert found[-1] >= place
                 place = found[0]
                 if nearest and len(nearest) >= MIN_FRAGMENT_CHARS:
-                    assert own[found[0]][2] == nearest
+                    # A line may stand under several headings.
+                    assert nearest in {own[k][2] for k in found}
                 checked += 1
     assert checked > 100
 
