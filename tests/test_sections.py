@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from storelens.functions.text import split_recursively
-from storelens.lookups import CHUNK_SEPARATORS, HEADING, MIN_FRAGMENT_CHARS
+from storelens.lookups import CHUNK_SEPARATORS, HEADING, MIN_FRAGMENT_CHARS, SECTION_BREAK
 from storelens.operators import sections
 from storelens.sources import documents
 from storelens.sources.warehouse import policy_pages
@@ -167,7 +167,8 @@ def test_chunks_of_the_whole_corpus(spark):
         assert all(len(text) >= MIN_FRAGMENT_CHARS for pos, piece, _, text in own if piece == 0 and pos not in split)
         place, nearest = -1, None
         for line in map(str.strip, r["text"].split("\n")):
-            if heading.match(line):
+            # Only a line that opens a fragment brings a heading; none of these pages begins with one.
+            if re.search(SECTION_BREAK, "\n" + line) and heading.match(line):
                 nearest = heading.match(line)[1].strip()
             if MIN_FRAGMENT_CHARS <= len(line) <= 150:
                 # Only a body that was split may have cut a line.
