@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from storelens.functions.columns import blank_to_null, mixed_date, money, number, whole_number
 from storelens.lookups import MISSING_TEXTS
 from storelens.schema import DATE_COLUMNS, ORDER_COLUMNS, ORDERS, REQUIRED_ORDER_COLUMNS
+from storelens.sources.splits import lines_by_split, quoted_records
 
 
 def read_orders(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -20,15 +21,19 @@ def read_orders(spark: SparkSession, path: str, multiline: bool = True) -> DataF
 
     No schema inference pass: every column arrives as text and `clean_orders` types
     it. A declared schema is no help, since CSV binds it by position. A quoted cell may
-    hold line breaks, so a file is one task; without `multiline` files are split, which
-    is for exports that are known to have none.
+    hold line breaks; which lines belong together is found out split by split, so a large
+    file is read by many tasks. Cells with a quote are quoted with their quotes doubled, as
+    exports write them. Without `multiline`, for exports known to have no such cells, lines
+    are records.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    options = {"escape": '"', "multiLine": str(multiline).lower()}
+    plain = spark.read.options(header="true", **options).csv(path)
+    raw = plain
+    if multiline:
+        names = ", ".join("`" + c.replace("`", "``") + "` string" for c in plain.columns)
+        records = quoted_records(lines_by_split(spark, path, "\n")).where(~F.col("is_first"))
+        text = F.regexp_replace("record", "\r$", "")
+        raw = records.select(text.alias("record")).where(F.col("record") != "").select(F.from_csv("record", F.lit(names), options).alias("row")).select("row.*")
     cells = {c: F.col("`" + c.replace("`", "``") + "`") for c in raw.columns}
     return raw.select(*[F.when(~cell.isin(*MISSING_TEXTS), cell).alias(c) for c, cell in cells.items()])
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from storelens.functions.columns import lookup
 from storelens.lookups import DOCUMENT_TITLES
+from storelens.sources.documents import read_pages
+from storelens.sources.orders import read_orders
+from storelens.sources.scratch import scratch_folder
 
 _PAYMENT = {
     "1-URGENT": "credit_card",
@@ -53,7 +56,9 @@ _OF_LINES = _OF_PART | {"quantity", "return_request_date", "return_reason", "ret
 _OF_PLACE = frozenset({"country", "shipping_zone"})
 
 
-def retail_orders(spark: SparkSession, sf_dir: str, columns: Collection[str] | None = None) -> DataFrame:
+def retail_orders(
+    spark: SparkSession, sf_dir: str, columns: Collection[str] | None = None, only: str | DataFrame | None = None
+) -> DataFrame:
     """One row per order; `columns` names those wanted, in any order, and only the tables they need are joined.
 
     The product of an order is its lowest part, the quantity that of all its lines; it may
@@ -64,11 +69,23 @@ def retail_orders(spark: SparkSession, sf_dir: str, columns: Collection[str] | N
     Lines are summed up per order by fixed-width sums before the shuffle, so an order with
     very many lines costs no more than others. Join sides are left to the optimizer, which
     broadcasts a table only when its known size is under the session's threshold.
+
+    `only` leaves one order, by its id, or the few whose ids a table of at most a list's
+    length holds. Ids are turned back into keys, so that both scans see the condition and
+    only these orders' lines are summed.
     """
     wanted = set(columns) if columns is not None else _OF_LINES | _OF_PLACE
-    joined = table(spark, sf_dir, "orders")
+    joined, all_lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if isinstance(only, DataFrame):
+        # A listed order is one of MAX_LISTED at most.
+        keys = F.broadcast(only.select(key_of(F.col("order_id")).alias("key")).distinct())
+        joined = joined.join(keys, F.expr("o_orderkey = key"), "left_semi")
+        all_lines = all_lines.join(keys, F.expr("l_orderkey = key"), "left_semi")
+    elif only is not None:
+        key = order_key(only)
+        joined, all_lines = joined.where(F.col("o_orderkey") == F.lit(key)), all_lines.where(F.col("l_orderkey") == F.lit(key))
     if wanted & _OF_LINES:
-        lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        lines = all_lines.groupBy("l_orderkey").agg(
             F.min("l_partkey").alias("l_partkey"),
             F.sum("l_quantity").alias("l_quantity"),
             F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("came_back"),
@@ -132,6 +149,18 @@ def retail_orders(spark: SparkSession, sf_dir: str, columns: Collection[str] | N
     return orders if columns is None else orders.select(*[c for c in orders.columns if c in wanted])
 
 
+def order_key(text: str) -> int | None:
+    """The key that `order_id` writes so, or None."""
+    digits = text.strip().upper().removeprefix("ORD-")
+    key = int(digits) if digits.isascii() and digits.isdigit() else None
+    known = key is not None and key < 2**63 and text.strip().upper() == f"ORD-{key:09d}"
+    return key if known else None
+
+
+def key_of(text: Column) -> Column:
+    return F.regexp_extract(text, r"^ORD-(\d+)$", 1).try_cast("long")
+
+
 def order_id(key: Column) -> Column:
     """`ORD-` and the key in nine digits, or in as many as it has."""
     digits = key.cast("string")
@@ -310,6 +339,27 @@ def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of a few text files, written in order of doc_id and read back: a page
+    begins with its doc_id."""
+    text = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "\f", " "))
+    folder = scratch_folder(spark)
+    pages = table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    pages.select(text.alias("value")).write.option("lineSep", "\f").text(folder)
+    return read_pages(spark, folder)
+
+
+def stored_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a sheet export, with their quotes and line breaks, written and read back as orders are."""
+    folder = scratch_folder(spark)
+    cells = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("order_id"), "lang",
+        F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('",\n"')).alias("product"),
+    )
+    cells.write.options(header="true", escape='"', quoteAll="true").csv(folder)
+    return read_orders(spark, folder)
+
+
 def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
 

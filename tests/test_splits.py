@@ -1,0 +1,84 @@
+"""Readers that part files: the same rows however many splits a file has."""
+
+from __future__ import annotations
+
+import csv
+import random
+
+import pytest
+
+from storelens.sources import documents
+from storelens.sources.orders import read_orders
+from storelens.sources.splits import lines_by_split, numbered_lines
+from tests.conftest import final_plan, rows
+
+CELLS = ["plain", "", "two\nlines", 'says "yes"', "a,b", '"', "\n", "\r\n", "é\n\n\"x\",\n", "long " * 60, '""', "x\ny\nz"]
+
+
+@pytest.fixture(params=[1, 2, 50])
+def splits(spark, request):
+    """Sets how large a split is for a file of so many bytes."""
+
+    def cut(size: int) -> int:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.set(f"spark.sql.files.{name}", str(-(-size // request.param)))
+        return request.param
+
+    yield cut
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_orders_with_line_breaks(spark, tmp_path, splits, end):
+    """As Python's csv module reads the file, and as one task does."""
+    rnd = random.Random(len(end))
+    path = tmp_path / "orders.csv"
+    with path.open("w", newline="", encoding="utf-8") as file:
+        writer = csv.writer(file, lineterminator=end)
+        writer.writerow(["order id", "note", "product"])
+        writer.writerows([f"A{k}", rnd.choice(CELLS), rnd.choice(CELLS)] for k in range(400))
+    wanted_splits = splits(path.stat().st_size)
+    lines = lines_by_split(spark, str(path), "\n")
+    # A cell may reach over a split, in which no line then begins.
+    found = lines.select("split").distinct().count()
+    assert 0.9 * wanted_splits <= found <= wanted_splits
+    with path.open(newline="", encoding="utf-8") as file:
+        wanted = [tuple(c or None for c in row) for row in csv.reader(file)][1:]
+    got = read_orders(spark, str(path))
+    assert got.columns == ["order id", "note", "product"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: int(r[0][1:])) == wanted
+
+
+def test_several_files_and_a_record_over_many_splits(spark, tmp_path, splits):
+    long = "line\n" * 3000
+    for k in range(3):
+        with (tmp_path / f"{k}.csv").open("w", newline="") as file:
+            csv.writer(file, lineterminator="\n").writerows([["order_id", "product"], [f"A{k}", "x"], [f"B{k}", long], [], [f"C{k}", "y"]])
+    splits(3 * (tmp_path / "0.csv").stat().st_size)
+    got = rows(read_orders(spark, str(tmp_path)), "order_id", "product")
+    assert sorted(got) == sorted(r for k in range(3) for r in [(f"A{k}", "x"), (f"B{k}", long), (f"C{k}", "y")])
+
+
+def test_empty_file_and_header_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,product\n")
+    assert read_orders(spark, str(tmp_path / "a.csv")).collect() == []
+
+
+def test_pages_of_one_file(spark, tmp_path, splits):
+    rnd = random.Random(1)
+    pages = ["", "a\nb", *["".join(rnd.choices("ab \n", k=rnd.randint(0, 90))) for _ in range(500)], "last"]
+    path = tmp_path / "guide.v2.txt"
+    path.write_text("\f".join(pages))
+    (tmp_path / "other.txt").write_text("one\ftwo\f")
+    splits(path.stat().st_size)
+    got = sorted(rows(documents.read_pages(spark, str(tmp_path)), "doc_stem", "page_no", "text"))
+    assert got == sorted([("guide.v2", k, p) for k, p in enumerate(pages, 1)] + [("other", 1, "one"), ("other", 2, "two")])
+
+
+def test_a_file_is_read_and_moved_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\f".join(map(str, range(100))))
+    numbered = numbered_lines(lines_by_split(spark, str(tmp_path), "\f"))
+    numbered.collect()
+    final = final_plan(numbered).split("== Initial Plan ==")[0].split("== Physical Plan ==")[1]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1

@@ -723,6 +723,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id::VARCHAR AS doc_stem, page_no, section,
             CASE WHEN heading IS NULL THEN section || chr(10) || fragment ELSE fragment END AS body
         FROM carried""",
+    "read_orders": """
+        SELECT doc_id, lang, '"' || coalesce(text, '') || '",' || chr(10) || '"' AS cell FROM documents""",
+    "read_pages": """
+        SELECT doc_id, true AS in_order, replace(coalesce(text, ''), chr(12), ' ') AS text FROM documents""",
     "policy_chunks": f"""WITH RECURSIVE {_SECTIONS}, {_CHUNKS}
         SELECT doc_id || '#' || page_no || '#' || pos || '#' || n AS passage_id, text, doc_id::VARCHAR AS title, section, page_no AS page_label
         FROM chunks""",

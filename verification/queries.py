@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import localized, mixed_date, money, pretty, whole_number
@@ -55,15 +56,36 @@ def _orders(build: Callable[..., DataFrame], needs: Iterable[str] | None = None,
 
 
 def _listed_orders(**params) -> Query:
-    """The list reads what it shows; its totals read no product."""
+    """The newest orders come from dates and statuses; what else is shown is looked up for them alone."""
 
     def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counted = wh.retail_orders(spark, sf_dir, ("order_date", "order_status", "country"))
-        return comparable(order_desk.list_orders(wh.retail_orders(spark, sf_dir, _LISTED), counted=counted, **params))
+        needed = ("order_id", "order_date", "order_status", *(["country"] if params.get("country") else []))
+        shown = lambda ids: wh.retail_orders(spark, sf_dir, _LISTED, only=ids)
+        return comparable(order_desk.list_orders(wh.retail_orders(spark, sf_dir, needed), attributes=shown, **params))
 
     return listed
 
 
+def order_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order_id = " ord-000000007 "
+    return comparable(order_desk.order_lookup(wh.retail_orders(spark, sf_dir, only=order_id), order_id))
+
+
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of text files in their documents' order: is a page's number its document's place in the file?"""
+    pages = wh.stored_pages(spark, sf_dir).select(
+        "doc_stem", "page_no", F.regexp_extract("text", r"^(\d+)\n", 1).cast("long").alias("doc_id"), F.expr("substr(text, instr(text, '\n') + 1)").alias("text")
+    )
+    place = F.row_number().over(W.partitionBy("doc_stem").orderBy("doc_id"))
+    return pages.select("doc_id", (place == F.col("page_no")).alias("in_order"), "text")
+
+
+def read_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes and line breaks out of a sheet export."""
+    cells = wh.stored_sheet(spark, sf_dir)
+    return cells.select(F.col("order_id").cast("long").alias("doc_id"), "lang", F.col("product").alias("cell"))
+
+
 _SALES = ("order_id", "order_date", "total", "order_status")
 _LISTED = (*_SALES, "country", "product")
 _RETURNS = (*_SALES, "delivery_date", "return_request_date", "return_reason", "return_status")
@@ -295,7 +317,7 @@ QUERIES: dict[str, Query] = {
     "return_status_counts": _orders(returns.return_status_counts, _RETURNS),
     "late_returns": _orders(returns.late_return_requests, _RETURNS, allowed_days=10),
     # order desk
-    "order_lookup": _orders(order_desk.order_lookup, order_id=" ord-000000007 "),
+    "order_lookup": order_lookup,
     "list_orders": _listed_orders(status=" Processing ", limit=100),
     "list_orders_in_country": _listed_orders(status="cancelled", country="nation_3"),
     # weekly report
@@ -359,6 +381,8 @@ QUERIES: dict[str, Query] = {
     "verdict_counts": _over(wh.verdict_rows, evaluation.verdict_counts),
     "pass_by_category": _over(wh.verdict_rows, evaluation.pass_by_category),
     # passages
+    "read_orders": read_orders,
+    "read_pages": read_pages,
     "section_fragments": section_fragments,
     "policy_chunks": policy_chunks,
     "doc_titles": doc_titles,
