@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,30 +14,34 @@ WHITESPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Shapes of a written date and the formats each may be in. A text is only parsed as
-# what it looks like, month first: 03/04/2026 is the fourth of March, 25/12/2025 can
-# only be Christmas.
-_DATE_SHAPES = {
-    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"),
-    r"^\d{1,2}/\d{1,2}/\d{2}$": ("M/d/yy", "d/M/yy"),
-    r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy", "d-M-yyyy"),
-    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ("M.d.yyyy", "d.M.yyyy"),
-    r"^\d{4}/": ("yyyy/M/d[ H:mm[:ss]]",),
-    r"^\d{4}\.\d": ("yyyy.M.d",),
-    r"^\d{4}-\d{1,2}-\d{1,2} .*[AaPp][Mm]$": ("yyyy-M-d h:mm[:ss] a",),
-    r"^\d{8}$": ("yyyyMMdd",),
-    r"^\d{4}$": ("yyyy",),
-    r"^[A-Za-z]{3} \d{4}$": ("MMM yyyy",),
-    r"^[A-Za-z]{4,9} \d{4}$": ("MMMM yyyy",),
-    r"^[A-Za-z]{3} ": ("MMM d, yyyy[ H:mm[:ss]]", "MMM d yyyy[ H:mm[:ss]]"),
-    r"^[A-Za-z]{4,9} ": ("MMMM d, yyyy[ H:mm[:ss]]", "MMMM d yyyy[ H:mm[:ss]]"),
-    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": ("d MMM yy", "d-MMM-yy"),
-    r"^\d{1,2}[ -][A-Za-z]{3}[ -]": ("d MMM yyyy", "d-MMM-yyyy"),
-    r"^\d{1,2} [A-Za-z]{4,9} ": ("d MMMM yyyy",),
-}
-# A day name says nothing that the date does not, and September has two short forms.
+# Written dates, each shape once: figures with slashes, dashes, dots or nothing between, and month names.
+# A text is only read as what it looks like, month first: 03/04/2026 is the fourth of March,
+# 25/12/2025 can only be Christmas.
+_CLOCK = r"(?: (?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?"
+_HALF_DAY = r" (?:0?[1-9]|1[0-2]):[0-5]\d(?::[0-5]\d)? [ap]m"
+_TWO_FIGURES = (
+    rf"(?i)^(?:(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:{_HALF_DAY}|{_CLOCK})|(\d{{1,2}})([-.])(\d{{1,2}})\5(\d{{4}}))$"
+)
+_YEAR_FIRST = (
+    rf"(?i)^(?:(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){_CLOCK}|(\d{{4}})\.(\d{{1,2}})\.(\d{{1,2}})"
+    rf"|(\d{{4}})-(\d{{1,2}})-(\d{{1,2}}){_HALF_DAY}|(\d{{4}})(\d{{2}})(\d{{2}}))$"
+)
+# A month's name is kept by its first three letters; it is whole or has just these, September four.
+_MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_MONTHS = {name: str(k) for k, name in enumerate(_MONTH[1:-1].split("|"), 1)}
+_REST = (
+    "(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust|(?<=sep)t(?:ember)?"
+    "|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?"
+)
+_SHORT = "(?:(?<=sep)t)?"
+_NAMED = (
+    rf"(?i)^(?:{_MONTH}{_REST} (?:(\d{{1,2}}),? )(\d{{4}}){_CLOCK}|(\d{{1,2}}) {_MONTH}{_REST} (\d{{4}})"
+    rf"|(\d{{1,2}})-{_MONTH}{_SHORT}-(\d{{4}}))$"
+)
+_MONTH_ALONE = rf"(?i)^{_MONTH}{_REST} (\d{{4}})$"
+_SHORT_YEAR = r"(?i)^(\d{1,2}/\d{1,2}/|\d{1,2} (?:[a-z]{3}|sept) |\d{1,2}-(?:[a-z]{3}|sept)-)(\d{2})$"
+# A day name says nothing that the date does not.
 _DAY_NAME = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+"
-_SEPT = r"(?i)\bsept\b"
 
 
 def col(c: Column | str) -> Column:
@@ -67,23 +71,49 @@ def whole_number(c: Column | str) -> Column:
     return number(c).try_cast("int")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of the value, which is worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _date_of(text: Column) -> Column:
+    """The date that a text shows by its shape; a text of no such shape has none."""
+
+    def read(pattern: str, order: str, named: bool = False) -> Column:
+        def day(w: Column) -> Column:
+            number = lookup(F.lower(F.substr(w, F.lit(6), F.lit(3))), _MONTHS)
+            return (F.concat(F.left(w, F.lit(5)), number, F.substr(w, F.lit(9))) if named else w).try_cast("date")
+
+        return once(F.regexp_replace(text, pattern, order), lambda w: F.when(w != text, day(w)))
+
+    figure = F.left(text, F.lit(1)).between("0", "9")
+    clock = (F.substr(text, F.lit(5), F.lit(1)) == "-") & ~F.right(text, F.lit(1)).isin("m", "M") & text.rlike(r"^\d{4}-")
+    return (
+        F.when(figure & clock, text.try_cast("timestamp_ntz").cast("date"))
+        .when(text.rlike("[A-Za-z]{3}"), F.coalesce(read(_NAMED, "$3$6$9-$1$5$8-$2$4$7", named=True), read(_MONTH_ALONE, "$2-$1-1", named=True)))
+        .when(figure & (F.substr(text, F.lit(2), F.lit(2)).rlike("[/.-]")), F.coalesce(read(_TWO_FIGURES, "$3$7-$1$4-$2$6"), read(_TWO_FIGURES, "$3$7-$2$6-$1$4")))
+        .when(figure & (F.length(text) == 4), text.try_cast("date"))
+        .when(figure & text.rlike(r"^\d{4}"), read(_YEAR_FIRST, "$1$4$7$10-$2$5$8$11-$3$6$9$12"))
+    )
+
+
 def mixed_date(c: Column | str, strict: bool = False) -> Column:
     """Date out of mixed human formats.
 
     Empty text is missing. Other unreadable text is NULL, or fails the query when
     `strict`. A time of day is dropped, so the last day of a period is whole.
     """
-    text = F.regexp_replace(F.regexp_replace(strip(c), _DAY_NAME, ""), _SEPT, "Sep")
-    iso = text.rlike(r"^\d{4}-") & ~text.rlike("[AaPp][Mm]$")
-    parsed = F.when(iso, text.try_cast("timestamp_ntz").cast("date"))
-    for shape, formats in _DATE_SHAPES.items():
-        tries = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
-        parsed = parsed.when(text.rlike(shape), F.coalesce(*tries))
+    first = lambda text: F.left(text, F.lit(1))
+    plain = lambda text: F.when(first(text) >= "A", F.regexp_replace(text, _DAY_NAME, "")).otherwise(text)
+    # Only the shortest texts can end in a year of two figures.
+    whole = lambda text: F.when(F.length(text) <= 11, F.regexp_replace(text, _SHORT_YEAR, "$120$2")).otherwise(text)
+    text = once(once(strip(c), plain), whole)
+    parsed = once(text, _date_of)
     if not strict:
         return parsed
     return F.when(
-        parsed.isNull() & (text != ""),
-        F.raise_error(F.concat(F.lit("unreadable date: "), text)).cast("date"),
+        parsed.isNull() & (strip(c) != ""),
+        F.raise_error(F.concat(F.lit("unreadable date: "), strip(c))).cast("date"),
     ).otherwise(parsed)
 
 

@@ -187,8 +187,10 @@ _WRITTEN = (
 
 def _written(key: Column, moment: Column) -> Column:
     """The date in one of the shapes, by the order's key; September in four letters now and then."""
-    texts = F.array(*[F.date_format(moment, shape) for shape in _WRITTEN])
-    text = F.element_at(texts, (key % len(_WRITTEN) + 1).cast("int"))
+    # One shape is written per row; an array to pick from would write them all.
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(_WRITTEN):
+        text = F.when(key % len(_WRITTEN) == k, F.date_format(moment, shape)).otherwise(text)
     return F.when(key % 2 == 0, F.regexp_replace(text, r"\bSep\b", "Sept")).otherwise(text)
 
 
