@@ -8,7 +8,7 @@ shuffled is at most one row per week and task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,3 +114,19 @@ def weekly_ledger(orders: DataFrame, **limits: int) -> DataFrame:
         F.sum("processing_entered").over(so_far).alias("processing_orders"),
         F.sum("processing_overdue").over(so_far).alias("processing_aged"),
     )
+
+
+def ledger_up_to(orders: DataFrame, sunday: Column) -> DataFrame:
+    """The counts of the week ending on `sunday` and of the four before it, none missing.
+
+    Only the orders placed or filed in these weeks are read: `sunday` may be a scalar
+    subquery, whose value then bounds the scan. No row if it is NULL.
+    """
+    first = F.date_sub(sunday, 7 * TREND_WEEKS + 6)
+    near = F.col("order_date").between(first, sunday) | F.col("return_request_date").between(first, sunday)
+    weeks = orders.sparkSession.range(TREND_WEEKS + 1).select(
+        F.date_sub(sunday, (7 * F.col("id")).cast("int")).alias("week_end"), sunday.alias("first_week")
+    ).where(F.col("week_end").isNotNull())
+    return weeks.join(week_entries(orders.where(near)), "week_end", "left").select(
+        F.date_sub("week_end", 6).alias("week_start"), "week_end", "first_week", *[F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS]
+    )

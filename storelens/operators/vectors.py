@@ -174,10 +174,15 @@ def search_policies(
 
 
 def cited(nearest: DataFrame, passages: DataFrame, key: str = "passage_id") -> DataFrame:
-    """Ranked passages with their text and source.
+    """Ranked passages with their text and source, looked up by their keys.
 
-    `nearest` holds k rows per question the caller passed in, so broadcasting it is
-    safe and keeps the corpus text from being shuffled.
+    The search runs first; the driver gets its answer, k keys and scores per question the
+    caller passed in, as it gets the cited text after all. The keys then go into the scan
+    of `passages` as a condition: a store that is clustered by key, as `build_index` writes
+    it, reads the row groups that hold them, and no text is shuffled.
     """
-    texts = passages.select(key, "text", "title", "page_label")
-    return texts.join(F.broadcast(nearest), key)
+    found = nearest.collect()
+    ranked = nearest.sparkSession.createDataFrame(found, nearest.schema)
+    keys = sorted({r[key] for r in found})
+    texts = passages.select(key, "text", "title", "page_label").where(F.col(key).isin(keys))
+    return ranked.join(texts, key)

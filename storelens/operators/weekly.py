@@ -30,7 +30,7 @@ from storelens.lookups import (
     TRANSIT_DAYS_LIMIT,
     TREND_WEEKS,
 )
-from storelens.operators.ledger import weekly_ledger
+from storelens.operators.ledger import ledger_up_to, weekly_ledger
 from storelens.operators.sales import as_date, in_period
 from storelens.operators.week_facts import breakdown, week_facts
 
@@ -174,33 +174,13 @@ def report_summary(orders: DataFrame, week_ending: date | str | None = None) ->
     """The headline metrics of one closed week, the last one unless a day is given.
 
     Any day snaps to the Sunday closing its week, at most the last closed one. A week
-    before the first order has zeros, and no delivery time.
+    before the first order has zeros, and no delivery time. The latest order date comes
+    first; it bounds what is then read to orders placed or returned in five weeks.
     """
-    summary = weekly_summary(orders)
-    # A handful of rows per week, so the single window task stays small.
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    closed = orders.agg(last_closed_sunday(F.max("order_date")).alias("closed")).scalar()
     day = as_date(week_ending)
-    latest = F.max("week_end").over(whole)
-    if day is None:
-        return summary.withColumn("_picked", latest).where(F.col("week_end") == F.col("_picked")).drop("_picked")
-    placed = summary.withColumn("_first", F.min("week_end").over(whole)).withColumn("_picked", snap_to_week(F.lit(day), latest))
-    # Before the first order there is nothing to sum: the first week's rows stand in, emptied.
-    early = F.col("_picked") < F.col("_first")
-    shown = placed.where(F.when(early, F.col("week_end") == F.col("_first")).otherwise(F.col("week_end") == F.col("_picked")))
-    averaged = F.col("metric") == "avg_delivery_days"
-
-    def emptied(name: str) -> Column:
-        if name == "week_start":
-            return F.when(early, F.date_sub("_picked", 6)).otherwise(F.col(name)).alias(name)
-        if name == "week_end":
-            return F.when(early, F.col("_picked")).otherwise(F.col(name)).alias(name)
-        if name in ("metric", "formula"):
-            return F.col(name)
-        inputs = name in ("numerator", "denominator")
-        without = F.col("metric").isin("revenue", "orders") if inputs else averaged
-        return F.when(early, F.when(~without, F.lit(0.0))).otherwise(F.col(name)).alias(name)
-
-    return shown.select(*[emptied(c) for c in summary.columns])
+    picked = closed if day is None else snap_to_week(F.lit(day), closed)
+    return weekly_summary(orders, ledger_up_to(orders, picked))
 
 
 def weekly_summary(orders: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import last_closed_sunday, week_end
@@ -13,6 +13,7 @@ from storelens.operators.ledger import weekly_ledger
 from storelens.operators.sales import as_date
 from storelens.operators.week_facts import touching_week, week_facts
 from storelens.plans.audit import audit_report, require_match
+from storelens.sources.published import latest_folder, publish
 
 _FROM_LEDGER = {
     "metrics": weekly.weekly_metrics,
@@ -77,9 +78,15 @@ def weekly_report(
 
 
 def write_report(report: dict[str, DataFrame], path: str) -> None:
-    """Write one Parquet table per report section under `path`."""
+    """Write one Parquet table per report section under `path`, a folder of their own."""
     for name, table in report.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        table.write.parquet(f"{path}/{name}")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sections of the report published last under `path`, all of one run."""
+    folder = latest_folder(spark, path)
+    return {r["name"]: spark.read.parquet(f"{folder}/{r['name']}") for r in spark.read.parquet(f"{folder}/sections").collect()}
 
 
 def publish_report(
@@ -88,20 +95,27 @@ def publish_report(
     week_ending: date | str | None = None,
     interactions: DataFrame | None = None,
 ) -> None:
-    """Write the report, then recompute its figures from the orders; fail if they differ.
+    """Write the report, recompute its figures from the orders, and publish it if they agree.
 
     `orders` should be a stored table (`write_orders`). It is read whole once, for the
     ledger, and twice in part, for the facts of the week and the days of two weeks.
     The ledger and the facts are written first; all other sections are made of them,
-    so a lost executor never sends a section back to the orders.
+    so a lost executor never sends a section back to the orders. All tables of a run lie
+    in its own folder, which is noted last: a run that fails on the way, or whose figures
+    differ, changes nothing for readers.
     """
     spark = orders.sparkSession
     sunday = closing_sunday(orders, week_ending)
     if sunday is None:
         raise ValueError("no dated order, so there is no week to report")
-    base = {"ledger": weekly_ledger(orders), "facts": week_facts(touching_week(orders, sunday))}
-    write_report(base, path)
-    stored = {name: spark.read.parquet(f"{path}/{name}") for name in base}
-    write_report(weekly_report(orders, sunday, interactions, **stored), path)
-    metrics = spark.read.parquet(f"{path}/metrics")
-    require_match(audit_report(orders, metrics, sunday))
+
+    def write(folder: str) -> None:
+        base = {"ledger": weekly_ledger(orders), "facts": week_facts(touching_week(orders, sunday))}
+        write_report(base, folder)
+        stored = {name: spark.read.parquet(f"{folder}/{name}") for name in base}
+        report = weekly_report(orders, sunday, interactions, **stored)
+        write_report(report, folder)
+        require_match(audit_report(orders, spark.read.parquet(f"{folder}/metrics"), sunday))
+        spark.createDataFrame([(name,) for name in [*base, *report]], "name string").write.parquet(f"{folder}/sections")
+
+    publish(spark, path, write)

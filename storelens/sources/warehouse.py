@@ -379,15 +379,19 @@ def broken_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.withColumn("embedding", F.when(F.col("passage_id") % 3 == 0, broken).otherwise(x))
 
 
-def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedded documents: the text, titled by its source, as the pages of a corpus."""
-    documents = table(spark, sf_dir, "documents").select(
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as passages to cite: the text, titled by its source, as the pages of a corpus."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("passage_id"),
         "text",
         F.col("source").alias("title"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("page_label"),
     )
-    return passage_vectors(spark, sf_dir).join(documents, "passage_id")
+
+
+def cited_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of those passages; only the documents' ids are read."""
+    return passage_vectors(spark, sf_dir).join(citations(spark, sf_dir).select("passage_id"), "passage_id", "left_semi")
 
 
 def sample_questions(spark: SparkSession, sf_dir: str) -> list[tuple[str, list[float]]]:

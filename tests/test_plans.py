@@ -2,6 +2,8 @@
 
 import pytest
 
+from storelens.operators import weekly
+from storelens.sources.orders import write_orders
 from storelens.sources.warehouse import retail_orders
 from verification.queries import QUERIES
 
@@ -82,3 +84,27 @@ def test_building_a_query_runs_no_job(spark):
         assert all(len(tracker.getJobInfo(j).stageIds) == 1 and tracker.getStageInfo(tracker.getJobInfo(j).stageIds[0]).numTasks == 1 for j in jobs)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_one_order_reads_its_own_lines(spark):
+    physical = plans(spark, "order_lookup")[1]
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        scan = next(line for line in physical.splitlines() if f"/{table}.parquet" in line)
+        assert f"EqualTo({key},7)" in scan.split("PushedFilters")[1]
+
+
+def test_listed_orders_are_found_before_they_are_completed(spark):
+    """The first top-k stands over the orders alone; lines are only summed for its keys."""
+    optimized = plans(spark, "list_orders")[0]
+    assert optimized.count("GlobalLimit") >= 2 and "LeftSemi" in optimized
+
+
+def test_a_summary_reads_five_weeks(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    write_orders(retail_orders(spark, SF), path)
+    summary = weekly.report_summary(spark.read.parquet(path))
+    summary.collect()
+    final = summary._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in final.splitlines() if "FileScan" in line and "return_request_date" in line)
+    assert "order_date" in scan.split("DataFilters")[1].split("Format")[0] and "subquery" in scan
+    assert weekly.report_summary(spark.read.parquet(path).limit(0)).collect() == []

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from storelens.functions.dates import week_end
 from storelens.operators import charts, sales, weekly
 from storelens.plans.audit import AuditError, audit_report, require_match
-from storelens.plans.weekly_report import closing_sunday, publish_report, weekly_report
+from storelens.plans import weekly_report as report_module
+from storelens.plans.weekly_report import closing_sunday, publish_report, read_report, weekly_report
 from storelens.operators.week_facts import touching_week, week_facts
 from storelens.sources.orders import write_orders
 from storelens.sources.warehouse import retail_orders
@@ -64,16 +65,42 @@ def test_report_is_one_week_and_gets_published(spark, df, made, tmp_path):
     sunday = day + timedelta(days=(6 - day.weekday()) % 7)
     report = weekly_report(df, sunday)
     assert len(report) == 22
+    published = read_report(spark, str(tmp_path))
+    assert set(published) == {*report, "ledger", "facts"}
     for name, table in report.items():
-        stored = spark.read.parquet(f"{tmp_path}/{name}")
+        stored = published[name]
         key = "cutoff" if "cutoff" in stored.columns else "week_end"
         assert {r[0] for r in stored.select(key).distinct().collect()} <= {sunday}, name
         # Sections made of stored facts equal those made of the orders.
         assert sorted(rows(stored), key=str) == sorted(rows(table), key=str), name
-    stored = spark.read.parquet(f"{tmp_path}/metrics").collect()
+    stored = published["metrics"].collect()
     assert [r["orders"] for r in stored] == [len(Plain(made, sunday).sold)]
 
 
+def test_a_failed_run_leaves_the_report_before_it(spark, df, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, path)
+    publish_report(df, path)
+    before = {name: sorted(map(str, t.collect())) for name, t in read_report(spark, path).items()}
+    sunday = closing_sunday(df)
+
+    def failing(orders, *_):
+        return orders.select(F.raise_error(F.lit("broken section")).alias("week_end"))
+
+    with monkeypatch.context() as m:
+        m.setitem(report_module._FROM_FACTS, "top_products", failing)
+        with pytest.raises(Exception, match="broken section"):
+            publish_report(df, path, sunday - timedelta(days=7))
+    with monkeypatch.context() as m:
+        m.setitem(report_module._FROM_LEDGER, "metrics", lambda orders, ledger: weekly.weekly_metrics(orders, ledger).withColumn("orders", F.col("orders") + 1))
+        with pytest.raises(AuditError):
+            publish_report(df, path, sunday - timedelta(days=7))
+    assert {name: sorted(map(str, t.collect())) for name, t in read_report(spark, path).items()} == before
+    publish_report(df, path, sunday - timedelta(days=7))
+    assert {r["week_end"] for r in read_report(spark, path)["metrics"].collect()} == {sunday - timedelta(days=7)}
+
+
 def test_one_week_of_facts_equals_that_week_of_all(df, made):
     sunday = last_sunday(max(o["order_date"] for o in made if o["order_date"])) - timedelta(days=14)
     one = weekly.week_facts(touching_week(df, sunday)).where(F.col("week_end") == F.lit(sunday))

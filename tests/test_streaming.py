@@ -11,7 +11,8 @@ from storelens.sources.logs import append_interactions, stream_interactions
 from storelens.sources.orders import stream_orders, write_orders
 from storelens.sources.scratch import scratch_folder
 from storelens.streaming.closed_weeks import closed_weeks
-from storelens.streaming.run import run_to_table
+from storelens.sources.published import publish, published_folders
+from storelens.streaming.run import changes_into, read_changes, run_to_table
 from storelens.streaming.topics import topic_windows
 from storelens.sources.warehouse import as_interactions, table
 from tests.conftest import rows
@@ -135,6 +136,55 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     assert totals() == {"Sales & products": 2, "Other": 1}
 
 
+KEYS = ("window_start", "window_end", "topic")
+
+
+def test_updates_equal_the_batch_result_and_state_goes(spark, tmp_path):
+    """Days in order, a file each: changed windows only are written, and old windows leave the state."""
+    folder = tmp_path / "log"
+    days = [[{"ts": f"2026-07-{day:02d}T10:00:00", "tools": ["top_products"] * day}] for day in range(1, 21)]
+    write_in_order(folder, days)
+    work = str(tmp_path / "work")
+    schema = "ts timestamp, tools array<string>"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    made = run_to_table(topic_windows(stream), mode="update", folder=work, keys=KEYS)
+    assert sorted(rows(made)) == sorted(rows(topic_windows(spark.read.schema(schema).json(str(folder)))))
+    changed = [spark.read.parquet(path).count() for _, path in published_folders(spark, f"{work}/result")]
+    assert max(changed) <= 7 and len(changed) >= 20
+    state = spark.read.format("statestore").load(f"{work}/checkpoint").count()
+    assert state <= 9 < made.count()
+
+
+def test_a_batch_that_stops_halfway_and_runs_again(spark, tmp_path):
+    target, schema = str(tmp_path / "table"), "k int, n int"
+    put = changes_into(target, ["k"], fold_after=3)
+    batch = lambda *pairs: spark.createDataFrame(pairs, schema)
+    now = lambda: sorted(rows(read_changes(spark, target, batch().schema, ["k"])))
+    assert now() == []
+    put(batch((1, 1), (2, 1)), 0)
+
+    class Stopped(Exception):
+        pass
+
+    def stop_after(folder):
+        batch((2, 9)).write.parquet(folder)
+        raise Stopped
+
+    with pytest.raises(Stopped):
+        publish(spark, target, stop_after, 1, whole=False)
+    assert now() == [(1, 1), (2, 1)]
+    put(batch((2, 2), (3, 2)), 1)
+    put(batch((2, 7), (3, 7)), 1)
+    assert now() == [(1, 1), (2, 2), (3, 2)]
+    put(batch((1, 3)), 2)
+    assert len(published_folders(spark, target)) == 1 and now() == [(1, 3), (2, 2), (3, 2)]
+    put(batch(), 3)
+    put(batch((4, 4)), 4)
+    assert now() == [(1, 3), (2, 2), (3, 2), (4, 4)]
+    with pytest.raises(ValueError):
+        changes_into(target, [])
+
+
 def test_no_input_no_rows(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     stream = spark.readStream.schema(ORDERS).json(str(tmp_path / "empty"))

@@ -88,11 +88,14 @@ def test_search_cites_the_nearest(spark):
     assert rows(call("search_policies", indexed.limit(0), "zz", toy_encoder)) == [("zz", NO_PASSAGES)]
 
 
-def test_corpus_text_is_not_shuffled_for_a_citation(spark, passages):
-    corpus = passages.withColumn("text", F.lit("t")).withColumn("title", F.lit("T")).withColumn("page_label", F.lit(1))
+def test_citations_read_the_text_once_by_key(spark, passages, tmp_path):
+    """The keys found are a condition of the one scan of the texts, so only their rows leave it."""
+    path = str(tmp_path / "corpus")
+    passages.withColumn("text", F.lit("t")).withColumn("title", F.lit("T")).withColumn("page_label", F.lit(1)).write.parquet(path)
+    corpus = spark.read.parquet(path)
     nearest = vectors.top_passages(corpus, [("q", [1.0] * 16)])
-    plan = vectors.cited(nearest, corpus)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plan = vectors.format_passages(vectors.cited(nearest, corpus), [("q", [])])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "In(passage_id" in plan.split("PushedFilters")[1]
 
 
 def test_build_and_search_an_index(spark, tmp_path):

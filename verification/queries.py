@@ -256,9 +256,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def format_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = wh.sample_questions(spark, sf_dir)
-    corpus = wh.cited_passages(spark, sf_dir)
-    nearest = vectors.top_passages(corpus, questions)
-    return vectors.format_passages(vectors.cited(nearest, corpus), questions)
+    nearest = vectors.top_passages(wh.cited_vectors(spark, sf_dir), questions)
+    return vectors.format_passages(vectors.cited(nearest, wh.citations(spark, sf_dir)), questions)
 
 
 # ---- streams --------------------------------------------------------------------
@@ -277,7 +276,7 @@ def _wall_clock(c: str) -> Column:
 
 def stream_topic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = wh.as_interactions(_stream(spark, sf_dir, "events")).withColumn("ts", wh.as_instant("ts"))
-    windows = run_to_table(topic_windows(log), mode="complete")
+    windows = run_to_table(topic_windows(log), mode="update", keys=("window_start", "window_end", "topic"))
     return windows.select(_wall_clock("window_start"), _wall_clock("window_end"), "topic", "calls")
 
 
