@@ -24,6 +24,9 @@ GRAM = 9  # the longest grams; passages whose budget needs it are looked for by
 EDIT_SHARE = 0.1
 PASSAGE = 512  # longer items are looked for in pieces of this length
 ALIGNED_AT_ONCE = 512
+HITS_AT_ONCE = 2_000_000  # shared grams that a task holds at a time; it bounds memory, not results
+CHECK_GRAM = 4  # of the second count, before the alignment
+NONE = np.iinfo(np.int64).min
 INDEX_CHARS = 4_000_000  # characters of passages that are looked for in one scan
 FILTER_BITS = 22
 MATCH = "item_id long, start long, end long, edits int"
@@ -86,13 +89,14 @@ class Grams:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
 
-    def shared(self, hashed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the texts, passage and place in it of every gram that both have."""
+    def occurrences(self, hashed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places whose gram some passage has, sorted by gram, and per entry of this index the
+        first of its gram's places there and how many there are. Each distinct gram is looked up once."""
         maybe = np.flatnonzero(self.filter[hashed >> np.uint64(64 - FILTER_BITS)])
-        hashed, places = hashed[maybe], places[maybe]
-        low, high = np.searchsorted(self.hashes, hashed, "left"), np.searchsorted(self.hashes, hashed, "right")
-        found = runs(low, high - low)
-        return np.repeat(places, high - low), self.owners[found], self.places[found]
+        order = maybe[np.argsort(hashed[maybe], kind="stable")]
+        hashed = hashed[order]
+        low = np.searchsorted(hashed, self.hashes, "left")
+        return places[order], low, np.searchsorted(hashed, self.hashes, "right") - low
 
 
 class Passages:
@@ -120,54 +124,143 @@ class Passages:
         gram = np.minimum(q, lengths // (self.budget + 1))
         self.bound = lengths + 1 - gram * (self.budget + 1)
         self.width = self.budget + 1
+        self.grams_of = lengths + 1 - gram
         self.short = np.flatnonzero(lengths < q)
         long = np.flatnonzero(lengths >= q)
         self.grams = {int(size): Grams(int(size), long[gram[long] == size], self.symbols) for size in np.unique(gram[long])}
 
-    def bands(self, folded: Folded) -> list[tuple[int, int, int]]:
-        """(text, passage, first diagonal) of every band that reaches its bound."""
-        shared = [self.grams[q].shared(hashed, places) for q, hashed, places in folded.grams(list(self.grams))]
-        if not shared:
-            return []
-        places, passage, own_places = (np.concatenate(v) for v in zip(*shared, strict=True))
+    def hits(self, folded: Folded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place in the texts, passage and place in it of every gram that both have, some passages at a time.
+
+        A passage comes whole, and with others only as far as HITS_AT_ONCE allows. One that
+        alone has more comes in parts, places of the texts in ascending order.
+        """
+        for q, hashed, places in folded.grams(list(self.grams)):
+            grams = self.grams[q]
+            found, low, count = grams.occurrences(hashed, places)
+            used = np.flatnonzero(count)
+            used = used[np.argsort(grams.owners[used], kind="stable")]
+            owners = grams.owners[used]
+            edges = np.append(np.flatnonzero(np.diff(owners, prepend=-1)), len(used))
+            # A stretch has as many of the passage's own grams as the bound says.
+            enough = np.diff(edges) >= self.bound[owners[edges[:-1]]]
+            total = np.concatenate([[0], np.cumsum(count[used])])
+            group: list[np.ndarray] = []
+            size = 0
+            for start, stop in zip(edges[:-1][enough].tolist(), edges[1:][enough].tolist(), strict=True):
+                own = int(total[stop] - total[start])
+                if group and size + own > HITS_AT_ONCE:
+                    yield self._pairs(grams, found, low, count, np.concatenate(group))
+                    group, size = [], 0
+                if own <= HITS_AT_ONCE:
+                    group.append(used[start:stop])
+                    size += own
+                else:
+                    yield from self._in_parts(folded, grams, found, low, count, used[start:stop])
+            if group:
+                yield self._pairs(grams, found, low, count, np.concatenate(group))
+
+    @staticmethod
+    def _pairs(grams: Grams, found: np.ndarray, low: np.ndarray, count: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = count[entries]
+        return found[runs(low[entries], n)], np.repeat(grams.owners[entries], n), np.repeat(grams.places[entries], n)
+
+    def _in_parts(self, folded: Folded, grams: Grams, found: np.ndarray, low: np.ndarray, count: np.ndarray, entries: np.ndarray):
+        """One passage with very many hits: bands of a part of the places at a time.
+
+        Parts overlap by what a passage and its bands span, so each band is whole in one of
+        them; that it may show in two makes its place known twice.
+        """
+        passage = int(grams.owners[entries[0]])
+        reach = len(self.symbols[passage]) + 4 * int(self.width[passage])
+        step = max(HITS_AT_ONCE // max(len(entries), 1), 2 * reach)
+        for start in range(0, len(folded.symbols), step):
+            left, right = start - reach, start + step + reach
+            pairs = []
+            for e in entries.tolist():
+                own = found[low[e] : low[e] + count[e]]  # in ascending order, as the sort is stable
+                a, b = np.searchsorted(own, [left, right])
+                pairs.append((own[a:b], np.full(b - a, passage), np.full(b - a, grams.places[e])))
+            places, owners, own_places = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            if len(places):
+                yield places, owners, own_places
+
+    def bands(self, folded: Folded, places: np.ndarray, passage: np.ndarray, own_places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, passage, first diagonal and lowest exact diagonal (or NONE) of every band of the hits
+        that reaches its bound."""
         text = folded.of_text[places]
         # Diagonals start below 0 by a passage's length at most; shift them.
         diagonal = places - folded.starts[text] - own_places
         width = self.width[passage]
         band = np.floor_divide(diagonal, width)
         # Each diagonal lies in two bands, of twice the width, so no stretch is parted.
-        text, passage, band = np.tile(text, 2), np.tile(passage, 2), np.concatenate([band, band - 1])
-        if not len(band):
-            return []
-        shift = band - band.min()
-        key = (text * len(self.items) + passage) * (int(shift.max()) + 1) + shift
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        good = first[counts >= self.bound[passage[first]]]
-        return list(zip(text[good].tolist(), passage[good].tolist(), (band[good] * self.width[passage[good]]).tolist(), strict=True))
+        low, high = int(band.min()) - 1, int(band.max())
+        key = (text * len(self.items) + passage) * (high - low + 1) - low
+        keys, counts = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)
+        owner, shift = np.divmod(keys, high - low + 1)
+        text, passage_of = np.divmod(owner, len(self.items))
+        good = counts >= self.bound[passage_of]
+        keys, text, passage_of, first = keys[good], text[good], passage_of[good], (shift[good] + low) * self.width[passage_of[good]]
+        # Where all of a passage's grams lie on one diagonal, it stands there as it is.
+        least, most = int(diagonal.min()), int(diagonal.max())
+        on, times = np.unique((folded.of_text[places] * len(self.items) + passage) * (most - least + 1) + diagonal - least, return_counts=True)
+        owner, exact = np.divmod(on, most - least + 1)
+        whole = times == self.grams_of[owner % len(self.items)]
+        owner, exact = owner[whole], exact[whole] + least
+        sorted_by = np.lexsort((exact, owner))
+        owner, exact = owner[sorted_by], exact[sorted_by]
+        line = owner * (most - least + 1) + exact - least
+        mine = text * len(self.items) + passage_of
+        at = np.searchsorted(line, mine * (most - least + 1) + np.clip(first - least, 0, most - least + 1))
+        inside = at < len(line)
+        inside[inside] = (owner[at[inside]] == mine[inside]) & (exact[at[inside]] < first[inside] + 2 * self.width[passage_of[inside]])
+        return text, passage_of, first, np.where(inside, exact[np.minimum(at, max(len(exact) - 1, 0))] if len(exact) else NONE, NONE)
+
+    def _stretches(self, folded: Folded) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, passage, start, end, edits) in symbols of the text, some of them more than once."""
+        for hits in self.hits(folded):
+            text, passage, first, exact = self.bands(folded, *hits)
+            known = exact != NONE
+            for t, p, d in zip(text[known].tolist(), passage[known].tolist(), exact[known].tolist(), strict=True):
+                own = self.symbols[p]
+                if np.array_equal(folded.symbols[folded.starts[t] + d : folded.starts[t] + d + len(own)], own):
+                    yield t, p, d, d + len(own), 0
+                else:
+                    yield from self._aligned(folded, [(t, p, d // int(self.width[p]) * int(self.width[p]))])
+            # Those of like length together, so that a batch is hardly padded.
+            rest = np.flatnonzero(~known)
+            rest = rest[np.argsort([len(self.symbols[p]) for p in passage[rest].tolist()], kind="stable")]
+            for at in range(0, len(rest), ALIGNED_AT_ONCE):
+                some = rest[at : at + ALIGNED_AT_ONCE]
+                yield from self._aligned(folded, list(zip(text[some].tolist(), passage[some].tolist(), first[some].tolist(), strict=True)))
+
+    def _aligned(self, folded: Folded, bands: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        places = [(folded.starts[text], folded.starts[text + 1], diagonal - self.budget[passage]) for text, passage, diagonal in bands]
+        passages = [self.symbols[passage] for _, passage, _ in bands]
+        width = [2 * int(self.width[passage] + self.budget[passage]) for _, passage, _ in bands]
+        if max(map(len, passages)) >= CHECK_GRAM:
+            budgets = self.budget[[passage for _, passage, _ in bands]]
+            left = np.flatnonzero(plausible(passages, budgets, folded.symbols, places, max(width))).tolist()
+            bands, places, passages, width = ([x[k] for k in left] for x in (bands, places, passages, width))
+        if not bands:
+            return
+        for (text, passage, _), (first, last, low), (end, edits) in zip(
+            bands, places, best_ends(passages, folded.symbols, places, width), strict=True
+        ):
+            end = min(low + end, last - first)
+            if edits <= self.budget[passage] and end > 0:
+                own = folded.symbols[first + max(0, low) : first + end]
+                back = _last_row(self.symbols[passage][::-1], own[::-1])
+                yield text, passage, int(end - back.argmin()), int(end), int(back.min())
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits), best first for each item where stretches overlap."""
         folded = Folded(texts)
-        found = []
-        # Those of like length together, so that a batch is hardly padded.
-        bands = sorted(self.bands(folded), key=lambda band: len(self.symbols[band[1]]))
-        for at in range(0, len(bands), ALIGNED_AT_ONCE):
-            some = bands[at : at + ALIGNED_AT_ONCE]
-            places = [(folded.starts[text], folded.starts[text + 1], diagonal - self.budget[passage]) for text, passage, diagonal in some]
-            passages = [self.symbols[passage] for _, passage, _ in some]
-            band = [2 * int(self.width[passage] + self.budget[passage]) for _, passage, _ in some]
-            for (text, passage, _), (first, last, low), (end, edits) in zip(
-                some, places, best_ends(passages, folded.symbols, places, band), strict=True
-            ):
-                end = min(low + end, last - first)
-                if edits <= self.budget[passage] and end > 0:
-                    own = folded.symbols[first + max(0, low) : first + end]
-                    back = _last_row(self.symbols[passage][::-1], own[::-1])
-                    found.append((text, passage, end - int(back.argmin()), end, int(back.min())))
+        found = set(self._stretches(folded))
         for passage in self.short:
             wanted = self.symbols[passage].tobytes()
-            found += [(text, int(passage), *stretch, 0) for text in range(len(texts)) for stretch in
-                      _exact(folded.symbols[folded.starts[text] : folded.starts[text + 1]], wanted)]
+            found |= {(text, int(passage), *stretch, 0) for text in range(len(texts)) for stretch in
+                      _exact(folded.symbols[folded.starts[text] : folded.starts[text + 1]], wanted)}
         kept: list[tuple[int, int, int, int, int]] = []
         taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for text, passage, a, b, edits in sorted(found, key=lambda m: (m[0], m[1], m[4], m[2], m[3])):
@@ -191,6 +284,39 @@ def _exact(symbols: np.ndarray, wanted: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def _laid_out(passages: list[np.ndarray], symbols: np.ndarray, places: list[tuple[int, int, int]], band: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row per passage: its symbols, and those of the text from its lowest diagonal on; beyond
+    both stand signs that equal no other."""
+    n, longest = len(passages), max(map(len, passages))
+    wanted = np.full((n, longest), 2**32 - 2, np.uint32)
+    shown = np.full((n, longest + band), 2**32 - 1, np.uint32)
+    for k, (passage, (first, last, low)) in enumerate(zip(passages, places, strict=True)):
+        wanted[k, : len(passage)] = passage
+        start, stop = max(0, low), min(last - first, low + len(passage) + band)
+        if stop > start:
+            shown[k, start - low : stop - low] = symbols[first + start : first + stop]
+    return wanted, shown
+
+
+def plausible(passages: list[np.ndarray], budgets: np.ndarray, symbols: np.ndarray, places: list[tuple[int, int, int]], band: int) -> np.ndarray:
+    """Which passages keep enough of their short grams on the band's diagonals, by the lemma once more.
+
+    Short grams leave a far higher bound, which chance does not reach; passages too short for
+    one stay. Diagonals beyond a passage's own band only make the answer kinder.
+    """
+    wanted, shown = (
+        (x[:, :-3] * np.uint32(0x9E3779B1) + x[:, 1:-2]) * np.uint32(0x85EBCA77) + (x[:, 2:-1] * np.uint32(0xC2B2AE3D) + x[:, 3:])
+        for x in _laid_out(passages, symbols, places, band)
+    )
+    width = wanted.shape[1]
+    matched = np.zeros(wanted.shape, bool)
+    for diagonal in range(shown.shape[1] - width + 1):
+        matched |= shown[:, diagonal : diagonal + width] == wanted
+    lengths = np.array([len(p) for p in passages])
+    matched &= np.arange(width) < (lengths - 3)[:, None]
+    return matched.sum(axis=1) >= lengths + 1 - CHECK_GRAM * (budgets + 1)
+
+
 def best_ends(
     passages: list[np.ndarray], symbols: np.ndarray, places: list[tuple[int, int, int]], band: int | list[int]
 ) -> list[tuple[int, int]]:
@@ -207,13 +333,7 @@ def best_ends(
     # Diagonals beyond a passage's own band cost more than any alignment.
     beyond = np.where(np.arange(band) >= bands[:, None], np.int32(2**20 + longest), np.int32(0)).astype(np.int32)
     narrower = bool(beyond.any())
-    wanted = np.full((n, longest), 2**32 - 2, np.uint32)
-    shown = np.full((n, longest + band), 2**32 - 1, np.uint32)
-    for k, (passage, (first, last, low)) in enumerate(zip(passages, places, strict=True)):
-        wanted[k, : len(passage)] = passage
-        start, stop = max(0, low), min(last - first, low + len(passage) + band)
-        if stop > start:
-            shown[k, start - low : stop - low] = symbols[first + start : first + stop]
+    wanted, shown = _laid_out(passages, symbols, places, band)
     steps = np.arange(band, dtype=np.int32)
     row = beyond.copy()
     lengths = np.array([len(p) for p in passages])

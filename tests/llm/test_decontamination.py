@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -127,3 +129,61 @@ def test_short_passages_have_all_their_edits(length):
             line[(k + 1) * length // (budget + 1)] = chance.choice("xyz")
         for near in ("".join(line), edited(text, budget, chance)):
             assert [m[:2] for m in index.matches(["none", "qq " + near + " qq"])] == [(1, 1)]
+
+
+def nearest(passage: str, text: str) -> int:
+    """Fewest edits between the passage and any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_documents_with_edited_places_by_brute_force(seed):
+    """Whole documents: an item is found where some stretch is within its edits, and nowhere else."""
+    chance = random.Random(seed)
+    letters = lambda n: "".join(chance.choice("abcdef") for _ in range(n))
+    items = [(k, letters(chance.choice([12, 15, 22, 31, 40, 64, 90, 130]))) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [letters(chance.randrange(40))]
+        for _ in range(chance.randrange(4)):
+            _, text = chance.choice(items)
+            parts += [edited(text, chance.randrange(len(text) // 10 + 3), chance), letters(chance.randrange(30))]
+        texts.append("".join(parts))
+    index = Passages(items)
+    found = index.matches(texts)
+    wanted = {(t, k) for t, text in enumerate(texts) for k, item in items if nearest(item, text) <= len(item) // 10}
+    assert len(wanted) > 40 and {m[:2] for m in found} == wanted
+    for t, k, a, b, edits in found:
+        assert distance(items[k][1], texts[t][a:b]) == edits <= len(items[k][1]) // 10
+
+
+HELD = """
+import random, resource, sys
+from storelens.llm.decontamination import Passages
+Passages([(1, "some passage of a benchmark")]).matches(["warm up"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+chance = random.Random(1)
+words = lambda n: " ".join("".join(chance.choice("abcdefgh") for _ in range(chance.randrange(2, 8))) for _ in range(n))
+if sys.argv[1] == "repetitive":
+    found = Passages([(1, "ha" * 150)]).matches(["ha" * 100_000])
+    assert len(found) > 600 and all(m[4] == 0 for m in found)
+else:
+    head = "answer the following question with a single word "
+    items = [(k, head + words(25)) for k in range(700)]
+    found = Passages(items).matches([" ".join(head + words(3) for _ in range(700)) + " " + items[7][1]])
+    assert [m[1] for m in found] == [7]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["repetitive", "one beginning"])
+def test_memory_is_bounded(kind):
+    """Shared grams x occurrences are 29 and 20 million here, 24 bytes each at least."""
+    done = subprocess.run([sys.executable, "-c", HELD, kind], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 350
