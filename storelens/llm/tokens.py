@@ -34,6 +34,13 @@ PIECES_KEPT = 100_000
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ž]*")
 CUT = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž\n]+")
 
+# How that vocabulary's rules show themselves.
+RULES = (
+    r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])',
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), """
+    "behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])",
+)
+
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -41,6 +48,14 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others in turn for those from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {byte: chr(byte if byte in printable else next(others)) for byte in range(256)}
+
+
 class Pieces(dict):
     """Numbers of the pieces seen so far; their ids lie in `ids` from `starts` on."""
 
@@ -49,18 +64,20 @@ class Pieces(dict):
         self.ids_of = ids_of
         self.ids, self.starts = array("I"), array("q", [0, 0])
 
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.ids.extend(self.ids_of(piece))
-        self.starts.append(len(self.ids))
-        return number
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        for piece in dict.fromkeys(pieces):
+            if piece not in self:
+                self[piece] = len(self)
+                self.ids.extend(self.ids_of(piece))
+                self.starts.append(len(self.ids))
+        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
 
 
 class Encoder:
     """Ids of texts by the vocabulary's own rules.
 
-    No rule of this vocabulary looks across white space, so a text's ids are those of its
-    words in turn. Each distinct word of a batch is cut once, and each distinct piece
+    No rule of the vocabulary in RULES looks across white space, so a text's ids are those of
+    its words in turn; texts for any other vocabulary go through the library whole. Each distinct word of a batch is cut once, and each distinct piece
     goes through the tokenizers library once. With `plain_specials` the strings of special
     tokens are ordinary text; without, a word that holds one goes through the library whole.
     """
@@ -73,22 +90,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain_specials
         specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == RULES
+        self.alphabet = byte_alphabet()
         self.pieces = Pieces(self._piece)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> list[int]:
-        # The byte alphabet keeps printable ASCII as it is; others need the full way.
-        return [t.id for t in self.tokenizer.model.tokenize(piece)] if piece.isascii() else self._whole(piece)
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
 
     def _ids_of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where each word's ids start there and how many they are."""
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = Pieces(self._piece)
-        plain = [w if PLAIN.fullmatch(w) and not (self.special and self.special.search(w)) else "" for w in words]
+        special = self.special if self.special and self.special.search("\n".join(words)) else None
+        plain = [w if PLAIN.fullmatch(w) and not (special and special.search(w)) else "" for w in words]
         cut = CUT.findall("\n".join(plain).lower() + "\n") if len(words) else []
-        numbers = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
+        numbers = self.pieces.numbers(cut)
         pool, starts = np.array(self.pieces.ids, np.uint32), np.array(self.pieces.starts)
         lengths = np.diff(starts)[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.flatnonzero(numbers == 0) + 1])]
@@ -106,11 +127,16 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, each with the end id, and their starts."""
-        words = Words(texts)
-        pool, first, counts = self._ids_of_words(words.words)
-        lengths = counts[words.codes]
-        flat = pool[runs(first[words.codes], lengths)]
-        starts = np.concatenate([[0], np.cumsum(lengths)])[words.starts]
+        if self.by_word:
+            words = Words(texts)
+            pool, first, counts = self._ids_of_words(words.words)
+            lengths = counts[words.codes]
+            flat = pool[runs(first[words.codes], lengths)]
+            starts = np.concatenate([[0], np.cumsum(lengths)])[words.starts]
+        else:
+            own = [np.array(self._whole(text), np.uint32) for text in texts.to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.uint32), *own])
+            starts = np.concatenate([[0], np.cumsum([len(ids) for ids in own], dtype=np.int64)]).astype(np.int64)
         if end_id is None:
             return flat, starts
         return np.insert(flat, starts[1:], end_id), starts + np.arange(len(starts))
@@ -219,7 +245,7 @@ def write_token_files(docs: DataFrame, folder: str, file: str | None = None, wid
     each partition's documents and ids start.
     """
     file = file or vocabulary_file()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     shards = [r.asDict() for r in ordered.mapInArrow(shard_writing(folder, file, width), SHARD).collect()]
     base_docs = base_tokens = 0
     for shard in sorted(shards, key=lambda s: s["shard"]):

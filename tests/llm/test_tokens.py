@@ -96,3 +96,29 @@ def test_special_tokens_as_the_unmodified_library_has_them(spark):
     folder = new_folder(spark)
     shards = tokens.write_token_files(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), folder)
     assert [r.n_tokens for r in tokens.read_documents(spark, folder, shards).collect()] == [len(want[0])]
+
+
+def test_another_vocabulary_goes_through_its_own_rules(spark):
+    file = tokens.vocabulary_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    assert ENCODER.by_word and not tokens.Encoder(file).by_word
+    texts = ["Hello World, don't  stop\n", "", "a<|endoftext|>b", "çé カ\t7", "x " * 5000]
+    ids, starts = tokens.encoder(file).encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    folder = new_folder(spark)
+    shards = tokens.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, file)
+    assert sum(s["n_tokens"] for s in shards) == len(ids)
+
+
+def test_one_doc_id_is_many_shards(spark):
+    """Rows of one doc_id, a third of all or more, part by their texts."""
+    rows = [(7, f"text {k:04d} " + "word " * (k % 9)) for k in range(2000)] + [(8, "x")]
+    folder = new_folder(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shards) > 4 and max(s["n_docs"] for s in shards) < 700
+    got = sorted(tokens.read_documents(spark, folder, shards).collect(), key=lambda r: r.start)
+    assert [r.n_tokens for r in got] == [len(whole(t)) for _, t in sorted(rows)]
