@@ -167,12 +167,17 @@ def order_id(key: Column) -> Column:
     return F.concat(F.lit("ORD-"), F.repeat(F.lit("0"), F.greatest(9 - F.length(digits), F.lit(0))), digits)
 
 
-def as_order_stream(orders: DataFrame) -> DataFrame:
-    """A stream of warehouse orders in the shape of placed orders."""
-    return orders.select(
+def as_order_stream(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """A stream of warehouse orders in the shape of placed orders, with the units of their lines.
+
+    `lines` is a stored table, read anew for each batch: the lines have no time of their own
+    that lies near their order's, so a join of two streams could never let go of an order.
+    """
+    units = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("units"))
+    return orders.join(units, F.expr("o_orderkey = l_orderkey"), "left").select(
         as_instant("o_orderdate").alias("order_ts"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
-        F.lit(1).alias("quantity"),
+        F.col("units").cast("int").alias("quantity"),
         F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("delivered").alias("order_status"),
     )
 

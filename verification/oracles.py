@@ -762,9 +762,34 @@ ORACLES: dict[str, str] = {
         GROUP BY ALL""",
     "stream_closed_weeks": """
         SELECT week_end, coalesce(sum(total) FILTER (NOT gone), 0)::DOUBLE AS revenue, count(*) FILTER (NOT gone) AS orders,
-            count(*) AS placed, count(*) FILTER (gone) AS cancelled, count(*) FILTER (NOT gone) AS units
+            count(*) AS placed, count(*) FILTER (gone) AS cancelled, coalesce(sum(units) FILTER (NOT gone), 0)::BIGINT AS units
         FROM (SELECT date_trunc('week', o_orderdate)::DATE + 6 AS week_end, o_totalprice::DECIMAL(18,2) AS total,
-                  o_orderstatus = 'P' AS gone FROM orders)
+                  o_orderstatus = 'P' AS gone, units
+              FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity)::INTEGER AS units FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
         WHERE week_end + 1 <= (SELECT max(o_orderdate) - INTERVAL 1 DAY FROM orders)
         GROUP BY 1""",
+    # ---- stores
+    "chunk_store": f"""WITH RECURSIVE {_SECTIONS}, {_CHUNKS}
+        SELECT doc_id || '#' || page_no || '#' || pos || '#' || n AS passage_id, section, text FROM chunks""",
+    "interaction_store": f"""
+        SELECT date_trunc('second', ts) AS ts, props AS question, {_TOOL} AS tool, 0::BIGINT AS total_tokens FROM events""",
+    "gold_store": """
+        SELECT item_id::INTEGER AS id, 'en' AS lang, 'benchmark' AS category, text AS question, NULL::VARCHAR AS expected FROM benchmark""",
+    "verdict_store": f"""WITH {_VERDICTS}
+        SELECT 'second' AS run_id, category, verdict, count(*) AS answers FROM verdicts GROUP BY ALL
+        UNION ALL SELECT 'first', category, verdict, count(*) FROM verdicts WHERE verdict = 'PASS' GROUP BY ALL""",
+    "search_policies": """
+        WITH counts AS (
+            SELECT *, [(length(text) - length(replace(text, c, '')))::DOUBLE for c in ['a', 'e', 'i', 'o', 'u']] || [1::DOUBLE] AS v FROM documents
+        ),
+        asked AS (SELECT [1, 2, 1, 1, 2, 1]::DOUBLE[] AS q),
+        scored AS (
+            SELECT *, round(list_dot_product([(x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE for x in v], [x / sqrt(list_dot_product(q, q)) for x in q]), 9) AS score
+            FROM counts, asked
+        ),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored)
+        SELECT 'a e i o u' AS question, string_agg('[' || source || ' — p. ' || CASE WHEN lang <> 'en' THEN lang ELSE '?' END || ']'
+            || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)),
+            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer
+        FROM ranked WHERE rank <= 3""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storelens import api
 from storelens.functions.columns import localized, mixed_date, money, pretty, whole_number
 from storelens.functions.dates import week_end
 from storelens.lookups import LABELS_ES
@@ -24,8 +25,9 @@ from storelens.operators import (
     weekly,
 )
 from storelens.plans.audit import audit_report
-from storelens.sources import logs
+from storelens.sources import documents, logs
 from storelens.sources import warehouse as wh
+from storelens.sources.scratch import scratch_folder
 from storelens.streaming.closed_weeks import closed_weeks
 from storelens.streaming.run import run_to_table
 from storelens.streaming.topics import topic_windows
@@ -223,6 +225,53 @@ def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.policy_chunks(wh.policy_pages(spark, sf_dir))
 
 
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as their store gives them back after being written twice."""
+    folder = scratch_folder(spark)
+    for _ in range(2):
+        documents.write_chunks(sections.policy_chunks(wh.policy_pages(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).select("passage_id", "section", "text")
+
+
+def interaction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it is read back after two appends: each event's second, question and tool."""
+    folder = scratch_folder(spark)
+    log = wh.interaction_log(spark, sf_dir).withColumn("ts", wh.as_instant("ts"))
+    counts = [F.lit(None).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")]
+    for half in (0, 1):
+        part = log.where((F.crc32(F.col("tools")[0]) % 2) == half)
+        logs.append_interactions(part.select("ts", "question", "tools", "latency_s", *counts), folder)
+    read = logs.read_interactions(spark, folder)
+    return read.select(_wall_clock("ts"), "question", F.col("tools")[0].alias("tool"), "total_tokens")
+
+
+def gold_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as gold questions: a file of nested JSON per batch, read back as rows."""
+    folder = scratch_folder(spark)
+    question = F.struct(
+        F.col("item_id").cast("int").alias("id"), F.lit("en").alias("lang"), F.lit("benchmark").alias("category"),
+        F.col("text").alias("question"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("source"),
+    )
+    asked = wh.table(spark, sf_dir, "benchmark").select((F.col("item_id") % 7).alias("file"), question.alias("q"))
+    asked.groupBy("file").agg(F.collect_list("q").alias("questions")).select("questions").write.option("maxRecordsPerFile", 1).json(folder)
+    return logs.read_gold_questions(spark, folder).select("id", "lang", "category", "question", "expected")
+
+
+def verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of two runs, one of them stored again, as the store holds them."""
+    folder = scratch_folder(spark)
+    verdicts = wh.verdict_rows(spark, sf_dir)
+    for run, rows in (("first", verdicts.limit(0)), ("second", verdicts), ("first", verdicts.where("verdict = 'PASS'"))):
+        logs.write_verdicts(rows, folder, run)
+    return spark.read.parquet(folder).groupBy(F.col("run_id").cast("string").alias("run_id"), "category", "verdict").agg(F.count("*").alias("answers"))
+
+
+def search_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an encoded corpus, searched for one question."""
+    corpus = wh.citations(spark, sf_dir).withColumn("passage_id", F.col("passage_id").cast("long"))
+    return api.call("policy_search", vectors.encode_column(corpus, _letters, prefix=""), "a e i o u", _letters, k=3)
+
+
 def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the stem of their file: a known one for some sources, else the source's name."""
     docs = wh.table(spark, sf_dir, "documents")
@@ -281,7 +330,7 @@ def stream_topic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = wh.as_order_stream(_stream(spark, sf_dir, "orders"))
+    orders = wh.as_order_stream(_stream(spark, sf_dir, "orders"), wh.table(spark, sf_dir, "lineitem"))
     return comparable(run_to_table(closed_weeks(orders)))
 
 
@@ -387,6 +436,11 @@ QUERIES: dict[str, Query] = {
     "doc_titles": doc_titles,
     "encoded_documents": encoded_documents,
     "fixed_window_chunks": fixed_window_chunks,
+    "chunk_store": chunk_store,
+    "interaction_store": interaction_store,
+    "gold_store": gold_store,
+    "verdict_store": verdict_store,
+    "search_policies": search_policies,
     "vector_topk": vector_topk,
     "vector_topk_of_mixed": vector_topk_of_mixed,
     "format_passages": format_passages,
