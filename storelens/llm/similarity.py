@@ -261,11 +261,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     options = {"threshold": THRESHOLD, "shingle": SHINGLE, "trees": TREES, "levels": LEVELS, "recall": RECALL} | options
     classes = _classes(docs.select(_row_id().alias("doc_id"), _own().alias("own"), "text"), **options)
-    names = classes.where("doc_id = class_id").select(
-        F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.coalesce("class_text", F.lit("")).alias("__class")).distinct()
-    own = docs.withColumn("__id", _row_id()).withColumn("__own", _own()).join(names, ["__id", "__own"])
-    first = F.row_number().over(W.partitionBy("__id", "__class").orderBy("text"))
-    return own.withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
+    names = classes.where("doc_id = class_id").select("doc_id", "own", F.coalesce("class_text", F.lit("")).alias("class")).distinct()
+    # The row travels whole, so that no name of its columns can clash with the names needed here.
+    rows = docs.select(F.struct("*").alias("row"), _row_id().alias("doc_id"), _own().alias("own"), "text").join(names, ["doc_id", "own"])
+    first = F.row_number().over(W.partitionBy("doc_id", "class").orderBy("text"))
+    return rows.withColumn("nth", first).where("nth = 1").select("row.*")
 
 
 def _row_id() -> Column:

@@ -30,11 +30,14 @@ RESULT = "query_id long, rank int, vec_id long, score long"
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v = floor(scale * component) of the vectors that take part: not NULL and
-    without NULL or non-finite components, with an id."""
+    without NULL or non-finite components, with an id; a NULL vec_id names no row and is left
+    out. A component whose product is no 64-bit number fails the query."""
     x = F.col("embedding")
+    wide = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")
+    whole = lambda c: F.when(F.abs(F.lit(scale) * c.cast("double")) >= float(2**63), wide).otherwise(F.floor(F.lit(scale) * c.cast("double")))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     return vectors.where(x.isNotNull() & ~bad & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v")
     )
 
 
@@ -46,10 +49,17 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _list_scores(items: np.ndarray, queries: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Exact list scores, items x queries: in doubles where every sum is a whole number they hold."""
-    top = int(np.abs(items).max(initial=0)) * int(np.abs(queries).max(initial=0)) * items.shape[1]
-    kind = np.float64 if top < 2**53 else np.int64
-    return [items[:, p].astype(kind) @ queries[:, p].T.astype(kind) for p in parts]
+    """Exact list scores, items x queries: in doubles where every sum is a whole number they hold, in
+    longs where no sum can pass them, else in Python's integers. A score beyond 62 bits is an error."""
+    most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))  # noqa: E731  the least long has no absolute value
+    top = most(items) * most(queries) * items.shape[1]
+    if top < 2**62:
+        kind = np.float64 if top < 2**53 else np.int64
+        return [items[:, p].astype(kind) @ queries[:, p].T.astype(kind) for p in parts]
+    exact = [items[:, p].astype(object) @ queries[:, p].T.astype(object) for p in parts]
+    if any(abs(x) >= 2**62 for scores in [*exact, sum(exact)] for x in scores.flat):
+        raise OverflowError("an inner product does not fit 62 bits; take a smaller scale")
+    return [scores.astype(np.int64) for scores in exact]
 
 
 def _phase(query_ids: np.ndarray, queries: np.ndarray, k: int, lists: int, cutoffs: np.ndarray | None):
@@ -109,7 +119,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_bl
     """The k highest inner products of every query among all rows of other ids (RESULT).
 
     `vectors` has vec_id and integer vectors v; `is_query` is a condition on vec_id. Ties
-    go to smaller ids; scores are exact as far as a long holds them. Vectors of another length than the query's take no part in its
+    go to smaller ids. Scores are exact; one beyond 62 bits, of a list or in all, fails the query. Vectors of another length than the query's take no part in its
     answer (empty vectors score 0 with each other); fewer than k others give fewer ranks; an empty table gives no row. Of rows
     that repeat a query's id one vector (the least) asks; repeated candidates each count.
 

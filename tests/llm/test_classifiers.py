@@ -13,6 +13,7 @@ from storelens.llm import language, quality, toxicity
 from storelens.llm.common import remainder_of_id, table
 from storelens.llm.labelled import binned, cut_points, training_rows
 
+LARGE = "/root/testdata/sf0.1"
 SF = "/root/testdata/sf0.01"
 
 
@@ -110,6 +111,18 @@ def test_held_out_accuracy(learned):
             assert all(r.predicted == 0 for r in got if r[label] == 0)
 
 
+def test_toxic_rows_are_caught(spark):
+    """On tables with enough of both kinds; always answering 0, or 1, or by chance, fails."""
+    docs = table(spark, LARGE, "documents").withColumn("held_out", remainder_of_id(5) == 0)
+    labels = table(spark, LARGE, "labels")
+    model = toxicity.train(docs.where(~F.col("held_out")), labels)
+    asked = docs.where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id")
+    got = toxicity.scored(asked, model, 0.5, "doc_id", "toxic").collect()
+    toxic, clean = ([r for r in got if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert len(clean) > 500 and sum(r.predicted for r in clean) <= 0.005 * len(clean)
+
+
 def test_rows_of_any_kind_are_scored(spark, learned):
     _, toxic, good = learned
     rows = [(1, None, 9), (2, "", 9), (None, "some text here", 9), (4, "some text here", 9), (4, "some text here", 9), (5, "idiot scum you trash moron", 9)]

@@ -164,3 +164,13 @@ def test_texts_that_share_an_id_are_not_joined(spark):
     got = similarity.near_duplicates(docs).collect()
     assert sorted(r.class_id for r in got) == [1] * 7 + [4] and len({r.class_text for r in got}) == 5
     assert sorted(r.n_links for r in got) == [0, 0, 0, 1, 1, 1, 1, 1]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["__id", "__own", "__nth", "__class", "own", "class", "row", "nth", "class_id", "a.b"]
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, *range(10)), (2, text, *range(10, 20)), (3, "something else in a few words", *range(20, 30))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = similarity.one_of_each(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -68,3 +68,12 @@ def test_empty_vectors_ask_each_other(spark, rows):
     got = answer(spark, rows, 5)
     assert got == brute(rows, 5) and [r for r in got if r[0] == 350] == [(350, 1, 301, 0), (350, 2, 351, 0)]
     assert answer(spark, [(350, [], 0)], 5) == []
+
+
+def test_beyond_longs_it_fails_and_below_it_is_exact(spark):
+    near = [(0, [7e6, 1.0, 0.0], 0), (1, [7e6, 2.0, -7e6], 0), (2, [7e6, 1.0, 1.0], 0), (10, [0.0, 3.0, 7e6], 0)]
+    assert answer(spark, near, 3) == brute(near, 3)
+    for wide in (1e15, -1e15, 1e300):
+        double = spark.createDataFrame([(0, [wide, 1.0]), (1, [wide, 2.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit"):
+            top_k(quantized(double), F.col("vec_id") % 50 == 0, 2).collect()
