@@ -33,7 +33,7 @@ ROUND_WORDS = 2_000_000
 # Counters a task holds before it hands them on.
 HELD = 2_000_000
 # Cells of one block of a language's source x word matrix.
-CELLS = 2_000_000
+CELLS = 200_000
 
 # Lower-case letters stay, capitals become lower, other ASCII separates words; bytes of all
 # other characters belong to words.
@@ -65,7 +65,10 @@ def document_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             words = Words(folded(texts_of(batch)))
             of_text = np.repeat(np.arange(batch.num_rows), words.counts())
-            distinct = np.unique(of_text * len(words.words) + words.codes)
+            pairs = of_text * len(words.words) + words.codes
+            # Half the width sorts in half the time, and nearly all batches fit it.
+            narrow = batch.num_rows * len(words.words) < 2**32
+            distinct = np.unique(pairs.astype(np.uint32) if narrow else pairs).astype(np.int64)
             text, word = np.divmod(distinct, max(len(words.words), 1))
             langs = batch.column("lang").dictionary_encode()
             cell, n = np.unique(langs.indices.to_numpy()[text].astype(np.int64) * len(words.words) + word, return_counts=True)
@@ -83,7 +86,8 @@ def document_counts(docs: DataFrame) -> DataFrame:
             yield from _added(parts, ["lang", "term"]).select(["lang", "term", "n"]).to_batches()
 
     return (
-        docs.select("lang", "text").mapInArrow(count, "lang string, term string, n long")
+        # Tasks have added up what they can, so another sum before the shuffle would only cost.
+        docs.select("lang", "text").mapInArrow(count, "lang string, term string, n long").repartition("lang", "term")
         .groupBy("lang", "term").agg(F.sum("n").alias("n"))
     )
 
@@ -242,18 +246,20 @@ def group_counts(docs: DataFrame, hashes: dict[tuple[str, int], PerfectHash], sh
                         place[these] = np.where(slot < 0, -1, slot + base[lang][shard])
                 slot = place[words.codes]
                 hit = mine & (slot >= 0)
-                cells, n = np.unique(of_word[hit] * sizes[lang] + slot[hit], return_counts=True)
-                group, slot = np.divmod(cells, sizes[lang])
-                for k in np.unique(group).tolist():
+                # Groups of this language in this slice, times its words: dense as what it is added to.
+                group, slot = of_word[hit], slot[hit]
+                order = np.argsort(group, kind="stable")
+                first = np.searchsorted(group[order], np.arange(len(groups) + 1))
+                for k in np.flatnonzero(np.diff(first)).tolist():
                     if groups[k] not in held:
                         if held and (1 + len(held)) * max(sizes.values()) > HELD:
                             yield from out()
                         held[groups[k]] = np.zeros(sizes[lang], np.int64)
-                    held[groups[k]][slot[group == k]] += n[group == k]
+                    held[groups[k]] += np.bincount(slot[order[first[k] : first[k + 1]]], minlength=sizes[lang])
         yield from out()
 
     counted = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, shard int, slot int, n long")
-    return counted.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+    return counted.repartition("lang", "source", "shard", "slot").groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
 
 
 def frequency(count: Column, total: Column, words: Column) -> Column:
