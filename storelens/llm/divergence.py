@@ -31,7 +31,7 @@ SHARD_WORDS = 50_000
 # Characters and displacements broadcast at once, about; more shards go in further rounds.
 ROUND_WORDS = 2_000_000
 # Counters a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 6_000_000
 # Cells of one block of a language's source x word matrix.
 CELLS = 200_000
 
