@@ -25,6 +25,8 @@ from storelens.llm.common import Words, runs, slices, texts_of, worker_store
 
 END_ID = 1
 NO_ID = -(2**63)  # stands for a NULL doc_id in the id files
+# Characters of a text that part rows of one doc_id among shards.
+DEALT_BY = 64
 # Distinct pieces a worker remembers before it starts anew; bounds memory, not results.
 PIECES_KEPT = 100_000
 
@@ -245,7 +247,10 @@ def write_token_files(docs: DataFrame, folder: str, file: str | None = None, wid
     each partition's documents and ids start.
     """
     file = file or vocabulary_file()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Rows are dealt by the beginnings of texts, as a sample of the keys goes to the driver; within a
+    # shard whole texts are ordered.
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.left("text", F.lit(DEALT_BY)))
+    ordered = dealt.sortWithinPartitions("doc_id", "text")
     shards = [r.asDict() for r in ordered.mapInArrow(shard_writing(folder, file, width), SHARD).collect()]
     base_docs = base_tokens = 0
     for shard in sorted(shards, key=lambda s: s["shard"]):
